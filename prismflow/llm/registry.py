@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prismflow.llm import bpe, decontaminate, exact, langid, simhash
+from prismflow.llm import bpe, decontaminate, exact, langid, repeats, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         decontaminate.op2_decontamination,
         bpe.op5_bpe,
         simhash.op6_simhash,
+        repeats.op7_suffix_dedup,
         exact.op8_exact_dedup,
     ]
     return {f.__name__: f for f in own}

@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from tokenizers import Tokenizer
 
-from prismflow.llm import bpe, common, decontaminate, exact, graph, langid, simhash
+from prismflow.llm import bpe, common, decontaminate, exact, graph, langid, repeats, simhash
 
 AWKWARD = [
     (900, None), (901, ""), (902, "   \n\t"), (903, "a"), (904, "!!! 123 ???"), (905, "x " * 3000), (906, "The cat's hat, isn't it?  <|endoftext|> ok"),
@@ -208,3 +208,51 @@ def test_language_scores_do_not_depend_on_pieces(monkeypatch):
     whole = model.logits(raw, offsets)
     monkeypatch.setattr(langid, "PIECE", 64)
     assert np.allclose(whole, model.logits(raw, offsets), atol=1e-4)
+
+
+def brute_repeats(texts, depth):
+    seen = defaultdict(int)
+    for t in texts:
+        for i in range(len(t) - depth + 1):
+            seen[t[i : i + depth]] += 1
+    out = []
+    for t in texts:
+        gone = np.zeros(len(t) + 1, bool)
+        for i in range(len(t) - depth + 1):
+            if seen[t[i : i + depth]] > 1:
+                gone[i : i + depth] = True
+        kept = bytes(b for b, g in zip(t, gone, strict=False) if not g)
+        out.append((len(t), int(gone.sum()), int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum()), kept))
+    return out
+
+
+def test_repeats(docs, rows, empty):
+    want = sorted(((k, *x) for (k, _), x in zip(rows, brute_repeats([(t or "").encode() for _, t in rows], 200), strict=True)), key=repr)
+    assert sum(0 < w[2] < w[1] for w in want) > 3
+    got = sorted(((r[0], r[1], r[2], r[3], bytes(r[4])) for r in repeats.remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept").collect()), key=repr)
+    assert got == want
+    assert repeats.remove_repeats(empty).count() == 0
+
+
+@pytest.mark.parametrize("block", [20_000, 1])
+def test_repeats_with_many_extents(spark, block, monkeypatch, tmp_path):
+    rng = np.random.default_rng(11)
+    word = lambda n, letters="abcd": "".join(rng.choice(list(letters), n))
+    passage, other = word(150), word(420)
+    texts = [word(int(rng.integers(0, 90))) + passage[int(rng.integers(0, 40)) :] + word(int(rng.integers(0, 90))) + (other[int(rng.integers(0, 200)) : int(rng.integers(210, 420))] if i % 3 else "") for i in range(60)]
+    texts += ["ab" * 200, "x" * 700, word(300) * 2, "", "é" * 99, "é" * 100]
+    want = sorted((i, *x) for i, x in enumerate(brute_repeats([t.encode() for t in texts], 64)))
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "t"))
+    got = sorted((r[0], r[1], r[2], r[3], bytes(r[4])) for r in repeats.remove_repeats(spark.read.parquet(str(tmp_path / "t")), depth=64, block=block).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept").collect())
+    assert got == want
+
+
+def test_anchors_of_a_long_text_do_not_depend_on_pieces(monkeypatch):
+    rng = np.random.default_rng(2)
+    raw = rng.integers(97, 101, 20_000).astype(np.uint8)
+    raw[3000:9000] = 97
+    offsets = np.array([0, 100, 19_000, 20_000])
+    one = [np.concatenate(x) for x in zip(*repeats.text_anchors(raw, offsets, 200), strict=True)]
+    monkeypatch.setattr(repeats, "PIECE", 512)
+    two = [np.concatenate(x) for x in zip(*repeats.text_anchors(raw, offsets, 200), strict=True)]
+    assert all(np.array_equal(a, b) for a, b in zip(one, two, strict=True))
