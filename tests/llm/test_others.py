@@ -1,0 +1,121 @@
+"""Token counts, revisits, licence and secret scans against brute force."""
+
+from __future__ import annotations
+
+import random
+
+import numpy as np
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+from prismflow.llm import bpe, common, licenses, secret_scan, token_counts, warc
+
+
+def test_edits_count_like_a_new_encoding():
+    codec = bpe.codec(bpe.default_vocabulary())
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(4)
+    bits = ["a", "the", " cat", "  ", "\n\n", "'ll", "'", "s", " 12", "é", "漢字", "<|endoftext|>", "<|endof", "text|>", "!", " ?!", "\t", " ", "x" * 40]
+    some = lambda most: "".join(rng.choice(bits) for _ in range(rng.randint(0, most)))
+    total = renewed = 0
+    for k in range(300):
+        text = some(3 if k % 3 else 900)
+        tree = token_counts.build(codec, text)
+        for _ in range(6):
+            text, n = token_counts.edit(codec, tree, text, rng.randint(0, len(text) + 3), rng.choice([0, 1, 5, 60, 3000]), rng.choice(["", some(1), some(8), some(400) if k % 10 == 0 else ""]))
+            assert tree.total == len(library.encode(text, add_special_tokens=False).ids)
+            assert int(tree.levels[-1][0, 0]) == len(text)
+            own = np.concatenate([x[0] for x in tree.leaves]).tolist()
+            assert own == [n for n, _ in token_counts.split(codec, text)]
+            total, renewed = total + len(own), renewed + n
+    assert renewed < total / 3
+
+
+def test_token_counts(spark, tmp_path):
+    rows = [(1, None, [(0, 0, "new")]), (2, "", None), (2, "same words here", [(5, 6, "")]), (2, "same words here", [(5, 6, "")]), (3, "a b " * 5000, [(10_000, 5, "zzz"), None, (99_999, 9, "end"), (None, None, None)])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, edits array<struct<at:int,cut:int,put:string>>").withColumn("n_tokens", token_counts.F.lit("clash"))
+    counted = token_counts.count(df)
+    got = token_counts.recount(counted.withColumnRenamed("n_tokens", "before")).collect()
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    size = lambda t: len(library.encode(t, add_special_tokens=False).ids)
+    assert sorted((r["doc_id"], r["text"], r["before"], r["n_tokens"]) for r in got) == sorted((k, t, size(o or ""), size(t)) for (k, o, _), t in zip(rows, ["new", "", "same here", "same here", "a b " * 2500 + "zzz" + ("a b " * 5000)[10_005:] + "end"], strict=True))
+    assert max(r["n_renewed"] for r in got) < 40
+    assert token_counts.recount(token_counts.count(df.limit(0))).count() == 0
+
+
+def brute_resolve(records):
+    order, out = sorted((r for r in records if r[0] is not None and r[1] and r[2] is not None), key=lambda r: (r[2], r[0])), {}
+    for i, (rid, key, _, kind, headers, _) in enumerate(order):
+        if kind != "revisit":
+            continue
+        mine = {k.lower(): v for k, v in (headers or {}).items()}
+        full = [r for r in order[:i] if r[1] == key and r[3] == "response"]
+        if not full:
+            out[rid] = (None, "no response", mine, None)
+            continue
+        theirs = {k.lower(): v for k, v in (full[-1][4] or {}).items()}
+        weak = lambda v: v.removeprefix("W/")
+        if "etag" in mine and "etag" in theirs:
+            same = weak(mine["etag"]) == weak(theirs["etag"])
+        else:
+            same = "last-modified" in mine and mine["last-modified"] == theirs.get("last-modified")
+        merged = theirs | {k: v for k, v in mine.items() if k not in warc.BODY_FIELDS}
+        out[rid] = (full[-1][0], "resolved", merged, full[-1][5]) if same else (full[-1][0], "changed", mine, None)
+    return out
+
+
+@pytest.mark.parametrize("ranges", [1, 7, 64])
+def test_revisits(spark, ranges):
+    rng = random.Random(ranges)
+    names = [{}, {"ETag": '"1"'}, {"etag": 'W/"1"', "Date": "x"}, {"ETag": '"2"', "Content-Length": "5"}, {"Last-Modified": "d", "Content-Type": "t"}, None]
+    records = [(k, rng.choice(["hot", "hot", "hot", f"h{k % 5}"]), rng.choice([k, k // 3, None if k % 50 == 0 else k]), rng.choice(["response", "revisit", "revisit", "request"]), rng.choice(names), f"body {k}") for k in range(400)]
+    records += [(None, "hot", 5, "response", {}, "x"), (401, None, 5, "revisit", {}, "x")]
+    df = spark.createDataFrame([(*r, "extra") for r in records], "record_id long, url string, at long, kind string, headers map<string,string>, payload string, before string")
+    got = {r["record_id"]: (r["before"], r["outcome"], r["headers"], r["payload"]) for r in warc.resolve(df, ranges).collect()}
+    assert got == brute_resolve(records) and {v[1] for v in got.values()} == {"resolved", "changed", "no response"}
+    assert warc.resolve(df.limit(0)).count() == 0
+
+
+def test_canonical_urls(spark):
+    same = ["http://www.Example.com:80/a/b/?b=2&utm_source=x&a=1#top", "https://example.com/a/b?a=1&b=2", "https://EXAMPLE.com:443/a/b/?a=1&b=2&ref=z"]
+    df = spark.createDataFrame([(u,) for u in [*same, "no url", "http://example.com/refs?reference=1"]], "u string")
+    got = [r[0] for r in df.select(warc.canonical(df["u"])).collect()]
+    assert got == ["example.com/a/b?a=1&b=2"] * 3 + ["no url", "example.com/refs?reference=1"]
+
+
+def test_licences(spark):
+    line = "Released under the MIT License."
+    texts = [None, "", "\n\n", line, f"first\n  {line.upper()}!!\nthe end", "Licensed under the Apache License, version 2.0 or later", "released", "licensed under something else entirely, not that one", f"{line}\n{line}", "word " * 20_000]
+    df = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)], "doc_id long, text string, license_id string")
+    got = sorted((r["doc_id"], r["line_no"], r["license_id"], round(r["dice"], 6)) for r in licenses.scan(df).collect())
+
+    def brute(text):
+        sets = lambda t: (lambda w: set(w) if len(w) == 1 else {*zip(w, w[1:], strict=False)})(licenses_words(t))
+        for n, own in enumerate((text or "").split("\n")):
+            best = max(((2 * len(sets(own) & sets(t)) / (len(sets(own)) + len(sets(t))), k) for k, t in licenses.TEMPLATES.items()), key=lambda x: (x[0], [-ord(c) for c in x[1]]))
+            if best[0] >= licenses.LEAST:
+                yield n, best[1], round(best[0], 6)
+
+    assert got == sorted((k, *x) for k, t in enumerate(texts) for x in brute(t)) and len(got) == 5
+    assert licenses.scan(df.limit(0)).count() == 0
+
+
+def licenses_words(text):
+    import re
+
+    return [w for w in re.split("[^a-z0-9]+", text.lower()) if w]
+
+
+def test_secrets(spark, sf_dir):
+    docs = common.documents(spark, "/root/testdata/sf0.1")
+    held = "crc32(cast(cast(doc_id AS string) AS binary)) % 4 = 2"
+    forest = secret_scan.train(docs.where(f"NOT {held}"))
+    texts = {r["doc_id"]: r["text"] for r in docs.where(held).select("doc_id", "text").collect()}
+    got = secret_scan.scan(docs.where(held), forest).collect()
+    assert sorted((r["doc_id"], r["at"], r["length"]) for r in got) == sorted((k, a, b - a) for k, t in texts.items() for a, b in secret_scan.find(t))
+    truth = [secret_scan.stand_in_label(t[max(0, r["at"] - 40) : r["at"]], t[r["at"] : r["at"] + r["length"]], t[r["at"] + r["length"] :][:40]) for r in got for t in [texts[r["doc_id"]]]]
+    assert sum(truth) > 5 and np.mean([a == r["secret"] for a, r in zip(truth, got, strict=True)]) > 0.98
+    odd = spark.createDataFrame([(1, None, None, 0), (2, "", "p", 0), (3, "k" * 50_000, "p", 0), (None, 'token = "0a1b2c3d4e5f60718293a4b5c6d7e8f90a1b2c3d"', "p", 0)], "doc_id long, text string, source string, score int")
+    assert sorted(r["length"] for r in secret_scan.scan(odd, forest).collect()) == [40, 50_000]
+    assert secret_scan.scan(odd.limit(0), forest).count() == 0 and secret_scan.scan(odd, secret_scan.train(odd.limit(0))).where("secret").count() == 0
