@@ -28,6 +28,16 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows up to which a static table is broadcast instead of shuffled in every round.
+SMALL = 100_000
+
+
+def static(df: DataFrame) -> DataFrame:
+    """``df``, written once; broadcast if its rows have been counted and are few."""
+    df = saved(df)
+    return F.broadcast(df) if df.count() <= SMALL else df
+
+
 @dataclass
 class Rounds:
     """What a fixpoint's rounds did: rows and bits that were new in each."""
@@ -70,7 +80,7 @@ def reach(start: DataFrame, edges: DataFrame, model: int | None = None, rounds:
     """node, cond: under which conditions the nodes of ``start`` (node, cond) reach each node along ``edges`` (src, dst, cond)."""
     if model is not None:
         start = start.withColumn("cond", F.col("cond").bitwiseAND(F.lit(model).cast("bigint")))
-    edges = saved(edges.groupBy("src", "dst").agg(F.bit_or("cond").alias("e")))
+    edges = static(edges.groupBy("src", "dst").agg(F.bit_or("cond").alias("e")))
 
     def step(delta: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
         return delta.join(edges, delta["node"] == edges["src"]).select(F.col("dst").alias("node"), F.col("cond").bitwiseAND(F.col("e")).alias("cond"))
