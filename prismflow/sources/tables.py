@@ -41,7 +41,7 @@ def program(spark: SparkSession, path: str) -> Program:
 
 def source_files(spark: SparkSession, path: str, suffix: str = "*.c") -> DataFrame:
     """file, line, text: lines of all files of a folder tree with this ending, numbered from 1."""
-    whole = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", suffix).option("wholetext", "true").text(path).select(F.input_file_name().alias("file"), "value")
+    whole = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", suffix).text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
     return whole.select("file", F.posexplode(F.split("value", "\n")).alias("pos", "text")).select("file", (F.col("pos") + 1).alias("line"), "text")
 
 
