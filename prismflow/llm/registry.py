@@ -26,4 +26,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc_revisits": warc.OP4_SQL, "op8_exact_dedup": exact.OP8_SQL, "op9_license_scan": licenses.OP9_SQL}
+    return {"op2_decontamination": decontaminate.OP2_SQL, "op4_warc_revisits": warc.OP4_SQL, "op8_exact_dedup": exact.OP8_SQL, "op9_license_scan": licenses.OP9_SQL}
