@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -143,17 +144,37 @@ def anchor_rows(rows: DataFrame, depth: int) -> DataFrame:
     return rows.mapInArrow(run, "row_id long, at long, anchor long, extent long")
 
 
+def packed_texts(rows: DataFrame) -> DataFrame:
+    """``rows`` (row_id, other columns, text last) with each text compressed, as texts are most of what the joins move."""
+    *kept, text = rows.columns
+    schema = T.StructType([*(rows.schema[c] for c in kept), T.StructField("packed", T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=3, write_checksum=False).compress
+        for batch in batches:
+            raw, offsets = common.utf8(batch.column(len(kept)))
+            data, offs = memoryview(raw), offsets.tolist()
+            packed = pa.array([squeeze(data[a:b]) for a, b in zip(offs, offs[1:], strict=False)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(kept))), packed], names=[*kept, "packed"])
+
+    return rows.mapInArrow(run, schema)
+
+
+def unpacked(column: pa.Array) -> list[bytes]:
+    expand = zstandard.ZstdDecompressor().decompress
+    return [expand(x) for x in column.to_pylist()]
+
+
 def cut_extents(rows: DataFrame, depth: int) -> DataFrame:
-    """The bytes of extents: from ``rows`` (row_id, text, wanted: at, anchor, single, hot after each other) to one row each."""
+    """The bytes of extents: from ``rows`` (row_id, packed, wanted: at, anchor, single, hot after each other) to one row each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, offsets = common.utf8(batch.column(1))
-            data, out = memoryview(raw), []
-            for row, base, wanted in zip(batch.column(0).to_pylist(), offsets.tolist(), batch.column(2).to_pylist(), strict=False):
+            out = []
+            for row, data, wanted in zip(batch.column(0).to_pylist(), unpacked(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                 for at, anchor, single, hot in zip(wanted[::4], wanted[1::4], wanted[2::4], wanted[3::4], strict=True):
                     lo = (at >> 16) - (at >> 8 & 255)
-                    out.append((anchor, row, lo, at >> 8 & 255, single, hot, bytes(data[base + lo : base + lo + (at & 255) + depth])))
+                    out.append((anchor, row, lo, at >> 8 & 255, single, hot, data[lo : lo + (at & 255) + depth]))
                     if len(out) >= 10_000:
                         yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out, strict=True)], names=names)
                         out = []
@@ -244,7 +265,7 @@ def repeated_spans(rows: DataFrame, depth: int = DEPTH, block: int = BLOCK) -> D
     mixed_keys = extents.groupBy("anchor").agg(F.count(F.lit(1)).alias("extents"), F.min("n").alias("least")).where("extents > 1 AND least = 1")
     wanted = extents.join(mixed_keys, "anchor").select("one.row_id", F.array("one.at", "anchor", (F.col("n") == 1).cast("long"), (F.col("extents") > block).cast("long")).alias("one"))
     wanted = wanted.groupBy("row_id").agg(F.flatten(F.collect_list("one")).alias("wanted"))
-    cut = common.checkpoint(cut_extents(rows.join(wanted, "row_id").select("row_id", "text", "wanted"), depth))
+    cut = common.checkpoint(cut_extents(packed_texts(rows).join(wanted, "row_id").select("row_id", "packed", "wanted"), depth))
     return whole.unionByName(compare_extents(cut.where("hot = 0"), depth)).unionByName(deal_windows(cut.where("hot = 1"), depth))
 
 
@@ -274,22 +295,21 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(common.row_id().alias("row_id"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     spans = repeated_spans(rows.select("row_id", "text"), depth, block)
     spans = spans.groupBy("row_id").agg(F.flatten(F.collect_list(F.array("a", "b"))).alias("spans"))
-    joined = rows.join(spans, "row_id", "left").select("row_id", "doc_id", "text", "spans")
+    joined = packed_texts(rows).join(spans, "row_id", "left").select("row_id", "doc_id", "packed", "spans")
     schema = T.StructType([joined.schema["row_id"], joined.schema["doc_id"], *NEW])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, offsets = common.utf8(batch.column(2))
-            data, out = memoryview(raw), []
-            for k, (s, e) in enumerate(zip(offsets.tolist(), offsets.tolist()[1:], strict=False)):
+            out = []
+            for k, data in enumerate(unpacked(batch.column(2))):
                 own = batch.column(3)[k].values
                 if own is None or not len(own):
-                    out.append((e - s, 0, 0, bytes(data[s:e])))
+                    out.append((len(data), 0, 0, data))
                     continue
                 own = own.to_numpy(zero_copy_only=False)
                 a, b = merged(own[::2], own[1::2])
-                edge = [0, *np.column_stack([a, b]).ravel().tolist(), e - s]
-                out.append((e - s, int((b - a).sum()), len(a), b"".join(data[s + x : s + y] for x, y in zip(edge[::2], edge[1::2], strict=True))))
+                edge = [0, *np.column_stack([a, b]).ravel().tolist(), len(data)]
+                out.append((len(data), int((b - a).sum()), len(a), b"".join(data[x:y] for x, y in zip(edge[::2], edge[1::2], strict=True))))
             new = [pa.array(x, f) for x, f in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *new], names=["row_id", "doc_id", *(f.name for f in NEW)])
 
