@@ -79,8 +79,12 @@ def split(codec: bpe.Codec, text: str, start: int = 0) -> Iterator[tuple[int, in
 
 
 def build(codec: bpe.Codec, text: str) -> Tree:
-    own = np.array(list(split(codec, text)), np.int64).reshape(-1, 2)
-    return Tree(own[:, 0], own[:, 1])
+    if codec.split is not None and codec.split.search(text):
+        own = np.array(list(split(codec, text)), np.int64).reshape(-1, 2)
+        return Tree(own[:, 0], own[:, 1])
+    words = bpe.pre_token_pattern(bpe.highest(text)).findall(text)
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    return Tree(lengths, np.fromiter(map(len, map(codec.__getitem__, words)), np.int64, len(words)) // 4)
 
 
 def edit(codec: bpe.Codec, tree: Tree, text: str, at: int, cut: int, put: str) -> tuple[str, int]:
