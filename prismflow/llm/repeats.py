@@ -256,13 +256,14 @@ def repeated_spans(rows: DataFrame, depth: int = DEPTH, block: int = BLOCK) -> D
         raise ValueError(f"depth is {GRAM} to {GRAM + 255}")
     common.arrow_rows(rows.sparkSession)
     found = anchor_rows(rows, depth)
-    shared = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    # Tables of their own, so that joins with them can split the rows of an anchor that very many texts have.
+    shared = common.checkpoint(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"))
     found = common.checkpoint(found.join(shared, "anchor"))
     extents = common.checkpoint(found.groupBy("anchor", "extent").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row_id", "at")).alias("one")))
     whole = found.join(extents.where("n = 1").select("anchor", "extent"), ["anchor", "extent"], "left_anti")
     lo = F.shiftright("at", 16) - F.shiftright("at", 8).bitwiseAND(F.lit(255))
     whole = whole.select("row_id", lo.alias("a"), (lo + F.col("at").bitwiseAND(F.lit(255)) + depth).alias("b"))
-    mixed_keys = extents.groupBy("anchor").agg(F.count(F.lit(1)).alias("extents"), F.min("n").alias("least")).where("extents > 1 AND least = 1")
+    mixed_keys = common.checkpoint(extents.groupBy("anchor").agg(F.count(F.lit(1)).alias("extents"), F.min("n").alias("least")).where("extents > 1 AND least = 1"))
     wanted = extents.join(mixed_keys, "anchor").select("one.row_id", F.array("one.at", "anchor", (F.col("n") == 1).cast("long"), (F.col("extents") > block).cast("long")).alias("one"))
     wanted = wanted.groupBy("row_id").agg(F.flatten(F.collect_list("one")).alias("wanted"))
     cut = common.checkpoint(cut_extents(packed_texts(rows).join(wanted, "row_id").select("row_id", "packed", "wanted"), depth))
