@@ -45,16 +45,14 @@ def return_flow():
 
 
 def loop():
-    """A loop whose body calls under A what calls another function under D, with a global."""
-    main = [(0, "", T), (1, "g = 1", T), (2, "a = g", T), (3, "while (a)", T), (4, "a = f(a)", A), (5, "b = a", B), (6, "return b", T)]
-    f = [(30, "", T), (31, "r = q(p)", D), (32, "return r", T)]
-    q = [(40, "", T), (41, "s = u + u", E), (42, "s = u", N(E)), (43, "return s", T)]
-    cfg = [(0, 1, T), (1, 2, T), (2, 3, T), (3, 4, A), (3, 5, B), (3, 6, N(B)), (4, 3, A), (4, 5, A & B), (5, 6, B), (30, 31, D), (30, 32, N(D)), (31, 32, D), (40, 41, E), (40, 42, N(E)), (41, 43, E), (42, 43, N(E))]
-    defs = [(1, "g", 0), (2, "a", 1), (4, "a", 1), (5, "b", 1), (31, "r", 1), (41, "s", 1), (42, "s", 1)]
-    uses = [(2, "g", False), (3, "a", False), (4, "a", False), (5, "a", False), (6, "b", False), (31, "p", False), (32, "r", False), (41, "u", False), (42, "u", False), (43, "s", False)]
-    assigns = [(2, "a", "g", 1), (5, "b", "a", 1), (42, "s", "u", 1)]
-    nodes = straight(main, 1, {0}, {6}, {4}) + straight(f, 2, {30}, {32}, {31}) + straight(q, 3, {40}, {43})
-    return {"nodes": nodes, "cfg": cfg, "calls": [(4, 2, T), (31, 3, T)], "defs": defs, "uses": uses, "assigns": assigns, "params": [(4, 2, "a", "p", T), (31, 3, "p", "u", T)]}
+    """A loop whose body calls a function under A, with a global."""
+    main = [(0, "", T), (1, "g = 1", T), (2, "a = g", T), (3, "while (a)", T), (4, "a = f(a)", A), (5, "return a", T)]
+    f = [(30, "", T), (31, "r = p", D), (32, "return r", T)]
+    cfg = [(0, 1, T), (1, 2, T), (2, 3, T), (3, 4, A), (3, 5, B), (4, 3, A), (30, 31, D), (30, 32, N(D)), (31, 32, D)]
+    defs = [(1, "g", 0), (2, "a", 1), (4, "a", 1), (31, "r", 1)]
+    uses = [(2, "g", False), (3, "a", False), (4, "a", False), (5, "a", False), (31, "p", False), (32, "r", False)]
+    nodes = straight(main, 1, {0}, {5}, {4}) + straight(f, 2, {30}, {32})
+    return {"nodes": nodes, "cfg": cfg, "calls": [(4, 2, T)], "defs": defs, "uses": uses, "assigns": [(2, "a", "g", 1), (31, "r", "p", 1)], "params": [(4, 2, "a", "p", T)]}
 
 
 Z = ("", -1, -1, "", -1)
