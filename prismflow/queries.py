@@ -309,6 +309,20 @@ def alias_classes(spark: SparkSession, d: str) -> DataFrame:
     return found.join(configs, C.holds_in(F.col("cond"), F.col("config"))).select("config", "node", "class")
 
 
+@query()
+def alias_classes_all(spark: SparkSession, d: str) -> DataFrame:
+    """Each line assigns its supplier's pointer to its part's and reads the field of its place through both; all lines, all configurations.
+
+    node (name in dotted form), class (number of its least name), cond. No SQL: recursion over equal prefixes is beyond it.
+    """
+    own = D.lines(spark, d)
+    name = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
+    p, s, f = name("p", "l_partkey"), name("s", "l_suppkey"), name("f", "l_linenumber")
+    names = own.select(F.explode(F.array(F.array(p, F.lit("*"), f), F.array(s, F.lit("*"), f))).alias("object"), "cond")
+    assignments = own.groupBy(F.array(p).alias("left"), F.array(s).alias("right")).agg(F.bit_or("cond").alias("cond"))
+    return alias.alias_classes(names, assignments).select(F.array_join("object", ".").alias("node"), "class", "cond")
+
+
 @query(f"""WITH c AS (SELECT unnest(range(32))::INT AS config), m AS (SELECT c_custkey AS k, bit_or({ORDER_MASK} & {LINE_MASK}) AS cond FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1)
 SELECT config, count(*) FILTER (WHERE ((cond >> config) & 1) = 1)::BIGINT AS lifted, 0::BIGINT AS missing FROM c, m GROUP BY 1""")
 def differential_eval(spark: SparkSession, d: str) -> DataFrame:
