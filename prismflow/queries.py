@@ -190,12 +190,22 @@ f AS (SELECT DISTINCT l_suppkey AS method, pos, 'f' || pos AS formal FROM (SELEC
 e AS (SELECT l_orderkey AS call, l_suppkey AS method, bit_or({LINE_MASK}) AS cond FROM lineitem WHERE l_quantity >= 40 GROUP BY 1, 2)
 SELECT call, method, actual, formal, (cond & a_cond)::BIGINT AS cond FROM e JOIN a USING (call) JOIN f USING (method) WHERE (a.pos = f.pos OR (f.pos = method % 4 AND method % 2 = 0 AND a.pos > f.pos)) AND (cond & a_cond) <> 0""")
 def param_zip(spark: SparkSession, d: str) -> DataFrame:
+    return _param_zip(spark, d, "l_quantity >= 40")
+
+
+@query(SQL["param_zip"].replace(" WHERE l_quantity >= 40", ""))
+def param_zip_all(spark: SparkSession, d: str) -> DataFrame:
+    """All lines are call edges."""
+    return _param_zip(spark, d, "true")
+
+
+def _param_zip(spark: SparkSession, d: str, which: str) -> DataFrame:
     own = D.lines(spark, d, "l_quantity", "l_extendedprice")
     at = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     actuals = own.select(F.col("l_orderkey").alias("call"), (F.row_number().over(at) - 1).alias("pos"), F.col("l_partkey").alias("actual"), "cond")
     formals = own.select(F.col("l_suppkey").alias("method")).distinct().select("method", F.explode(F.sequence(F.lit(0), (F.col("method") % 4).cast("int"))).alias("pos"))
     formals = formals.select("method", "pos", F.concat(F.lit("f"), F.col("pos").cast("string")).alias("formal"), C.lit(T).alias("cond"), ((F.col("pos") == F.col("method") % 4) & (F.col("method") % 2 == 0)).alias("variadic"))
-    edges = own.where("l_quantity >= 40").groupBy(F.col("l_orderkey").alias("call"), F.col("l_suppkey").alias("method")).agg(F.bit_or("cond").alias("cond"))
+    edges = own.where(which).groupBy(F.col("l_orderkey").alias("call"), F.col("l_suppkey").alias("method")).agg(F.bit_or("cond").alias("cond"))
     return callgraph.zip_parameters(actuals, formals, edges)
 
 
@@ -209,7 +219,17 @@ def zip_initialisers(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS f, ps.l2 AS t FROM lineitem JOIN (SELECT DISTINCT l_partkey AS p, l_suppkey AS l2 FROM lineitem WHERE l_quantity >= 49) ps ON l_partkey = p WHERE l_quantity >= 49), r(f) AS (SELECT 1::BIGINT UNION SELECT t FROM r JOIN e ON r.f = e.f) SELECT f AS file FROM r""")
 def import_closure(spark: SparkSession, d: str) -> DataFrame:
-    own = table(spark, d, "lineitem").where("l_quantity >= 49").select(F.col("l_suppkey").alias("file"), F.col("l_partkey").alias("name"))
+    return _import_closure(spark, d, "l_quantity >= 49")
+
+
+@query(SQL["import_closure"].replace(" WHERE l_quantity >= 49", ""))
+def import_closure_all(spark: SparkSession, d: str) -> DataFrame:
+    """All lines are imports and exports."""
+    return _import_closure(spark, d, "true")
+
+
+def _import_closure(spark: SparkSession, d: str, which: str) -> DataFrame:
+    own = table(spark, d, "lineitem").where(which).select(F.col("l_suppkey").alias("file"), F.col("l_partkey").alias("name"))
     return callgraph.import_closure(spark.createDataFrame([(1,)], "file long"), own, own)
 
 
@@ -277,11 +297,23 @@ def lifted_reach_cyclic(spark: SparkSession, d: str) -> DataFrame:
     return fixpoint.reach(spark.createDataFrame([(2, T)], "node long, cond long"), D.supply_edges(spark, d))
 
 
+@query()
+def lifted_reach_cyclic_all(spark: SparkSession, d: str) -> DataFrame:
+    """Over the edges of all lines. No SQL: the recursion by configuration is tested on a small table."""
+    return fixpoint.reach(spark.createDataFrame([(2, T)], "node long, cond long"), D.supply_edges(spark, d, None))
+
+
 @query(f"""WITH RECURSIVE e AS ({_SUPPLY}), r(node) AS (SELECT 2::BIGINT UNION SELECT dst FROM r JOIN e ON src = node) SELECT node FROM r""")
 def ifds_reach(spark: SparkSession, d: str) -> DataFrame:
     return fixpoint.plain_reach(spark.createDataFrame([(2,)], "node long"), D.supply_edges(spark, d))
 
 
+@query(SQL["ifds_reach"].replace(" WHERE l_quantity >= 40", ""))
+def ifds_reach_all(spark: SparkSession, d: str) -> DataFrame:
+    """Over the edges of all lines."""
+    return fixpoint.plain_reach(spark.createDataFrame([(2,)], "node long"), D.supply_edges(spark, d, None))
+
+
 @query(f"""WITH s AS (SELECT r_regionkey, {T}::BIGINT AS c FROM region), n AS (SELECT n_nationkey, c & CASE WHEN n_nationkey % 2 = 0 THEN {F4} ELSE {T} END AS c FROM s JOIN nation ON n_regionkey = r_regionkey),
 k AS (SELECT c_custkey, c & CASE c_mktsegment WHEN 'BUILDING' THEN {F3} ELSE {T} END AS c FROM n JOIN customer ON c_nationkey = n_nationkey), o AS (SELECT o_orderkey, c & {ORDER_MASK} AS c FROM k JOIN orders ON o_custkey = c_custkey),
 p AS (SELECT l_partkey, bit_or(c & {LINE_MASK})::BIGINT AS cond FROM o JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1) SELECT l_partkey AS part, cond FROM p WHERE cond <> 0""")
@@ -342,9 +374,19 @@ def differential_eval(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH m AS (SELECT l_partkey AS k, bit_or({LINE_MASK}) AS cond FROM lineitem WHERE l_quantity >= 45 GROUP BY 1), n AS (SELECT k, bit_count(cond & 2113601)::BIGINT AS n FROM m)
 SELECT count(*)::BIGINT AS facts, count(*) FILTER (WHERE n > 0)::BIGINT AS covered, sum(n)::BIGINT AS matches, max(n) AS most, min(n) AS least, (100 * count(*) FILTER (WHERE n > 0)) // count(*) AS percent FROM n""")
 def summary_metrics(spark: SparkSession, d: str) -> DataFrame:
-    own = D.lines(spark, d, "l_quantity").where("l_quantity >= 45").select(F.col("l_partkey").alias("k"), "cond")
+    return _summary_metrics(spark, d, "l_quantity >= 45", [0, 6, 14, 21])
+
+
+@query(SQL["summary_metrics"].replace(" WHERE l_quantity >= 45", "").replace("bit_count(cond & 2113601)", "bit_count(cond)"))
+def summary_metrics_all(spark: SparkSession, d: str) -> DataFrame:
+    """All lines in all configurations."""
+    return _summary_metrics(spark, d, "true", None)
+
+
+def _summary_metrics(spark: SparkSession, d: str, which: str, chosen: list[int] | None) -> DataFrame:
+    own = D.lines(spark, d, "l_quantity").where(which).select(F.col("l_partkey").alias("k"), "cond")
     lifted = own.groupBy("k").agg(F.bit_or("cond").alias("cond"))
-    configs = sampling.config_table(spark, [0, 6, 14, 21]).select("config")
+    configs = sampling.config_table(spark, chosen).select("config")
     sampled = own.join(F.broadcast(configs), C.holds_in(F.col("cond"), F.col("config"))).select("k", "config")
     return evaluate.summary(evaluate.compare(lifted, sampled, configs, ["k"])[1])
 

@@ -10,7 +10,7 @@ from prismflow.queries import QUERIES, SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["lifted_reach_cyclic"](spark, sf_dir)
+    return QUERIES["lifted_reach_cyclic_all"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -45,9 +45,9 @@ def lines(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.expr(LINE_MASK).alias("cond"), *more)
 
 
-def supply_edges(spark: SparkSession, sf_dir: str, least: int = 40) -> DataFrame:
-    """src, dst, cond: suppliers (even numbers) and parts (odd ones) that deal with each other in lines of ``least`` pieces, both ways."""
-    own = lines(spark, sf_dir, "l_quantity").where(F.col("l_quantity") >= least).groupBy((2 * F.col("l_suppkey")).alias("s"), (2 * F.col("l_partkey") + 1).alias("p")).agg(F.bit_or("cond").alias("cond"))
+def supply_edges(spark: SparkSession, sf_dir: str, least: int | None = 40) -> DataFrame:
+    """src, dst, cond: suppliers (even numbers) and parts (odd ones) that deal with each other in lines of ``least`` pieces (None: in any line), both ways."""
+    own = lines(spark, sf_dir, "l_quantity").where(F.lit(True) if least is None else F.col("l_quantity") >= least).groupBy((2 * F.col("l_suppkey")).alias("s"), (2 * F.col("l_partkey") + 1).alias("p")).agg(F.bit_or("cond").alias("cond"))
     return own.select(F.col("s").alias("src"), F.col("p").alias("dst"), "cond").unionByName(own.select(F.col("p").alias("src"), F.col("s").alias("dst"), "cond"))
 
 
