@@ -63,11 +63,36 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 
 
 def row_id() -> F.Column:
-    """A number for each row: partition and place in it. It repeats in every pass over a table scan or a
-    checkpoint, whose partitions are fixed; it doesn't for what a shuffle has just made."""
+    """A number for each row: partition and place in it. It holds for one pass only, since another pass may split a scan otherwise;
+    what takes rows up again needs ``numbered``."""
     return F.monotonically_increasing_id()
 
 
+def of_one_scan(df: DataFrame) -> bool:
+    """Whether the rows of ``df`` are rows of one Parquet scan, each once at most."""
+    plan = df._jdf.queryExecution().analyzed()
+    if not plan.deterministic() or "_metadata" in (c.lower() for c in df.columns):
+        return False
+    while plan.getClass().getSimpleName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    return plan.getClass().getSimpleName() == "LogicalRelation" and plan.relation().getClass().getSimpleName() == "HadoopFsRelation" and "Parquet" in plan.relation().fileFormat().getClass().getSimpleName()
+
+
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with a number ``name`` for each row that stays the same in every later pass, however a pass splits its input.
+
+    Rows of a Parquet scan are numbered by file and place in the file; only the list of files goes to the driver. Any other table is written
+    once to the shared folder, and the result reads it from there.
+    """
+    if not of_one_scan(df):
+        return checkpoint(df.withColumn(name, row_id()))
+    path, at = fresh(df, "file_path", "file_number")
+    files = sorted(r[0] for r in df.select(F.col("_metadata.file_path").alias(path)).distinct().collect())
+    known = df.sparkSession.createDataFrame([(f, k << 40) for k, f in enumerate(files)], f"`{path}` string, `{at}` long")
+    own = df.select("*", F.col("_metadata.file_path").alias(path), F.col("_metadata.row_index").alias(name))
+    return own.join(F.broadcast(known), path).withColumn(name, F.col(name) + F.col(at)).drop(path, at)
+
+
 def extended(df: DataFrame, *more: T.StructField) -> tuple[list[str], T.StructType]:
     """The columns of ``df`` that go on and the schema with ``more``; a column of a new one's name is replaced."""
     new = {f.name.lower() for f in more}

@@ -24,17 +24,17 @@ def normalised(text: F.Column) -> F.Column:
     return text
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", heavy: int = 64, tracked: int = 4096) -> DataFrame:
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", heavy: int = 64, tracked: int = 4096, row_col: str | None = None) -> DataFrame:
     """One row per row of ``docs``: row_id, doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal if they are identical without white space. Of equal texts the one with the most code
     points stays, then the one with the smallest id (null ids last), then the first row, so that exactly one row
     of each group has kept = true even if whole rows repeat. Null text counts as empty, and all empty texts are
-    equal. Other columns of ``docs`` are not read. An empty table gives an empty result.
+    equal. Other columns of ``docs`` are not read. ``row_col`` has the rows' numbers if there are any. An empty table gives an empty result.
     """
     digests = common.checkpoint(
         docs.select(
-            common.row_id().alias("row_id"),
+            (F.col(row_col) if row_col else common.row_id()).alias("row_id"),
             F.col(id_col).alias("doc_id"),
             F.length(F.coalesce(F.col(text_col), F.lit(""))).alias("length"),
             F.unhex(F.sha2(normalised(F.col(text_col)), 256)).alias("digest"),
@@ -64,10 +64,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all their columns, that exact_groups() keeps. ``docs`` is a table scan or a checkpoint."""
+    """The rows of ``docs``, with all their columns, that exact_groups() keeps."""
     (row,) = common.fresh(docs, "row_id")
-    gone = exact_groups(docs, id_col, text_col).where(~F.col("kept")).select(F.col("row_id").alias(row))
-    return docs.withColumn(row, common.row_id()).join(gone, row, "left_anti").drop(row)
+    docs = common.numbered(docs, row)
+    gone = exact_groups(docs, id_col, text_col, row_col=row).where(~F.col("kept")).select(F.col("row_id").alias(row))
+    return docs.join(gone, row, "left_anti").drop(row)
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

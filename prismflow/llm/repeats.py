@@ -291,9 +291,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     A byte goes if a string of ``depth`` bytes over it starts anywhere else too, in this text or another; copies of
     whole texts are no exception, so that all of them go if they are that long. Null is empty; texts shorter than ``depth`` stay
-    whole. Rows that repeat, and null ids, are texts of their own. ``docs`` is a table scan or a checkpoint.
+    whole. Rows that repeat, and null ids, are texts of their own.
     """
-    rows = docs.select(common.row_id().alias("row_id"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = common.numbered(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "row_id").select("row_id", "doc_id", "text")
     spans = repeated_spans(rows.select("row_id", "text"), depth, block)
     spans = spans.groupBy("row_id").agg(F.flatten(F.collect_list(F.array("a", "b"))).alias("spans"))
     joined = packed_texts(rows).join(spans, "row_id", "left").select("row_id", "doc_id", "packed", "spans")

@@ -65,13 +65,14 @@ def fingerprint(text: bytes, size: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, text_col: str = "text", size: int = SHINGLE) -> DataFrame:
+def fingerprints(docs: DataFrame, text_col: str = "text", size: int = SHINGLE, row_col: str | None = None) -> DataFrame:
     """row_id, doc columns but the text, and fp (the 64-bit SimHash as a signed number) for each row of ``docs``.
 
-    A null text has no words, as an empty one; no words: fingerprint zero. Fewer than ``size`` words are one shingle.
+    A null text has no words, as an empty one; no words: fingerprint zero. Fewer than ``size`` words are one shingle. ``row_col`` has
+    the rows' numbers if there are any.
     """
     common.arrow_rows(docs.sparkSession)
-    rows = docs.select(common.row_id().alias("row_id"), *docs.columns)
+    rows = docs.select((F.col(row_col) if row_col else common.row_id()).alias("row_id"), *(c for c in docs.columns if c != row_col))
     kept = [c for c in rows.columns if c != text_col]
     schema = T.StructType([*(rows.schema[c] for c in kept), T.StructField("fp", T.LongType())])
 
@@ -112,14 +113,15 @@ def links(prints: DataFrame, bits: int = BITS) -> DataFrame:
     return meet.where((tally >= 8 - bits) & (F.bit_count(differ) <= bits) & (earlier == F.shiftright("list", 24))).select("x", "y")
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, row_col: str | None = None) -> DataFrame:
     """row_id, doc_id, fp, component_id (smallest id reachable over links, itself included), first_row (row that stands for the
     component) for each row of ``docs``; equal fingerprints are one class, which links once for all its rows.
 
     Null ids count as the largest; a component of null ids only has a null component_id. Rows that
     repeat are rows of their own with one fingerprint. An empty table gives an empty result.
     """
-    prints = common.checkpoint(fingerprints(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))))
+    own = [F.col(row_col).alias("row_id")] if row_col else []
+    prints = common.checkpoint(fingerprints(docs.select(*own, F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), row_col="row_id" if row_col else None))
     classes = common.checkpoint(prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("row_id").alias("row"))).alias("best")))
     found = graph.components(links(classes.select("fp"), bits).select(F.col("x").alias("a"), F.col("y").alias("b")))
     label = classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
@@ -129,10 +131,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:
-    """The rows of ``docs``, with all their columns, but one row of each component only: that of the smallest id. ``docs`` is a table scan or a checkpoint."""
+    """The rows of ``docs``, with all their columns, but one row of each component only: that of the smallest id."""
     (row,) = common.fresh(docs, "row_id")
-    gone = near_groups(docs, id_col, text_col, bits).where("row_id <> first_row").select(F.col("row_id").alias(row))
-    return docs.withColumn(row, common.row_id()).join(gone, row, "left_anti").drop(row)
+    docs = common.numbered(docs, row)
+    gone = near_groups(docs, id_col, text_col, bits, row).where("row_id <> first_row").select(F.col("row_id").alias(row))
+    return docs.join(gone, row, "left_anti").drop(row)
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
