@@ -18,8 +18,14 @@ from pyspark.sql import functions as F
 
 from prismflow.llm import common
 
-#: A candidate: 16 or more characters of keys and encodings.
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
+#: A candidate: 16 or more characters of keys and encodings, with no name and '=' before them.
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+={0,2}+(?![A-Za-z0-9+/_=-])")
+#: A name of a secret up to the value that it gets.
+NAMED = r"""(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|credential|auth|access[_-]?key|private[_-]?key)[A-Za-z0-9_.-]{0,24}["']?[ \t]{0,8}(?:=>|:=|[=:])[ \t]{0,8}(?:(?:bearer|basic|token)[ \t]+)?["']?"""
+#: Such a value may be shorter and have other signs: up to its quote, or to a blank.
+ASSIGNED = re.compile(NAMED + r"""(?:(?<=")([^"\s]{6,})|(?<=')([^'\s]{6,})|(?<!["'])([^\s"',;()]{6,}))""", re.I)
+#: Keys that show by themselves what they are; a JWT is one with all its parts.
+KEYS = re.compile(r"(?<![A-Za-z0-9])(?:A[KS]IA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{16,}|github_pat_\w{20,}|xox[abeprs]-[A-Za-z0-9-]{10,}|[sr]k_live_[A-Za-z0-9]{10,}|AIza[A-Za-z0-9_-]{20,}|eyJ[A-Za-z0-9_-]{8,}(?:\.[A-Za-z0-9_=-]{4,}){1,4})")
 #: Names and marks next to a secret, and next to what only looks like one (fixed values).
 KEYWORDS = ("token", "secret", "password", "passwd", "pwd", "api_key", "apikey", "access", "private", "credential", "auth", "bearer")
 OTHERWISE = ("sha1", "sha256", "md5", "commit", "checksum", "digest", "uuid", "example", "sample", "dummy", "test", "href", "src")
@@ -32,7 +38,7 @@ KINDS = 5  # lower, upper, digit, sign, none
 
 
 def kinds(text: str) -> np.ndarray:
-    b = np.frombuffer(text.encode("ascii"), np.uint8)
+    b = np.frombuffer(text.encode("ascii", "replace"), np.uint8)
     return np.select([(b >= 97) & (b <= 122), (b >= 65) & (b <= 90), (b >= 48) & (b <= 57)], [0, 1, 2], 3)
 
 
@@ -136,14 +142,47 @@ def fit(x: np.ndarray, y: np.ndarray, words: frozenset[str], seed: int = 11) ->
 
 
 def stand_in_label(before: str, own: str, after: str) -> bool:
-    """The label of a finding where the tables have none: a quoted value that is assigned to a name like token or password,
-    mixes letters and digits, and isn't called an example."""
-    assigned = re.search(r"(?i)\b(?:[a-z_]*(?:token|secret|passw(?:or)?d|pwd|api_?key|credential|auth)[a-z_]*)\s*[=:]\s*[\"']?$", before)
-    return bool(assigned) and bool(re.search("[0-9]", own)) and bool(re.search("[A-Za-z]", own)) and not re.search("(?i)example|dummy", before + after)
+    """The label of a finding where the tables have none: a key of a known form, or a value that is assigned to a name like token or
+    password and mixes letters with digits or signs, which isn't called an example."""
+    mixed = re.search("[A-Za-z]", own) and re.search("[0-9!@#$%^&*]", own)
+    return bool(KEYS.match(own) or (mixed and re.search(NAMED + "$", before, re.I))) and not re.search("(?i)example|dummy", before + after)
+
+
+def forms(seed: int) -> list[str]:
+    """Usual forms of secrets, and of what only looks like one, with values drawn at random: a sample of documents may have few of them."""
+    rng = np.random.default_rng(seed)
+    draw = lambda of, n: "".join(rng.choice(list(of), n))
+    digits, lower = "0123456789", "abcdefghijklmnopqrstuvwxyz"
+    every = digits + lower + lower.upper()
+    out = []
+    for _ in range(20):
+        for name in ("password", "db_passwd", "API_TOKEN", "client_secret", "apiKey", "AUTH", "aws_secret_access_key"):
+            value = draw(every + "!@#$%", rng.integers(8, 16)) if rng.random() < 0.5 else draw(every, rng.integers(16, 48))
+            put = rng.choice(["{}={}", '{} = "{}"', "{}: '{}'", '"{}": "{}"', "export {}={}"])
+            out += [put.format(name, value), put.format(name, draw(lower, rng.integers(6, 14)))]
+        out += [f"AKIA{draw(digits + lower.upper(), 16)}", f"see ghp_{draw(every, 36)} there", f"xoxb-{draw(digits, 11)}-{draw(every, 24)}", f"Authorization: Bearer eyJ{draw(every, 20)}.eyJ{draw(every, 30)}.{draw(every, 43)}"]
+        out += [f"commit {draw('0123456789abcdef', 40)}", f"sha256: {draw('0123456789abcdef', 64)}", f"href=/a/{draw(lower, 20)}", f'example_token = "{draw(every, 24)}"', f"id = {draw(digits, 18)}", f"class {draw(lower, 18)}"]
+    return out
 
 
 def find(text: str) -> Iterator[tuple[int, int]]:
-    return (m.span() for m in CANDIDATE.finditer(text))
+    """Candidates in order, none over another: values of names first, then keys of known forms, then what else looks like one."""
+    taken: list[tuple[int, int]] = []
+    for m in ASSIGNED.finditer(text):
+        a, b = m.span(m.lastindex)
+        key = next((k.span() for k in KEYS.finditer(text, a, b) if k.start() > a), None) if m.lastindex == 3 else None
+        taken.append((a, b) if key is None else key)
+    for pattern in (KEYS, CANDIDATE):
+        before, k = taken, 0
+        taken = []
+        for m in pattern.finditer(text):
+            while k < len(before) and before[k][1] <= m.start():
+                taken.append(before[k])
+                k += 1
+            if k == len(before) or before[k][0] >= m.end():
+                taken.append(m.span())
+        taken += before[k:]
+    return iter(taken)
 
 
 def train(docs: DataFrame, label=stand_in_label, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source", sample: int = SAMPLE, findings: int = FINDINGS, seed: int = 11) -> Forest:
@@ -168,6 +207,9 @@ def train(docs: DataFrame, label=stand_in_label, id_col: str = "doc_id", text_co
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.list_(pa.float64()), pa.bool_()), strict=True)], names=["id", "at", "x", "y"])
 
     found = chosen.mapInArrow(run, "id string, at long, x array<double>, y boolean").orderBy(F.xxhash64("id", "at"), "id", "at").limit(findings).collect()
+    if found:
+        for text in forms(seed):
+            found += [{"x": features(text, a, b, "", words), "y": label(text[max(0, a - NEAR) : a], text[a:b], text[b : b + NEAR])} for a, b in find(text)]
     return fit(np.array([r["x"] for r in found], float).reshape(-1, N_FEATURES), np.array([r["y"] for r in found], float), words, seed)
 
 
