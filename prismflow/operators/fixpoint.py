@@ -6,6 +6,7 @@ import os
 import tempfile
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,14 +29,23 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-#: Rows up to which a static table is broadcast instead of shuffled in every round.
-SMALL = 100_000
+#: Rows of a static table that make one partition, as long as all cores have one and the session's shuffle partitions allow it.
+ROWS = 50_000
 
 
-def static(df: DataFrame) -> DataFrame:
-    """``df``, written once; broadcast if its rows have been counted and are few."""
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """``df``, written once, dealt and sorted by ``keys``: joins by them, round after round, move the other side only."""
     df = saved(df)
-    return F.broadcast(df) if df.count() <= SMALL else df
+    spark = df.sparkSession
+    most, cores = int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism
+    parts = max(1, min(most, max(cores, df.count() // ROWS)))
+    # Adaptive plans hide how their rows are dealt, so that this one is written without.
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return saved(df.repartition(parts, *keys).sortWithinPartitions(*keys))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
 
 
 @dataclass
@@ -47,42 +57,80 @@ class Rounds:
 
 
 class NotReached(RuntimeError):
-    """A fixpoint took more rounds than allowed."""
+    """A fixpoint took more rounds than its caller allows."""
 
 
-def fixpoint(seeds: DataFrame, step: Callable[[DataFrame, DataFrame, DataFrame], DataFrame], keys: list[str], cond: str = "cond", most: int = 500, rounds: Rounds | None = None) -> DataFrame:
+class State:
+    """All rows that a fixpoint knows: what each round found, appended, and an older part dealt by the keys.
+
+    A round's part is only moved again when the parts have outgrown the older part, or there are many, so that
+    rows are rewritten a logarithmic number of times and not once a round.
+    """
+
+    PARTS, SMALL = 12, 1_000_000
+
+    def __init__(self, keys: list[str], cond: str):
+        self.keys, self.cond = keys, cond
+        self.base: DataFrame | None = None
+        self.parts: list[DataFrame] = []
+        self.size = self.more = 0
+
+    def append(self, part: DataFrame, rows: int) -> None:
+        self.parts.append(part)
+        self.more += rows
+        if self.more > max(self.SMALL, 2 * self.size) or len(self.parts) > self.PARTS:
+            self.base = dealt(self.all(), *self.keys)
+            self.size, self.more, self.parts = self.size + self.more, 0, []
+
+    def all(self) -> DataFrame:
+        every = reduce(DataFrame.unionByName, self.parts, self.base) if self.base else reduce(DataFrame.unionByName, self.parts)
+        return every.groupBy(*self.keys).agg(F.bit_or(self.cond).alias(self.cond))
+
+    def unknown(self, found: DataFrame) -> DataFrame:
+        """The bits of ``found`` that no row has yet."""
+        none = F.lit(0).cast("bigint")
+        rows = found.select(*self.keys, F.col(self.cond).alias("now"), none.alias("was")).where("now <> 0")
+        for part in self.parts:
+            rows = rows.unionByName(part.select(*self.keys, none.alias("now"), F.col(self.cond).alias("was")))
+        new = F.col("now").bitwiseAND(F.bitwise_not(F.col("was")))
+        rows = rows.groupBy(*self.keys).agg(F.bit_or("now").alias("now"), F.bit_or("was").alias("was")).select(*self.keys, new.alias("now")).where("now <> 0")
+        if self.base is not None:
+            rows = rows.join(self.base.withColumnRenamed(self.cond, "was"), self.keys, "left").select(*self.keys, F.col("now").bitwiseAND(F.bitwise_not(F.coalesce("was", none))).alias("now")).where("now <> 0")
+        return rows.withColumnRenamed("now", self.cond)
+
+
+def fixpoint(seeds: DataFrame, step: Callable[[DataFrame], DataFrame], keys: list[str], cond: str = "cond", most: int | None = None, rounds: Rounds | None = None, known: DataFrame | None = None) -> DataFrame:
     """Rows ``keys`` with the condition ``cond`` under which they follow from ``seeds`` by ``step``.
 
-    ``step(delta, before, after)`` returns candidates from what is new in this round, all that was known before it, and both
-    together. Only new configurations of a row are in ``delta``, so each row's bit is followed once. A round is one shuffle by the keys, in
-    which known rows and candidates meet, after candidates are joined per task; it is checkpointed, so that lineage stays short and lost executors cost one round.
+    ``step(delta)`` returns candidates from what is new in this round. Only new configurations of a row are in ``delta``, so
+    each row's bit is followed once. A round is one shuffle of candidates by the keys, aggregated per task first; what is new is checkpointed,
+    so that lineage stays short and lost executors cost one round. ``most``: rounds after which to give up (None: never). ``known``: rows that
+    are there already and have been followed.
     """
     rounds = Rounds() if rounds is None else rounds
-    none = F.lit(0).cast("bigint")
-    state = saved(seeds.groupBy(*keys).agg(F.bit_or(cond).alias("now")).where("now <> 0").withColumn("was", none))
-    for _ in range(most):
-        fresh = F.col("now").bitwiseAND(F.bitwise_not(F.col("was")))
-        delta = state.withColumn(cond, fresh).where(F.col(cond) != 0).select(*keys, cond)
+    state = State(keys, cond)
+    if known is not None:
+        state.parts.append(known.select(*keys, cond))
+    delta = saved(state.unknown(seeds))
+    while True:
         n, bits = delta.agg(F.count(F.lit(1)), F.sum(F.bit_count(cond))).first()
         if not n:
-            return state.select(*keys, F.col("now").alias(cond))
+            return state.all() if state.parts or state.base is not None else delta
+        if most is not None and len(rounds.rows) >= most:
+            raise NotReached(f"no fixpoint after {most} rounds")
         rounds.rows.append(n)
         rounds.bits.append(bits)
-        before = state.where("was <> 0").select(*keys, F.col("was").alias(cond))
-        after = state.select(*keys, F.col("now").alias(cond))
-        found = step(delta, before, after).select(*keys, F.col(cond).alias("now"), none.alias("was"))
-        known = state.select(*keys, "now", F.col("now").alias("was"))
-        state = saved(known.unionByName(found).where("now <> 0").groupBy(*keys).agg(F.bit_or("now").alias("now"), F.bit_or("was").alias("was")))
-    raise NotReached(f"no fixpoint after {most} rounds")
+        state.append(delta, n)
+        delta = saved(state.unknown(step(delta)))
 
 
 def reach(start: DataFrame, edges: DataFrame, model: int | None = None, rounds: Rounds | None = None) -> DataFrame:
     """node, cond: under which conditions the nodes of ``start`` (node, cond) reach each node along ``edges`` (src, dst, cond)."""
     if model is not None:
         start = start.withColumn("cond", F.col("cond").bitwiseAND(F.lit(model).cast("bigint")))
-    edges = static(edges.groupBy("src", "dst").agg(F.bit_or("cond").alias("e")))
+    edges = dealt(edges.groupBy("src", "dst").agg(F.bit_or("cond").alias("e")), "src")
 
-    def step(delta: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    def step(delta: DataFrame) -> DataFrame:
         return delta.join(edges, delta["node"] == edges["src"]).select(F.col("dst").alias("node"), F.col("cond").bitwiseAND(F.col("e")).alias("cond"))
 
     return fixpoint(start, step, ["node"], rounds=rounds)

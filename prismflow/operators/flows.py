@@ -11,8 +11,12 @@ from pyspark.sql import functions as F
 Flow = Callable[[DataFrame], DataFrame]
 
 
+def _same(steps: DataFrame) -> DataFrame:
+    return steps
+
+
 def identity() -> Flow:
-    return lambda steps: steps
+    return _same
 
 
 def kill(value: Column) -> Flow:
@@ -40,8 +44,9 @@ def compose(*flows: Flow) -> Flow:
 
 
 def union(*flows: Flow) -> Flow:
-    """All of what any gives. Identities among them are left out, as the reference semantics has it; with nothing else, identity."""
-    return lambda steps: reduce(DataFrame.unionByName, [flow(steps) for flow in flows]).distinct() if flows else steps
+    """All of what any gives. Identities among them are left out, so that a fact which another flow kills is gone; with nothing else, identity."""
+    others = [flow for flow in flows if flow is not _same]
+    return (lambda steps: reduce(DataFrame.unionByName, [flow(steps) for flow in others]).distinct()) if others else _same
 
 
 def with_zero(flow: Flow, zero: Column) -> Flow:

@@ -122,10 +122,25 @@ def gen_kill_transfer(spark: SparkSession, d: str) -> DataFrame:
     return flow(own).groupBy("d").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""WITH t AS (SELECT user_id, {EVENT_VAR} AS d FROM ({EVENT_SQL})) SELECT d, count(*)::BIGINT AS n FROM (SELECT DISTINCT * FROM (SELECT * FROM t WHERE d <> 'v0' UNION ALL SELECT * FROM t WHERE d <> 'v1')) GROUP BY 1""")
+@query(f"""WITH t AS (SELECT user_id, {EVENT_VAR} AS d FROM ({EVENT_SQL})) SELECT d, count(*)::BIGINT AS n FROM (SELECT DISTINCT * FROM t WHERE d <> 'v0') GROUP BY 1""")
 def flow_union(spark: SparkSession, d: str) -> DataFrame:
+    """The identity among them is left out."""
     own = D.events(spark, d).select("user_id", F.expr(EVENT_VAR).alias("d"))
-    return flows.union(flows.kill(F.lit("v0")), flows.kill(F.lit("v1")), flows.kill_all())(own).groupBy("d").agg(F.count(F.lit(1)).alias("n"))
+    return flows.union(flows.identity(), flows.kill(F.lit("v0")), flows.kill_all())(own).groupBy("d").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH t AS (SELECT event_type, {EVENT_VAR} AS d FROM ({EVENT_SQL})) SELECT d, count(*)::BIGINT AS n FROM (SELECT d FROM t WHERE event_type = 'view' AND d <> 'v0' UNION ALL SELECT d FROM t WHERE event_type = 'click' UNION ALL SELECT 'new' FROM t WHERE event_type = 'click' AND d = 'v1') GROUP BY 1""")
+def flow_by_kind(spark: SparkSession, d: str) -> DataFrame:
+    own = D.events(spark, d).select("event_type", F.expr(EVENT_VAR).alias("d"))
+    flow = flows.by_kind(F.col("event_type"), {"view": flows.kill(F.lit("v0")), "click": flows.gen(F.lit("new"), F.lit("v1"))})
+    return flow(own).groupBy("d").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""SELECT event_id, ((pc & {F4}) = ({F3} & {F4})) AS as_f3, CASE WHEN (pc & {D.F1}) <> 0 THEN pc ELSE 0 END AS inside FROM ({EVENT_SQL})""")
+def under_a_model(spark: SparkSession, d: str) -> DataFrame:
+    """Equivalence with feature 3 where feature 4 is on, and conditions that a model of feature 1 allows."""
+    pc = F.col("pc")
+    return D.events(spark, d).select("event_id", C.equivalent(pc, C.lit(F3), F4).alias("as_f3"), C.within(pc, D.F1).alias("inside"))
 
 
 @query("""SELECT p_partkey, (a = b) AS full_match, (a = b OR starts_with(a, b || '.')) AS part_match FROM (SELECT p_partkey, replace(p_type, ' ', '.') AS a, regexp_extract(replace(p_type, ' ', '.'), '^[^.]*(\\.[^.]*)?') AS b FROM part)""")
@@ -137,9 +152,6 @@ def field_match(spark: SparkSession, d: str) -> DataFrame:
 
 # Call graph and linking.
 
-_PROGRAM_NAMES = "SELECT n_nationkey AS file, c_custkey AS call, c_name FROM customer"
-
-
 @query(f"""SELECT l_partkey AS name, l_suppkey AS file, count(*)::BIGINT AS n, bit_or(i & e)::BIGINT AS cond FROM (SELECT l_partkey, l_suppkey, {LINE_MASK} AS i FROM lineitem) JOIN (SELECT p_partkey, CAST(CASE p_size % 3 WHEN 0 THEN {F3} WHEN 1 THEN {T - F3} ELSE {T} END AS BIGINT) AS e FROM part) ON l_partkey = p_partkey WHERE (i & e) <> 0 GROUP BY 1, 2""")
 def link_imports_exports(spark: SparkSession, d: str) -> DataFrame:
     imports = D.lines(spark, d).select(F.col("l_partkey").alias("name"), F.col("l_suppkey").alias("file"), "cond")
@@ -185,28 +197,30 @@ def user_functions(spark: SparkSession, d: str) -> DataFrame:
     return callgraph.user_functions(calls, system).select("call", "name")
 
 
-@query(f"""WITH a AS (SELECT l_orderkey AS call, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS pos, l_partkey AS actual, {LINE_MASK} AS a_cond FROM lineitem),
-f AS (SELECT DISTINCT l_suppkey AS method, pos, 'f' || pos AS formal FROM (SELECT l_suppkey, unnest(range(1 + l_suppkey % 4)) AS pos FROM lineitem)),
-e AS (SELECT l_orderkey AS call, l_suppkey AS method, bit_or({LINE_MASK}) AS cond FROM lineitem WHERE l_quantity >= 40 GROUP BY 1, 2)
-SELECT call, method, actual, formal, (cond & a_cond)::BIGINT AS cond FROM e JOIN a USING (call) JOIN f USING (method) WHERE (a.pos = f.pos OR (f.pos = method % 4 AND method % 2 = 0 AND a.pos > f.pos)) AND (cond & a_cond) <> 0""")
-def param_zip(spark: SparkSession, d: str) -> DataFrame:
-    return _param_zip(spark, d, "l_quantity >= 40")
+#: Places of parameters by a walk along each call's options: one that the group's condition implies begins a new place.
+_PLACES = f"""own AS (SELECT l_orderkey AS call, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS k, l_partkey AS actual, {LINE_MASK} AS c FROM lineitem),
+a(call, k, actual, c, pos, so) AS (SELECT call, k, actual, c, 0, c FROM own WHERE k = 1 UNION ALL SELECT o.call, o.k, o.actual, o.c, CASE WHEN so <> 0 AND (so & o.c) = so THEN pos + 1 ELSE pos END, CASE WHEN so <> 0 AND (so & o.c) = so THEN o.c ELSE so | o.c END FROM a JOIN own o ON o.call = a.call AND o.k = a.k + 1)"""
 
 
-@query(SQL["param_zip"].replace(" WHERE l_quantity >= 40", ""))
-def param_zip_all(spark: SparkSession, d: str) -> DataFrame:
-    """All lines are call edges."""
-    return _param_zip(spark, d, "true")
+def _options(spark: SparkSession, d: str) -> DataFrame:
+    return D.lines(spark, d, "l_extendedprice").select(F.col("l_orderkey").alias("call"), F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("at"), F.col("l_partkey").alias("actual"), "cond")
 
 
-def _param_zip(spark: SparkSession, d: str, which: str) -> DataFrame:
-    own = D.lines(spark, d, "l_quantity", "l_extendedprice")
-    at = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    actuals = own.select(F.col("l_orderkey").alias("call"), (F.row_number().over(at) - 1).alias("pos"), F.col("l_partkey").alias("actual"), "cond")
+@query(f"""WITH RECURSIVE {_PLACES} SELECT call, pos::INT AS pos, actual, c AS cond FROM a""")
+def option_lists(spark: SparkSession, d: str) -> DataFrame:
+    return callgraph.positions(_options(spark, d))
+
+
+@query(f"""WITH RECURSIVE {_PLACES},
+f AS (SELECT DISTINCT l_suppkey AS method, pos, 'f' || pos AS formal FROM (SELECT l_suppkey, unnest(range(1 + l_suppkey % 4)) AS pos FROM lineitem)),
+e AS (SELECT l_orderkey AS call, l_suppkey AS method, bit_or({LINE_MASK}) AS cond FROM lineitem GROUP BY 1, 2)
+SELECT call, method, actual, formal, (cond & c)::BIGINT AS cond FROM e JOIN a USING (call) JOIN f USING (method) WHERE (a.pos = f.pos OR (f.pos = method % 4 AND method % 2 = 0 AND a.pos > f.pos)) AND (cond & c) <> 0""")
+def param_zip(spark: SparkSession, d: str) -> DataFrame:
+    own = D.lines(spark, d)
     formals = own.select(F.col("l_suppkey").alias("method")).distinct().select("method", F.explode(F.sequence(F.lit(0), (F.col("method") % 4).cast("int"))).alias("pos"))
     formals = formals.select("method", "pos", F.concat(F.lit("f"), F.col("pos").cast("string")).alias("formal"), C.lit(T).alias("cond"), ((F.col("pos") == F.col("method") % 4) & (F.col("method") % 2 == 0)).alias("variadic"))
-    edges = own.where(which).groupBy(F.col("l_orderkey").alias("call"), F.col("l_suppkey").alias("method")).agg(F.bit_or("cond").alias("cond"))
-    return callgraph.zip_parameters(actuals, formals, edges)
+    edges = own.groupBy(F.col("l_orderkey").alias("call"), F.col("l_suppkey").alias("method")).agg(F.bit_or("cond").alias("cond"))
+    return callgraph.zip_parameters(callgraph.positions(_options(spark, d)), formals, edges)
 
 
 @query("""WITH f AS (SELECT n_regionkey AS s, n_name, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS k FROM nation), v AS (SELECT s_suppkey % 5 AS s, s_name, row_number() OVER (PARTITION BY s_suppkey % 5 ORDER BY s_suppkey) AS k FROM supplier)
@@ -217,19 +231,9 @@ def zip_initialisers(spark: SparkSession, d: str) -> DataFrame:
     return callgraph.zip_initialisers(fields, values)
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS f, ps.l2 AS t FROM lineitem JOIN (SELECT DISTINCT l_partkey AS p, l_suppkey AS l2 FROM lineitem WHERE l_quantity >= 49) ps ON l_partkey = p WHERE l_quantity >= 49), r(f) AS (SELECT 1::BIGINT UNION SELECT t FROM r JOIN e ON r.f = e.f) SELECT f AS file FROM r""")
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS f, ps.l2 AS t FROM lineitem JOIN (SELECT DISTINCT l_partkey AS p, l_suppkey AS l2 FROM lineitem) ps ON l_partkey = p), r(f) AS (SELECT 1::BIGINT UNION SELECT t FROM r JOIN e ON r.f = e.f) SELECT f AS file FROM r""")
 def import_closure(spark: SparkSession, d: str) -> DataFrame:
-    return _import_closure(spark, d, "l_quantity >= 49")
-
-
-@query(SQL["import_closure"].replace(" WHERE l_quantity >= 49", ""))
-def import_closure_all(spark: SparkSession, d: str) -> DataFrame:
-    """All lines are imports and exports."""
-    return _import_closure(spark, d, "true")
-
-
-def _import_closure(spark: SparkSession, d: str, which: str) -> DataFrame:
-    own = table(spark, d, "lineitem").where(which).select(F.col("l_suppkey").alias("file"), F.col("l_partkey").alias("name"))
+    own = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("file"), F.col("l_partkey").alias("name"))
     return callgraph.import_closure(spark.createDataFrame([(1,)], "file long"), own, own)
 
 
@@ -245,11 +249,34 @@ def conditional_sets(spark: SparkSession, d: str) -> DataFrame:
     return both.select("k", F.col("cond").alias("united")).join(conditional.get(conditional.minus(a, b), conditional.plain(both)).withColumnRenamed("cond", "a_only"), "k")
 
 
-@query(f"""WITH o AS (SELECT user_id, ts, event_id, pc FROM ({EVENT_SQL})), l AS (SELECT user_id, list(pc ORDER BY ts, event_id) AS pcs FROM o GROUP BY 1),
-RECURSIVE_STEPS AS (SELECT 1) SELECT user_id, len(pcs)::BIGINT AS n FROM l""".replace(",\nRECURSIVE_STEPS AS (SELECT 1)", ""))
-def option_lists(spark: SparkSession, d: str) -> DataFrame:
-    own = D.events(spark, d).groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "pc"))), lambda x: F.struct(x["event_id"].cast("string").alias("value"), x["pc"].alias("cond"))).alias("options"))
-    return own.select("user_id", F.size(callgraph.variational_groups(F.col("options"))).cast("bigint").alias("n"))
+@query(f"""SELECT k, cond, (k % 2 = 0) AS even FROM (SELECT l_partkey AS k, bit_or({LINE_MASK})::BIGINT AS cond FROM lineitem GROUP BY 1)""")
+def set_partition(spark: SparkSession, d: str) -> DataFrame:
+    parts = conditional.normal(D.lines(spark, d).select(F.col("l_partkey").alias("k"), "cond"))
+    even, odd = conditional.partition(parts, F.col("k") % 2 == 0)
+    return even.withColumn("even", F.lit(True)).unionByName(odd.withColumn("even", F.lit(False)))
+
+
+@query(f"""SELECT l.l_orderkey AS n, l.l_partkey AS "left", r.l_suppkey AS "right", (l.c & r.c) AS cond FROM (SELECT l_orderkey, l_partkey, {LINE_MASK} AS c FROM lineitem WHERE l_linenumber % 2 = 1) l JOIN (SELECT l_orderkey, l_suppkey, {LINE_MASK} AS c FROM lineitem WHERE l_linenumber % 2 = 0) r USING (l_orderkey) WHERE (l.c & r.c) <> 0""")
+def pair_assignments(spark: SparkSession, d: str) -> DataFrame:
+    """Alternatives of two sides: an order's lines of odd and of even number."""
+    own = D.lines(spark, d).withColumnRenamed("l_orderkey", "n")
+    return alias.pair_assignments(own.where("l_linenumber % 2 = 1").select("n", F.col("l_partkey").alias("left"), "cond"), own.where("l_linenumber % 2 = 0").select("n", F.col("l_suppkey").alias("right"), "cond"))
+
+
+@query(f"""SELECT "left", "right", bit_or(cond)::BIGINT AS cond FROM (SELECT 's' || l_suppkey AS "left", 'p' || l_partkey AS "right", {LINE_MASK} AS cond FROM lineitem UNION ALL SELECT 't' || l_orderkey, 's' || l_suppkey, {LINE_MASK} FROM lineitem) GROUP BY 1, 2""")
+def call_assignments(spark: SparkSession, d: str) -> DataFrame:
+    """What calls assign: each line passes its part to its supplier, and gets back the supplier."""
+    own, name = D.lines(spark, d), lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
+    params = own.select(F.col("l_orderkey").alias("call"), F.col("l_suppkey").alias("method"), name("p", "l_partkey").alias("actual"), name("s", "l_suppkey").alias("formal"), "cond")
+    returns = own.select(F.col("l_orderkey").alias("call"), name("t", "l_orderkey").alias("target"), name("s", "l_suppkey").alias("returned"), "cond")
+    return callgraph.grouped(alias.call_assignments(params, returns), "left", "right")
+
+
+@query("""WITH o AS (SELECT DISTINCT string_split(regexp_replace(url, '[?#].*$', ''), '/') AS o FROM pages), n AS (SELECT DISTINCT o[:k] AS o FROM o, LATERAL (SELECT unnest(range(1, len(o) + 1)) AS k) x) SELECT array_to_string(o[:-2], '.') AS node, o[-1] AS label, array_to_string(o, '.') AS part FROM n WHERE len(o) > 1""")
+def name_prefixes(spark: SparkSession, d: str) -> DataFrame:
+    """Names that are parts of other ones, by the paths of pages."""
+    names = alias.with_parts(table(spark, d, "pages").select(F.split(F.regexp_replace("url", "[?#].*$", ""), "/").alias("object"), C.lit(T).alias("cond"))).withColumn("id", F.array_join("object", "."))
+    return alias.prefixes(names).select("node", "label", "part")
 
 
 @query(f"SELECT event_id, user_id, event_type FROM ({EVENT_SQL}) WHERE ((pc >> 21) & 1) = 1")
@@ -288,7 +315,7 @@ def _reached(start: str, edges: str) -> str:
 s(node, cfg) AS ({start}), r(node, cfg) AS (SELECT node, cfg FROM s UNION SELECT x.dst, r.cfg FROM r JOIN x ON x.src = r.node AND x.cfg = r.cfg)"""
 
 
-_SUPPLY = f"""SELECT src, dst, bit_or(cond) AS cond FROM (SELECT 2 * l_suppkey AS src, 2 * l_partkey + 1 AS dst, {LINE_MASK} AS cond FROM lineitem WHERE l_quantity >= 40 UNION ALL SELECT 2 * l_partkey + 1, 2 * l_suppkey, {LINE_MASK} FROM lineitem WHERE l_quantity >= 40) GROUP BY 1, 2"""
+_SUPPLY = f"""SELECT src, dst, bit_or(cond) AS cond FROM (SELECT 2 * l_suppkey AS src, 2 * l_partkey + 1 AS dst, {LINE_MASK} AS cond FROM lineitem UNION ALL SELECT 2 * l_partkey + 1, 2 * l_suppkey, {LINE_MASK} FROM lineitem) GROUP BY 1, 2"""
 _START = "SELECT 2::BIGINT, cfg FROM c"
 
 
@@ -297,23 +324,11 @@ def lifted_reach_cyclic(spark: SparkSession, d: str) -> DataFrame:
     return fixpoint.reach(spark.createDataFrame([(2, T)], "node long, cond long"), D.supply_edges(spark, d))
 
 
-@query()
-def lifted_reach_cyclic_all(spark: SparkSession, d: str) -> DataFrame:
-    """Over the edges of all lines. No SQL: the recursion by configuration is tested on a small table."""
-    return fixpoint.reach(spark.createDataFrame([(2, T)], "node long, cond long"), D.supply_edges(spark, d, None))
-
-
 @query(f"""WITH RECURSIVE e AS ({_SUPPLY}), r(node) AS (SELECT 2::BIGINT UNION SELECT dst FROM r JOIN e ON src = node) SELECT node FROM r""")
 def ifds_reach(spark: SparkSession, d: str) -> DataFrame:
     return fixpoint.plain_reach(spark.createDataFrame([(2,)], "node long"), D.supply_edges(spark, d))
 
 
-@query(SQL["ifds_reach"].replace(" WHERE l_quantity >= 40", ""))
-def ifds_reach_all(spark: SparkSession, d: str) -> DataFrame:
-    """Over the edges of all lines."""
-    return fixpoint.plain_reach(spark.createDataFrame([(2,)], "node long"), D.supply_edges(spark, d, None))
-
-
 @query(f"""WITH s AS (SELECT r_regionkey, {T}::BIGINT AS c FROM region), n AS (SELECT n_nationkey, c & CASE WHEN n_nationkey % 2 = 0 THEN {F4} ELSE {T} END AS c FROM s JOIN nation ON n_regionkey = r_regionkey),
 k AS (SELECT c_custkey, c & CASE c_mktsegment WHEN 'BUILDING' THEN {F3} ELSE {T} END AS c FROM n JOIN customer ON c_nationkey = n_nationkey), o AS (SELECT o_orderkey, c & {ORDER_MASK} AS c FROM k JOIN orders ON o_custkey = c_custkey),
 p AS (SELECT l_partkey, bit_or(c & {LINE_MASK})::BIGINT AS cond FROM o JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1) SELECT l_partkey AS part, cond FROM p WHERE cond <> 0""")
@@ -328,21 +343,20 @@ def lifted_reach_dag(spark: SparkSession, d: str) -> DataFrame:
     return fixpoint.reach(start, edges).where("node LIKE 'p%'").select(F.substr("node", F.lit(2)).cast("bigint").alias("part"), "cond")
 
 
-_LINKS = f"""SELECT 2 * l_suppkey AS src, 2 * l_partkey + 1 AS dst, bit_or({LINE_MASK}) AS cond FROM lineitem WHERE l_quantity >= 49 GROUP BY 1, 2"""
+_LINKS = f"""SELECT 2 * l_suppkey AS src, 2 * l_partkey + 1 AS dst, bit_or({LINE_MASK}) AS cond FROM lineitem GROUP BY 1, 2"""
 
 
-@query(f"""WITH RECURSIVE l AS ({_LINKS}), b AS (SELECT src, dst, cond FROM l UNION ALL SELECT dst, src, cond FROM l), c AS (SELECT unnest([0, 9, 21, 30]) AS cfg), n AS (SELECT DISTINCT src AS node FROM b), x AS MATERIALIZED (SELECT src, dst, cfg FROM b, c WHERE ((cond >> cfg) & 1) = 1),
-r(cfg, node, label) AS (SELECT cfg, node, node FROM n, c UNION SELECT r.cfg, x.dst, r.label FROM r JOIN x ON x.src = r.node AND x.cfg = r.cfg AND r.label < x.dst) SELECT cfg::INT AS config, node, min(label) AS class FROM r GROUP BY 1, 2""")
+@query(f"""WITH RECURSIVE l AS ({_LINKS}), b AS (SELECT src, dst, cond FROM l UNION ALL SELECT dst, src, cond FROM l), c AS (SELECT unnest(range(32))::INT AS config), n AS (SELECT DISTINCT src AS node FROM b), x AS MATERIALIZED (SELECT src, dst, config FROM b, c WHERE ((cond >> config) & 1) = 1),
+r(config, node, label) USING KEY (config, node) AS (SELECT config, node, node FROM n, c UNION SELECT s.config, s.node, s.label FROM (SELECT x.config, x.dst AS node, min(r.label) AS label FROM r JOIN x ON x.src = r.node AND x.config = r.config GROUP BY 1, 2) s JOIN recurring.r k ON k.config = s.config AND k.node = s.node WHERE s.label < k.label) SELECT node, label AS class, sum(1::BIGINT << config)::BIGINT AS cond FROM r GROUP BY 1, 2""")
 def alias_classes(spark: SparkSession, d: str) -> DataFrame:
-    own = D.lines(spark, d, "l_quantity").where("l_quantity >= 49").groupBy((2 * F.col("l_suppkey")).alias("a"), (2 * F.col("l_partkey") + 1).alias("b")).agg(F.bit_or("cond").alias("cond"))
+    """Suppliers and parts that lines connect, in each configuration."""
+    own = D.lines(spark, d).groupBy((2 * F.col("l_suppkey")).alias("a"), (2 * F.col("l_partkey") + 1).alias("b")).agg(F.bit_or("cond").alias("cond"))
     nodes = own.select(F.col("a").alias("node")).unionByName(own.select(F.col("b").alias("node"))).distinct()
-    found = fixpoint.classes(nodes, own, T)
-    configs = F.broadcast(sampling.config_table(spark, [0, 9, 21, 30]).select("config"))
-    return found.join(configs, C.holds_in(F.col("cond"), F.col("config"))).select("config", "node", "class")
+    return fixpoint.classes(nodes, own, T)
 
 
 @query()
-def alias_classes_all(spark: SparkSession, d: str) -> DataFrame:
+def alias_congruence(spark: SparkSession, d: str) -> DataFrame:
     """Each line assigns its supplier's pointer to its part's and reads the field of its place through both; all lines, all configurations.
 
     node (name in dotted form), class (number of its least name), cond. No SQL: recursion over equal prefixes is beyond it.
@@ -371,22 +385,12 @@ def differential_eval(spark: SparkSession, d: str) -> DataFrame:
     return out.select("config", F.coalesce("lifted", F.lit(0)).alias("lifted"), F.coalesce("missing", F.lit(0)).alias("missing"))
 
 
-@query(f"""WITH m AS (SELECT l_partkey AS k, bit_or({LINE_MASK}) AS cond FROM lineitem WHERE l_quantity >= 45 GROUP BY 1), n AS (SELECT k, bit_count(cond & 2113601)::BIGINT AS n FROM m)
+@query(f"""WITH m AS (SELECT l_partkey AS k, bit_or({LINE_MASK}) AS cond FROM lineitem GROUP BY 1), n AS (SELECT k, bit_count(cond)::BIGINT AS n FROM m)
 SELECT count(*)::BIGINT AS facts, count(*) FILTER (WHERE n > 0)::BIGINT AS covered, sum(n)::BIGINT AS matches, max(n) AS most, min(n) AS least, (100 * count(*) FILTER (WHERE n > 0)) // count(*) AS percent FROM n""")
 def summary_metrics(spark: SparkSession, d: str) -> DataFrame:
-    return _summary_metrics(spark, d, "l_quantity >= 45", [0, 6, 14, 21])
-
-
-@query(SQL["summary_metrics"].replace(" WHERE l_quantity >= 45", "").replace("bit_count(cond & 2113601)", "bit_count(cond)"))
-def summary_metrics_all(spark: SparkSession, d: str) -> DataFrame:
-    """All lines in all configurations."""
-    return _summary_metrics(spark, d, "true", None)
-
-
-def _summary_metrics(spark: SparkSession, d: str, which: str, chosen: list[int] | None) -> DataFrame:
-    own = D.lines(spark, d, "l_quantity").where(which).select(F.col("l_partkey").alias("k"), "cond")
+    own = D.lines(spark, d).select(F.col("l_partkey").alias("k"), "cond")
     lifted = own.groupBy("k").agg(F.bit_or("cond").alias("cond"))
-    configs = sampling.config_table(spark, chosen).select("config")
+    configs = sampling.config_table(spark).select("config")
     sampled = own.join(F.broadcast(configs), C.holds_in(F.col("cond"), F.col("config"))).select("k", "config")
     return evaluate.summary(evaluate.compare(lifted, sampled, configs, ["k"])[1])
 
@@ -465,17 +469,55 @@ def file_names(spark: SparkSession, d: str) -> DataFrame:
 # The whole solver.
 
 
+_ORDER_PROGRAM = f"""
+o AS (SELECT o_orderkey AS m, o_custkey, {ORDER_MASK} AS o_mask, lead(o_orderkey) OVER w AS nxt, row_number() OVER w = 1 AS entry FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)),
+l0 AS (SELECT m, o_mask, nxt, entry, l_quantity, l_partkey % 5 AS t, l_suppkey % 3 AS s, l_suppkey % 5 AS u, {LINE_MASK} AS c, row_number() OVER w AS k, lead(1) OVER w IS NULL AS last
+       FROM lineitem JOIN o ON l_orderkey = m WINDOW w AS (PARTITION BY m ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice)),
+l AS (SELECT m, m * 1024 + k AS n, k, last, o_mask AS pc, entry, nxt, 'p' || t AS target, 's' || s AS source, 'p' || u AS other, c | {F4} AS step, c | {D.F2} AS goes, l_quantity >= 45 AND nxt IS NOT NULL AND NOT last AS is_call FROM l0)"""
+#: Orders call each other without recursion, so that walks of single facts, with the calls that are open, are the whole truth. A walk: place, fact at the
+#: start of the method, fact, condition, open calls with their own first facts.
+_WALKS = f"""
+WITH RECURSIVE {_ORDER_PROGRAM},
+walk(n, f, d, cond, open) AS (
+  SELECT n, {{'v': '', 'a': -1, 'o': '', 'b': -1}}, {{'v': '', 'a': -1, 'o': '', 'b': -1}}, pc, []::STRUCT(n BIGINT, f STRUCT(v VARCHAR, a BIGINT, o VARCHAR, b BIGINT))[] FROM l WHERE k = 1 AND entry
+  UNION
+  SELECT * FROM (
+  -- on to the next statement
+  SELECT w.n + 1 AS n, w.f, x.d, w.cond & l.step AS cond, w.open FROM walk w JOIN l USING (n), LATERAL (SELECT unnest(
+    CASE WHEN w.d.v = '' THEN CASE WHEN l.is_call THEN [w.d] WHEN l.k = 1 THEN [w.d, {{'v': l.source, 'a': w.n, 'o': l.source, 'b': w.n}}] ELSE [w.d, {{'v': l.target, 'a': w.n, 'o': l.target, 'b': w.n}}] END
+         WHEN l.is_call THEN CASE WHEN w.d.v = CASE WHEN l.k = 1 THEN l.source ELSE l.target END THEN [] ELSE [w.d] END
+         WHEN l.k = 1 THEN CASE WHEN w.d.v = l.source THEN [] ELSE [w.d] END
+         ELSE list_distinct(CASE WHEN w.d.v = l.target THEN [] ELSE [w.d] END || CASE WHEN w.d.v IN (l.source, l.other) THEN [{{'v': l.target, 'a': w.n, 'o': w.d.o, 'b': w.d.b}}] ELSE [] END) END) AS d) x
+  WHERE NOT l.last
+  UNION ALL
+  -- into the next order
+  SELECT l.nxt * 1024 + 1, x.d, x.d, w.cond & l.goes & c.pc, list_append(w.open, {{'n': w.n, 'f': w.f}}) FROM walk w JOIN l USING (n) JOIN l c ON c.n = l.nxt * 1024 + 1, LATERAL (SELECT unnest(
+    CASE WHEN w.d.v = '' THEN [w.d] WHEN w.d.v = l.source THEN [{{'v': l.other, 'a': w.n, 'o': l.other, 'b': w.n}}, {{'v': l.other, 'a': w.n, 'o': w.d.o, 'b': w.d.b}}] ELSE [] END) AS d) x
+  WHERE l.is_call
+  UNION ALL
+  -- back over the call that is open
+  SELECT r.n + 1, w.open[-1].f, x.d, w.cond & r.step, w.open[:-2] FROM walk w JOIN l USING (n) JOIN l r ON r.n = w.open[-1].n, LATERAL (SELECT unnest(
+    CASE WHEN w.d.v = '' THEN [w.d] WHEN w.d.v IN (l.source, l.target) THEN
+      [{{'v': CASE WHEN r.k = 1 THEN r.source ELSE r.target END, 'a': r.n, 'o': CASE WHEN r.k = 1 THEN r.source ELSE r.target END, 'b': r.n}}, {{'v': CASE WHEN r.k = 1 THEN r.source ELSE r.target END, 'a': r.n, 'o': w.d.o, 'b': w.d.b}}] ELSE [] END) AS d) x
+  WHERE l.last AND len(w.open) > 0) WHERE cond <> 0)
+"""
+
+
+@query(_WALKS + """SELECT n, 'assign' AS kind, o AS o_var, b AS o_at, assignee, bit_or(cond)::BIGINT AS cond FROM (
+  SELECT n, w.d.o AS o, w.d.b AS b, l.target AS assignee, w.cond & l.step AS cond FROM walk w JOIN l USING (n) WHERE NOT l.is_call AND NOT l.last AND l.k > 1 AND w.d.v IN (l.source, l.other)
+  UNION ALL SELECT w.n, w.d.o, w.d.b, l.other, w.cond & l.goes & c.pc FROM walk w JOIN l USING (n) JOIN l c ON c.n = l.nxt * 1024 + 1 WHERE l.is_call AND w.d.v = l.source
+  UNION ALL SELECT r.n, w.d.o, w.d.b, CASE WHEN r.k = 1 THEN r.source ELSE r.target END, w.cond & r.step FROM walk w JOIN l USING (n) JOIN l r ON r.n = w.open[-1].n WHERE l.last AND len(w.open) > 0 AND w.d.v IN (l.source, l.target)
+) WHERE cond <> 0 GROUP BY ALL""")
 def information_flow(spark: SparkSession, d: str) -> DataFrame:
     """Sinks of all orders' programs."""
     solver, problem, edges = IF.solve(*D.order_program(spark, d))
     return IF.sinks(solver, problem, edges)
 
 
+@query(_WALKS + """SELECT (n // 1024) * 1024 + 1 AS start, f.v AS var_in, f.a AS at_in, f.o AS name_in, f.b AS origin_in, n AS x, d.v AS var_out, d.a AS at_out, d.o AS name_out, d.b AS origin_out, bit_or(cond)::BIGINT AS cond FROM walk JOIN l USING (n) WHERE l.last GROUP BY ALL""")
 def end_summaries(spark: SparkSession, d: str) -> DataFrame:
     """What facts at the start of an order lead to at its end."""
     solver, _, edges = IF.solve(*D.order_program(spark, d))
     out = solver.ends(edges).groupBy("start", "d1", "x", "d2").agg(F.bit_or("end_cond").alias("cond"))
-    return out.select("start", F.col("d1.var").alias("var_in"), F.col("d1.o_at").alias("origin_in"), "x", F.col("d2.var").alias("var_out"), F.col("d2.at").alias("at_out"), F.col("d2.o_at").alias("origin_out"), "cond")
-
+    return out.select("start", F.col("d1.var").alias("var_in"), F.col("d1.at").alias("at_in"), F.col("d1.o_var").alias("name_in"), F.col("d1.o_at").alias("origin_in"), "x", F.col("d2.var").alias("var_out"), F.col("d2.at").alias("at_out"), F.col("d2.o_var").alias("name_out"), F.col("d2.o_at").alias("origin_out"), "cond")
 
-QUERIES |= {f.__name__: f for f in (information_flow, end_summaries)}

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prismflow.functions import cond as C
+from prismflow.operators.fixpoint import saved
 from prismflow.operators.solver import Program
 from prismflow.plans.information_flow import Statements
 
@@ -45,9 +46,9 @@ def lines(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.expr(LINE_MASK).alias("cond"), *more)
 
 
-def supply_edges(spark: SparkSession, sf_dir: str, least: int | None = 40) -> DataFrame:
-    """src, dst, cond: suppliers (even numbers) and parts (odd ones) that deal with each other in lines of ``least`` pieces (None: in any line), both ways."""
-    own = lines(spark, sf_dir, "l_quantity").where(F.lit(True) if least is None else F.col("l_quantity") >= least).groupBy((2 * F.col("l_suppkey")).alias("s"), (2 * F.col("l_partkey") + 1).alias("p")).agg(F.bit_or("cond").alias("cond"))
+def supply_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """src, dst, cond: suppliers (even numbers) and parts (odd ones) that deal with each other in any line, both ways."""
+    own = lines(spark, sf_dir).groupBy((2 * F.col("l_suppkey")).alias("s"), (2 * F.col("l_partkey") + 1).alias("p")).agg(F.bit_or("cond").alias("cond"))
     return own.select(F.col("s").alias("src"), F.col("p").alias("dst"), "cond").unionByName(own.select(F.col("p").alias("src"), F.col("s").alias("dst"), "cond"))
 
 
@@ -67,6 +68,7 @@ def order_program(spark: SparkSession, sf_dir: str, calls_from: int = 45) -> tup
     at = Window.partitionBy("method").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     own = own.withColumn("k", F.row_number().over(at)).withColumn("n", F.col("method") * 1024 + F.col("k")).withColumn("after", F.lead("n").over(at))
     own = own.withColumn("is_call", (F.col("l_quantity") >= calls_from) & F.col("next").isNotNull() & F.col("after").isNotNull())
+    own = saved(own.drop("l_linenumber", "l_extendedprice", "l_quantity"))
     node = own.select("n", "method", F.lit("line").alias("kind"), F.concat(F.lit("line "), F.col("n").cast("string")).alias("text"), F.col("o_mask").alias("pc"), (F.col("k") == 1).alias("is_start"), F.col("after").isNull().alias("is_exit"), "is_call")
     cfg = own.where("after IS NOT NULL").select(F.col("n").alias("src"), F.col("after").alias("dst"), F.col("cond").bitwiseOR(C.lit(F4)).alias("cond"))
     calls = own.where("is_call").select(F.col("n").alias("call"), F.col("next").alias("method"), F.col("cond").bitwiseOR(C.lit(F2)).alias("cond"))

@@ -11,6 +11,12 @@ from pyspark.sql.streaming import StreamingQuery
 from prismflow.operators.fixpoint import fixpoint
 
 
+def over(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """node, cond: where ``nodes`` get to by one edge."""
+    own = edges.select("src", F.col("dst").alias("to"), F.col("cond").alias("e"))
+    return nodes.join(own, nodes["node"] == own["src"]).select(F.col("to").alias("node"), F.col("cond").bitwiseAND(F.col("e")).alias("cond"))
+
+
 class ReachableNodes:
     """Lifted reachability over a table of edges that grows. All is kept in ``path``: edges as they came, and the state of each batch.
 
@@ -34,15 +40,13 @@ class ReachableNodes:
 
     def update(self, edges: DataFrame, batch: int) -> None:
         edges.select("src", "dst", "cond").write.mode("overwrite").parquet(f"{self.path}/edges/batch={batch}")
-        every = self.spark.read.parquet(f"{self.path}/edges").where(F.col("batch") <= batch).groupBy("src", "dst").agg(F.bit_or("cond").alias("e"))
-        known = self.start.select("node", "cond")
-        if batch:
-            known = known.unionByName(self.state(batch - 1))
-
-        def step(delta: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
-            return delta.join(every, delta["node"] == every["src"]).select(F.col("dst").alias("node"), F.col("cond").bitwiseAND(F.col("e")).alias("cond"))
+        every = self.spark.read.parquet(f"{self.path}/edges").where(F.col("batch") <= batch).drop("batch")
+        # What is known goes over new edges only; what that makes new, over all.
+        known = self.state(batch - 1) if batch else None
+        start = self.start.select("node", "cond")
+        news = over(start if known is None else known, edges)
 
-        fixpoint(known, step, ["node"]).write.mode("overwrite").parquet(f"{self.path}/state/{batch}")
+        fixpoint(news if known is not None else news.unionByName(start), lambda delta: over(delta, every), ["node"], known=known).write.mode("overwrite").parquet(f"{self.path}/state/{batch}")
         for listener in self.listeners:
             listener(self.state(batch), batch)
 

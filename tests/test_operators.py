@@ -46,7 +46,7 @@ def test_fixpoint_on_a_cycle(spark):
     assert sorted(map(tuple, got.collect())) == [(1, 7), (2, 7), (3, 5), (4, 4)] and sum(rounds.bits) == 9
     assert fixpoint.plain_reach(spark.createDataFrame([(2,)], "node long"), edges).count() == 4
     with pytest.raises(fixpoint.NotReached):
-        fixpoint.fixpoint(spark.createDataFrame([(1, 7)], "node long, cond long"), lambda d, b, a: d.selectExpr("node + 1 AS node", "cond"), ["node"], most=3)
+        fixpoint.fixpoint(spark.createDataFrame([(1, 7)], "node long, cond long"), lambda d: d.selectExpr("node + 1 AS node", "cond"), ["node"], most=3)
 
 
 def brute_classes(nodes, links, config):
