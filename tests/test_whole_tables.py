@@ -88,9 +88,9 @@ def test_all_lines_and_configurations(spark, small, name):
     assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, spark.createDataFrame(want.fetchall(), got.select(*want.columns).schema).collect()))
 
 
-def test_parameters_by_place(spark, small):
+def test_parameters_by_place(spark, sf_dir):
     """Options of a call one after another: one that the options of the place imply begins the next place."""
-    rows = sorted(tuple(r) for r in D.lines(spark, small, "l_extendedprice").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "cond").collect())
+    rows = sorted(tuple(r) for r in D.lines(spark, sf_dir, "l_extendedprice").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "cond").collect())
     calls, edges, want = {}, {}, set()
     for call, _, part, supplier, _, c in rows:
         pos, so, out = calls.setdefault(call, [0, 0, []])
@@ -103,5 +103,5 @@ def test_parameters_by_place(spark, small):
             for place in range(method % 4 + 1):
                 if (pos == place or (place == method % 4 and method % 2 == 0 and pos > place)) and e & c:
                     want.add((call, method, part, f"f{place}", e & c))
-    got = [tuple(r) for r in QUERIES["param_zip"](spark, small).select("call", "method", "actual", "formal", "cond").collect()]
+    got = [tuple(r) for r in QUERIES["param_zip"](spark, sf_dir).select("call", "method", "actual", "formal", "cond").collect()]
     assert set(got) == want and any(len(x[2]) > 1 and x[0] > 0 for x in calls.values())
