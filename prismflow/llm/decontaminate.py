@@ -22,6 +22,8 @@ from prismflow.llm import common
 WINDOW = 10
 #: Bytes of patterns that one broadcast holds; a larger benchmark is searched in that many more passes.
 PATTERN_BYTES = 16 << 20
+#: Passes after which the rows are written, so that no task or driver holds more tables than these.
+PASSES = 4
 #: Bytes of text that are searched at a time, and that one lane walks over.
 PIECE, LANE = 2 << 20, 1 << 10
 #: The shortest patterns of a class; each class has its own tables, so that a short pattern doesn't shorten all shifts.
@@ -38,6 +40,7 @@ FORM[0x80:] = np.arange(0x80, 0x100)
 
 NEW = (
     T.StructField("n_words", T.LongType()),
+    T.StructField("n_hit", T.LongType()),
     T.StructField("hit_spans", T.ArrayType(T.LongType())),
     T.StructField("hit_items", T.ArrayType(T.StringType())),
 )
@@ -134,24 +137,42 @@ class Searcher:
                 self.tables.append(Tables(own))
                 self.items.append([[code[x] for x in patterns[p]] for p in own])
 
-    def scan(self, raw: np.ndarray, offsets: np.ndarray) -> list[tuple[int, list[int], list[str]]]:
-        """For each text: its number of words; the word ranges of occurrences as start, end, start, end ...; items that occur."""
+    def scan(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], list[list[str]]]:
+        """For each text: its number of words; word ranges that occurrences cover, put together, as start, end, start, end ...; items that occur, sorted."""
         data, ends = common.spaced(raw, offsets, FORM)
         m = len(data) - 8
         word = np.zeros(m, bool)
         word[1:] = (data[1:m] > 32) & (data[: m - 1] == 32)
         number = np.cumsum(word)  # words begun up to here
         upto = np.concatenate([[0], number[ends]])
-        out: list[tuple[int, list[int], list[str]]] = [(int(c), [], []) for c in np.diff(upto)]
+        n = len(ends)
+        spots, seen = [np.zeros((0, 3), np.int64)], [np.zeros((0, 2), np.int64)]
         for table, items in zip(self.tables, self.items, strict=True):
             at, which = table.search(data, m)
             row = np.searchsorted(ends, at)
-            first = number[at] - upto[row]
-            last = number[at + table.length[which] - 1] - upto[row]
-            for r, a, b, p in zip(row.tolist(), first.tolist(), last.tolist(), which.tolist(), strict=True):
-                out[r][1].extend((a, b))
-                out[r][2].extend(self.names[x] for x in items[p])
-        return out
+            spots.append(np.column_stack([row, number[at], number[at + table.length[which] - 1]]))
+            found = np.unique(np.column_stack([row, which]), axis=0)
+            size = np.array([len(items[p]) for p in found[:, 1].tolist()], int)
+            codes = np.array([x for p in found[:, 1].tolist() for x in items[p]], np.int64)
+            seen.append(np.column_stack([np.repeat(found[:, 0], size), codes]))
+        row, a, b = np.concatenate(spots).T
+        a, b = joined(a, b)  # words are numbered over all texts of the piece, and no window goes from one text into another
+        row = np.searchsorted(upto, a, side="right") - 1
+        pairs = np.column_stack([a - upto[row], b - upto[row]])
+        spans = [x.ravel() for x in np.split(pairs, np.searchsorted(row, np.arange(1, n)))] if n else []
+        own = np.unique(np.concatenate(seen), axis=0)
+        names = [[self.names[c] for c in x[:, 1].tolist()] for x in np.split(own, np.searchsorted(own[:, 0], np.arange(1, n)))] if n else []
+        return np.diff(upto), spans, names
+
+
+def joined(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ranges [a, b) in order, those that overlap as one."""
+    if not len(a):
+        return a, b
+    order = np.argsort(a, kind="stable")
+    a, top = a[order], np.maximum.accumulate(b[order])
+    first = np.flatnonzero(np.concatenate([[True], a[1:] >= top[:-1]]))
+    return a[first], top[np.concatenate([first[1:], [len(a)]]) - 1]
 
 
 def pattern_blocks(items: DataFrame, id_col: str, text_col: str, window: int, most: int) -> Iterator[dict[bytes, list[str]]]:
@@ -170,11 +191,11 @@ def pattern_blocks(items: DataFrame, id_col: str, text_col: str, window: int, mo
 
 
 def search(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, keep: list[str] | None = None, pattern_bytes: int = PATTERN_BYTES) -> DataFrame:
-    """``docs`` with n_words, hit_spans (word ranges of occurrences as [start, end, start, end ...], which may overlap) and
+    """``docs`` with n_words, n_hit (words inside occurrences), hit_spans (their ranges as [start, end, start, end ...], in order and apart) and
     hit_items (ids of items whose windows occur, as strings, distinct and sorted).
 
     The benchmark is the stated query set: it is broadcast in blocks of ``pattern_bytes``, each searched in one
-    pass over the texts, without a shuffle. Null and empty texts have no words and no hits; an empty benchmark
+    pass over the texts, without a shuffle; after PASSES of them the rows are written and the blocks let go. Null and empty texts have no words and no hits; an empty benchmark
     hits nothing. Equal items count each by its id; rows that repeat count once. ``keep``: the columns that go on
     (None: all); columns with a new one's name are replaced.
     """
@@ -183,8 +204,15 @@ def search(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: s
     kept, _ = common.extended(docs, *NEW)
     kept = [c for c in kept if keep is None or c in keep or c == text_col]
     out = docs.select(*kept)
+    held = []
     for k, patterns in enumerate(pattern_blocks(items, item_id, item_text, window, pattern_bytes)):
-        out = search_pass(out, spark.sparkContext.broadcast(Searcher(patterns)), text_col, kept, first=k == 0)
+        if len(held) == PASSES:
+            out = common.checkpoint(out)
+            for block in held:
+                block.unpersist()
+            held = []
+        held.append(spark.sparkContext.broadcast(Searcher(patterns)))
+        out = search_pass(out, held[-1], text_col, kept, first=k == 0)
     return out if keep is None or text_col in keep else out.drop(text_col)
 
 
@@ -197,26 +225,19 @@ def search_pass(docs: DataFrame, searcher, text_col: str, kept: list[str], first
             names = batch.schema.names
             raw, offsets = common.utf8(batch.column(names.index(text_col)))
             for a, b in common.pieces(offsets, PIECE):
-                rows = own.scan(raw, offsets[a : b + 1])
+                count, spans, items = own.scan(raw, offsets[a : b + 1])
                 part = batch.slice(a, b - a)
-                spans, items = [r[1] for r in rows], [sorted(set(r[2])) for r in rows]
                 if not first:
-                    spans = [x + y for x, y in zip(part.column(names.index("hit_spans")).to_pylist(), spans, strict=True)]
+                    before = [np.array(x, np.int64) for x in part.column(names.index("hit_spans")).to_pylist()]
+                    spans = [np.column_stack(joined(*np.concatenate([x, y]).reshape(-1, 2).T)).ravel() for x, y in zip(before, spans, strict=True)]
                     items = [sorted({*x, *y}) for x, y in zip(part.column(names.index("hit_items")).to_pylist(), items, strict=True)]
-                new = [pa.array([r[0] for r in rows], pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))]
+                hit = [int((x[1::2] - x[::2]).sum()) for x in spans]
+                new = [pa.array(count, pa.int64()), pa.array(hit, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))]
                 yield pa.RecordBatch.from_arrays([*(part.column(names.index(c)) for c in kept), *new], names=[*kept, *(f.name for f in NEW)])
 
     return docs.mapInArrow(run, schema)
 
 
-def covered(spans: F.Column) -> F.Column:
-    """The number of words in at least one of the ranges [start, end, start, end ...]."""
-    pairs = F.array_sort(F.transform(F.sequence(F.lit(0), (F.size(spans) / 2 - 1).cast("int")), lambda i: F.struct(F.get(spans, (2 * i).cast("int")).alias("a"), F.get(spans, (2 * i + 1).cast("int")).alias("b"))))
-    start = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("to"))
-    step = lambda s, x: F.struct((s["n"] + F.greatest(F.lit(0), x["b"] - F.greatest(s["to"], x["a"]))).alias("n"), F.greatest(s["to"], x["b"]).alias("to"))
-    return F.when(F.size(spans) == 0, F.lit(0).cast("bigint")).otherwise(F.aggregate(pairs, start, step, lambda s: s["n"]))
-
-
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs``, with all their columns, in which no benchmark window occurs."""
     own, back = common.aside(docs, *(f.name for f in NEW))
@@ -228,7 +249,7 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id",
         "n_words",
-        covered(F.col("hit_spans")).alias("n_hit"),
+        "n_hit",
         F.size("hit_items").cast("bigint").alias("n_items"),
         F.sha2(F.array_join("hit_items", ","), 256).alias("items_sha256"),
         (F.size("hit_items") > 0).alias("contaminated"),

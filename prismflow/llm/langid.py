@@ -24,11 +24,11 @@ UNKNOWN = "und"
 SIZES = (2, 3, 4)
 BUCKET_BITS = 14
 BUCKETS = 1 << BUCKET_BITS
-#: Labelled documents that training may gather, over all languages, and languages it may tell apart.
-SAMPLE, LANGUAGES = 1600, 64
+#: Labelled documents that training may gather, over all languages.
+SAMPLE = 1600
 DIMENSION, EPOCHS, RATE, BATCH = 16, 12, 40.0, 16
-#: Share of right predictions that the threshold may reject, and the highest threshold.
-REJECTED, HIGHEST = 0.002, 0.5
+#: How many rejected right predictions an accepted wrong one is worth.
+WRONG = 5
 PIECE = 1 << 20
 
 FORM = np.full(256, 32, np.uint8)
@@ -90,6 +90,8 @@ class Model:
     bias: np.ndarray
     temperature: float = 1.0
     threshold: float = 0.0
+    #: Of the texts that calibration saw: how many, share of wrong predictions, the same of those accepted, and share accepted.
+    calibration: tuple[int, float, float, float] = (0, 0.0, 0.0, 1.0)
 
     def logits(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         n = len(offsets) - 1
@@ -115,40 +117,41 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True) if len(z) else z
 
 
-def descend(x: np.ndarray, y: np.ndarray, languages: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Embeddings, output weights and bias after EPOCHS passes of stochastic gradient descent with a falling rate."""
-    e = rng.normal(0, 0.1, (x.shape[1], DIMENSION)).astype(np.float32)
+def descend(at: list[np.ndarray], weight: list[np.ndarray], y: np.ndarray, languages: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Embeddings, output weights and bias after EPOCHS passes of stochastic gradient descent with a falling rate, over texts as the
+    buckets that they have and their weights."""
+    e = rng.normal(0, 0.1, (BUCKETS, DIMENSION)).astype(np.float32)
     w, bias = rng.normal(0, 0.1, (DIMENSION, languages)).astype(np.float32), np.zeros(languages, np.float32)
-    steps, step = EPOCHS * -(-len(x) // BATCH), 0
+    steps, step = EPOCHS * -(-len(at) // BATCH), 0
     for _ in range(EPOCHS):
-        order = rng.permutation(len(x))
-        for k in range(0, len(x), BATCH):
+        order = rng.permutation(len(at))
+        for k in range(0, len(at), BATCH):
             rows = order[k : k + BATCH]
             rate = 1 - step / steps
             step += 1
-            xb = x[rows]
-            h = xb @ e
+            h = np.stack([weight[r] @ e[at[r]] for r in rows])
             g = softmax(h @ w + bias)
             g[np.arange(len(rows)), y[rows]] -= 1
             g /= len(rows)
             # A text's weight is spread over its subwords, so embeddings take far longer steps than the softmax.
-            change = xb.T @ (g @ w.T)
+            change = np.float32(RATE * rate) * (g @ w.T)
             w -= np.float32(rate) * (h.T @ g)
             bias -= np.float32(0.1 * rate) * g.sum(axis=0)
-            e -= np.float32(RATE * rate) * change
+            for r, c in zip(rows, change, strict=True):
+                e[at[r]] -= weight[r][:, None] * c
     return e, w, bias
 
 
 def train(docs: DataFrame, label_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", sample: int = SAMPLE, seed: int = 7) -> Model:
     """A model from about ``sample`` labelled rows of ``docs`` (never more than twice as many), as many of each language as there are.
 
-    Of more than LANGUAGES languages the most frequent ones count. Rows without text or label are left out;
+    Rows without text or label are left out;
     without any, every text is und. One pass reads the labels, one the sampled texts; the driver gets
     the subword counts of the sample only.
     """
     spark = docs.sparkSession
     rows = docs.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(label_col).cast("string").alias("lang"), F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     languages = sorted(counts)
     if not languages:
         return Model([UNKNOWN], np.zeros((BUCKETS + 1, 1), np.float32), np.zeros(1, np.float32))
@@ -172,30 +175,39 @@ def train(docs: DataFrame, label_col: str = "lang", text_col: str = "text", id_c
 
     found = [r for r in chosen.mapInArrow(count, "lang string, place double, at binary, n binary").collect() if r["at"]]
     found.sort(key=lambda r: (r["lang"], r["place"], bytes(r["at"])))
-    x, y = np.zeros((len(found), BUCKETS), np.float32), np.array([languages.index(r["lang"]) for r in found], int)
-    for k, r in enumerate(found):
-        n = np.frombuffer(r["n"], "<f4")
-        x[k, np.frombuffer(r["at"], "<u2")] = n / n.sum()
+    y = np.array([languages.index(r["lang"]) for r in found], int)
+    at = [np.frombuffer(r["at"], "<u2") for r in found]
+    weight = [n / n.sum() for n in (np.frombuffer(r["n"], "<f4") for r in found)]
     rng = np.random.default_rng(seed)
-    seen = rng.random(len(x)) < 0.75
+    seen = rng.random(len(found)) < 0.75
     if not seen.any():
         seen[:] = True
-    e, w, bias = descend(x[seen], y[seen], len(languages), rng)
+    pick = lambda of, which: [of[k] for k in np.flatnonzero(which)]
+    e, w, bias = descend(pick(at, seen), pick(weight, seen), y[seen], len(languages), rng)
     model = Model(languages, np.vstack([e @ w, np.zeros((1, len(languages)), np.float32)]), bias)
-    calibrate(model, (x[~seen] @ e) @ w + bias, y[~seen])
+    if not seen.all():
+        calibrate(model, np.stack([n @ e[k] for k, n in zip(pick(at, ~seen), pick(weight, ~seen), strict=True)]) @ w + bias, y[~seen])
     return model
 
 
 def calibrate(model: Model, z: np.ndarray, y: np.ndarray) -> None:
-    """The temperature of least log loss, and the threshold that rejects REJECTED of the right predictions at most."""
-    if not len(y):
-        return
+    """The temperature of least log loss, and the threshold of least cost: each wrong prediction that is accepted counts WRONG, each right one that is rejected 1.
+
+    Of thresholds that cost the same the highest is taken, so that without wrong predictions it is the least score of a right one.
+    """
     loss = lambda t: -np.log(np.maximum(softmax(z / t)[np.arange(len(y)), y], 1e-12)).mean()
     model.temperature = float(min(np.geomspace(0.2, 5, 60), key=loss))
     p = softmax(z / model.temperature)
-    right = p.max(axis=1)[p.argmax(axis=1) == y]
-    if len(right):
-        model.threshold = float(min(HIGHEST, np.quantile(right, REJECTED, method="lower")))
+    score, right = p.max(axis=1), p.argmax(axis=1) == y
+    order = np.argsort(score, kind="stable")
+    s, r = score[order], right[order]
+    # With the threshold at place k, what comes before it is rejected.
+    cost = np.concatenate([[0], np.cumsum(r)])[:-1] + WRONG * np.cumsum(~r[::-1])[::-1]
+    cost[1:][s[1:] == s[:-1]] = len(s) * WRONG + 1  # equal scores stay together
+    k = len(s) - 1 - int(np.argmin(cost[::-1]))
+    model.threshold = float(s[k])
+    kept = score >= model.threshold
+    model.calibration = (len(y), float((~right).mean()), float((~right[kept]).mean()), float(kept.mean()))
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:

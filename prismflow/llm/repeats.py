@@ -1,22 +1,23 @@
 """Removal of long byte strings that occur more than once, by a depth-limited radix sort of suffixes.
 
-Suffixes matter up to `depth` bytes only. They are dealt out digit by digit, most significant first, and a group with one
-member ends at once, as its windows are unique:
+Suffixes matter up to `depth` bytes only. They are dealt out digit by digit, and a group with one member ends at once, as its windows are unique:
 
 1. The first digit of a window (the first `depth` bytes of a suffix) is its anchor: the gram of 32 bytes in it with the least hash.
    Equal windows have equal anchors at equal places, and neighbouring windows share theirs, so that
    one row stands for about 85 windows. Groups by anchor are counted with map-side aggregation; anchors that occur once end here.
-2. The second digit is the extent: all bytes of the windows of one anchor. If an extent occurs twice, all its windows do.
-3. Only extents that occur once, by an anchor that occurs elsewhere with other extents, are sorted to the full depth:
-   their bytes, and those of one representative of each extent they meet, are grouped by anchor, and their windows compared in blocks.
-   An anchor with very many different extents has its windows dealt out by their hashes instead.
+2. The second digit is the extent: all bytes of the windows of one anchor, as a 128-bit BLAKE2b digest. If an extent occurs twice, all its windows do.
+3. Extents that occur once, by an anchor that occurs elsewhere with other extents, come together by anchor, with one representative of each extent
+   they meet. There the radix sort proper orders their suffixes by bytes, most significant first, eight bytes a pass, up to `depth`; after each pass, groups of one drop out.
+   What is left at full depth are exactly the repeated windows. An anchor with very many different extents has its windows dealt out by
+   their digests instead of one task's sort.
 
-The windows whose group has two members or more are exactly the repeated ones.
+Hashes of grams only choose which windows meet: however many collide, bytes (or digests of 128 bits) decide.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -57,18 +58,10 @@ def hashes(data: np.ndarray, sizes: tuple[int, ...]) -> dict[int, np.ndarray]:
         size *= 2
 
 
-def window_hashes(data: np.ndarray, depth: int) -> np.ndarray:
-    """The hash of each substring of ``depth`` bytes."""
-    parts, at = [], 0
-    while at < depth:
-        parts.append((at, 1 << (depth - at).bit_length() - 1))
-        at += parts[-1][1]
-    own = hashes(data, tuple(size for _, size in parts))
-    n = len(data) - depth + 1
-    out = np.zeros(n, np.uint64)
-    for at, size in parts:
-        out = mixed(out * MIX[3] + own[size][at : at + n])
-    return out
+def digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Two 64-bit halves of the digest of each data[start:end]."""
+    view = memoryview(data)
+    return np.frombuffer(b"".join(blake2b(view[a:b], digest_size=16).digest() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), np.int64).reshape(-1, 2)
 
 
 def sliding_least(v: np.ndarray, width: int) -> np.ndarray:
@@ -81,7 +74,7 @@ def sliding_least(v: np.ndarray, width: int) -> np.ndarray:
 
 def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, depth: int) -> tuple[np.ndarray, ...]:
     """Of the texts data[start:end], which have ``depth`` bytes or more: which text, anchor's place in the text, bytes from its first
-    window's start to it, number of its windows less one, hash of the gram, hash of the extent."""
+    window's start to it, number of its windows less one, hash of the gram."""
     width = depth - GRAM + 1
     g = hashes(data, (GRAM,))[GRAM]
     packed = (g & ~PLACE) | np.arange(len(g), dtype=np.uint64)
@@ -93,10 +86,7 @@ def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, depth: int)
     first = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (text[1:] != text[:-1])])) if len(own) else np.zeros(0, np.int64)
     last = np.concatenate([first[1:], [len(own)]])[: len(first)] - 1
     text, at, lo, hi = text[first], own[first], window[first], window[last]
-    extent = mixed((at - lo).astype(np.uint64) * MIX[0] + (hi - lo).astype(np.uint64))
-    for j in range(0, depth + width + GRAM, GRAM):  # grams that cover the extent; the last one again and again
-        extent = mixed(extent * MIX[3] + g[np.minimum(lo + j, hi + depth - GRAM)])
-    return text, at - starts[text], at - lo, hi - lo, g[at], extent
+    return text, at - starts[text], at - lo, hi - lo, g[at]
 
 
 def text_anchors(raw: np.ndarray, offsets: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, ...]]:
@@ -110,38 +100,38 @@ def text_anchors(raw: np.ndarray, offsets: np.ndarray, depth: int) -> Iterator[t
                 text, *more = anchors(raw[lo:hi], offsets[a:b][ok] - lo, offsets[a + 1 : b + 1][ok] - lo, depth)
                 yield (ok[text] + a, *more)
             continue
-        at, lo_, hi_ = [], [], []
+        at, lo_, hi_, gram = [], [], [], []
         for k in range(lo, hi - depth + 1, PIECE):
             end = min(k + PIECE + depth - 1, hi)
-            _, p, back, more, _, _ = anchors(raw[k:end], np.array([0]), np.array([end - k]), depth)
+            _, p, back, more, g = anchors(raw[k:end], np.array([0]), np.array([end - k]), depth)
             at.append(p + k - lo)
             lo_.append(p - back + k - lo)
             hi_.append(p - back + more + k - lo)
-        at, lo_, hi_ = map(np.concatenate, (at, lo_, hi_))
+            gram.append(g)
+        at, lo_, hi_, gram = map(np.concatenate, (at, lo_, hi_, gram))
         first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
         last = np.concatenate([first[1:], [len(at)]]) - 1
-        at, lo_, hi_ = at[first], lo_[first], hi_[last]
-        for k in range(0, len(at), 4096):
-            s, e = lo_[k], hi_[k : k + 4096][-1] + depth
-            g = hashes(raw[lo + s : lo + e], (GRAM,))[GRAM]
-            p, x, y = at[k : k + 4096] - s, lo_[k : k + 4096] - s, hi_[k : k + 4096] - s
-            extent = mixed((p - x).astype(np.uint64) * MIX[0] + (y - x).astype(np.uint64))
-            for j in range(0, depth + depth - GRAM + 1 + GRAM, GRAM):
-                extent = mixed(extent * MIX[3] + g[np.minimum(x + j, y + depth - GRAM)])
-            yield np.full(len(p), a), p + s, p - x, y - x, g[p], extent
+        at, lo_, hi_, gram = at[first], lo_[first], hi_[last], gram[first]
+        yield np.full(len(at), a), at, at - lo_, hi_ - lo_, gram
 
 
-def anchor_rows(rows: DataFrame, depth: int) -> DataFrame:
-    """row_id, at (place << 16 | bytes before it << 8 | windows less one), anchor and extent hashes for each anchor of ``rows`` (row_id, text)."""
+def anchor_rows(rows: DataFrame, depth: int, extents: bool = True) -> DataFrame:
+    """row_id, at (place << 16 | bytes before it << 8 | windows less one), anchor (hash) and, if asked for, the extent's digest (x, y) for each anchor of ``rows`` (row_id, text)."""
+    names = ["row_id", "at", "anchor", "x", "y"] if extents else ["anchor"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             raw, offsets = common.utf8(batch.column(1))
-            for text, place, back, more, gram, extent in text_anchors(raw, offsets, depth):
-                yield pa.RecordBatch.from_arrays([pa.array(ids[text]), pa.array(place << 16 | back << 8 | more), pa.array(gram.view(np.int64)), pa.array(extent.view(np.int64))], names=["row_id", "at", "anchor", "extent"])
+            for text, place, back, more, gram in text_anchors(raw, offsets, depth):
+                if not extents:
+                    yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64))], names=names)
+                    continue
+                lo = offsets[text] + place - back
+                digest = digests(raw, lo, lo + more + depth)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[text], place << 16 | back << 8 | more, gram.view(np.int64), digest[:, 0].copy(), digest[:, 1].copy())], names=names)
 
-    return rows.mapInArrow(run, "row_id long, at long, anchor long, extent long")
+    return rows.mapInArrow(run, ", ".join(f"{x} long" for x in names))
 
 
 def packed_texts(rows: DataFrame) -> DataFrame:
@@ -185,18 +175,34 @@ def cut_extents(rows: DataFrame, depth: int) -> DataFrame:
     return rows.mapInArrow(run, "anchor long, row_id long, lo long, back long, single long, hot long, bytes binary")
 
 
-def extent_windows(batch: pa.RecordBatch, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each window of extents: which extent, its place in it, and a hash of anchor, the anchor's place in the window, and the window."""
-    names = batch.schema.names
-    raw, offsets = common.utf8(batch.column(names.index("bytes")))
+def extent_windows(batch: pa.RecordBatch, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of extents one after another, and of each window of theirs: which extent, its place in it, its start in the bytes."""
+    raw, offsets = common.utf8(batch.column(batch.schema.names.index("bytes")))
     count = np.diff(offsets) - depth + 1
     which = np.repeat(np.arange(len(count)), count)
     inside = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
-    base = offsets[0]
-    h = window_hashes(raw[base : offsets[-1]], depth)[offsets[:-1][which] - base + inside] if len(which) else np.zeros(0, np.uint64)
-    anchor = batch.column(names.index("anchor")).to_numpy(zero_copy_only=False).view(np.uint64)[which]
-    back = batch.column(names.index("back")).to_numpy(zero_copy_only=False)[which] - inside
-    return which, inside, mixed(h * MIX[3] + mixed(anchor * MIX[2] + back.astype(np.uint64)))
+    return raw, which, inside, offsets[:-1][which] + inside
+
+
+def radix(data: np.ndarray, start: np.ndarray, group: np.ndarray, depth: int) -> np.ndarray:
+    """Numbers of the strings data[start : start + depth] that equal another one of their group.
+
+    Passes over digits of eight bytes, most significant first, up to ``depth``: each sorts what is left within its groups and splits these; groups of one drop out.
+    """
+    view = np.ndarray((len(data) - 7,), ">u8", data, strides=(1,))
+    live = np.arange(len(start))
+    for k in (*range(0, depth - 8, 8), depth - 8):  # the last digit overlaps the one before it where 8 doesn't divide the depth
+        digit = view[start[live] + k].astype(np.uint64)
+        order = np.lexsort((digit, group))
+        g, d = group[order], digit[order]
+        begins = np.ones(len(g), bool)
+        begins[1:] = (g[1:] != g[:-1]) | (d[1:] != d[:-1])
+        number = np.cumsum(begins) - 1
+        many = (np.bincount(number) > 1)[number] if len(number) else begins
+        live, group = live[order[many]], number[many]
+        if not len(live):
+            break
+    return live
 
 
 def compare_extents(extents: DataFrame, depth: int) -> DataFrame:
@@ -204,13 +210,11 @@ def compare_extents(extents: DataFrame, depth: int) -> DataFrame:
 
     def spans(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
         batch = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
-        which, inside, h = extent_windows(batch, depth)
-        order = np.argsort(h, kind="stable")
-        s = h[order]
-        same = s[1:] == s[:-1]
-        again = np.zeros(len(h), bool)
-        again[order[1:]] |= same
-        again[order[:-1]] |= same
+        raw, which, inside, start = extent_windows(batch, depth)
+        anchor = np.unique(batch.column("anchor").to_numpy(zero_copy_only=False), return_inverse=True)[1][which]
+        back = batch.column("back").to_numpy(zero_copy_only=False)[which] - inside
+        again = np.zeros(len(which), bool)
+        again[radix(raw, start, anchor << 8 | back, depth)] = True
         again &= batch.column("single").to_numpy(zero_copy_only=False)[which] == 1
         at = np.flatnonzero(again)
         first = np.flatnonzero(np.concatenate([[True], (np.diff(at) != 1) | (np.diff(which[at]) != 0)])) if len(at) else at
@@ -241,13 +245,14 @@ def deal_windows(extents: DataFrame, depth: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            which, inside, h = extent_windows(batch, depth)
+            raw, which, inside, start = extent_windows(batch, depth)
+            digest = digests(raw, start, start + depth)
             take = lambda c: batch.column(batch.schema.names.index(c)).to_numpy(zero_copy_only=False)[which]  # noqa: B023, E731
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(take("row_id")), pa.array(take("lo") + inside), pa.array(take("single"))], names=["h", "row_id", "a", "single"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (digest[:, 0].copy(), digest[:, 1].copy(), take("row_id"), take("lo") + inside, take("single"))], names=["x", "y", "row_id", "a", "single"])
 
-    dealt = extents.mapInArrow(run, "h long, row_id long, a long, single long")
-    again = dealt.groupBy("h").count().where("count > 1")
-    return dealt.where("single = 1").join(again, "h", "left_semi").select("row_id", "a", (F.col("a") + depth).alias("b"))
+    dealt = extents.mapInArrow(run, "x long, y long, row_id long, a long, single long")
+    again = dealt.groupBy("x", "y").count().where("count > 1")
+    return dealt.where("single = 1").join(again, ["x", "y"], "left_semi").select("row_id", "a", (F.col("a") + depth).alias("b"))
 
 
 def repeated_spans(rows: DataFrame, depth: int = DEPTH, block: int = BLOCK) -> DataFrame:
@@ -255,12 +260,11 @@ def repeated_spans(rows: DataFrame, depth: int = DEPTH, block: int = BLOCK) -> D
     if not GRAM <= depth <= GRAM + 255:
         raise ValueError(f"depth is {GRAM} to {GRAM + 255}")
     common.arrow_rows(rows.sparkSession)
-    found = anchor_rows(rows, depth)
     # Tables of their own, so that joins with them can split the rows of an anchor that very many texts have.
-    shared = common.checkpoint(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"))
-    found = common.checkpoint(found.join(shared, "anchor"))
-    extents = common.checkpoint(found.groupBy("anchor", "extent").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row_id", "at")).alias("one")))
-    whole = found.join(extents.where("n = 1").select("anchor", "extent"), ["anchor", "extent"], "left_anti")
+    shared = common.checkpoint(anchor_rows(rows, depth, extents=False).groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"))
+    found = common.checkpoint(anchor_rows(rows, depth).join(shared, "anchor"))
+    extents = common.checkpoint(found.groupBy("anchor", "x", "y").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row_id", "at")).alias("one")))
+    whole = found.join(extents.where("n = 1").select("anchor", "x", "y"), ["anchor", "x", "y"], "left_anti")
     lo = F.shiftright("at", 16) - F.shiftright("at", 8).bitwiseAND(F.lit(255))
     whole = whole.select("row_id", lo.alias("a"), (lo + F.col("at").bitwiseAND(F.lit(255)) + depth).alias("b"))
     mixed_keys = common.checkpoint(extents.groupBy("anchor").agg(F.count(F.lit(1)).alias("extents"), F.min("n").alias("least")).where("extents > 1 AND least = 1"))

@@ -31,8 +31,8 @@ KEYWORDS = ("token", "secret", "password", "passwd", "pwd", "api_key", "apikey",
 OTHERWISE = ("sha1", "sha256", "md5", "commit", "checksum", "digest", "uuid", "example", "sample", "dummy", "test", "href", "src")
 PREFIXES = ("AKIA", "ghp_", "xox", "sk_live_", "eyJ", "AIza")
 NEAR = 40
-#: Documents from which training takes findings, findings and dictionary words, at most.
-SAMPLE, FINDINGS, WORDS = 4000, 20_000, 3000
+#: Documents from which training takes findings, findings, dictionary words, and made lines of each form, at most.
+SAMPLE, FINDINGS, WORDS, MADE = 4000, 20_000, 3000, 40
 TREES, DEPTH, LEAVES = 40, 8, 3
 KINDS = 5  # lower, upper, digit, sign, none
 
@@ -148,23 +148,55 @@ def stand_in_label(before: str, own: str, after: str) -> bool:
     return bool(KEYS.match(own) or (mixed and re.search(NAMED + "$", before, re.I))) and not re.search("(?i)example|dummy", before + after)
 
 
-def forms(seed: int) -> list[str]:
-    """Usual forms of secrets, and of what only looks like one, with values drawn at random: a sample of documents may have few of them."""
+def made(seed: int, rounds: int = MADE) -> list[tuple[str, str, bool]]:
+    """Lines, a value in each, and whether it is a secret: labelled by how they were made, not by a pattern. A sample of documents may have few of these forms."""
     rng = np.random.default_rng(seed)
-    draw = lambda of, n: "".join(rng.choice(list(of), n))
-    digits, lower = "0123456789", "abcdefghijklmnopqrstuvwxyz"
+    draw = lambda of, n: "".join(rng.choice(list(of), int(n)))
+    pick = lambda *of: of[rng.integers(len(of))]
+    digits, lower, hexa = "0123456789", "abcdefghijklmnopqrstuvwxyz", "0123456789abcdef"
     every = digits + lower + lower.upper()
     out = []
-    for _ in range(20):
-        for name in ("password", "db_passwd", "API_TOKEN", "client_secret", "apiKey", "AUTH", "aws_secret_access_key"):
-            value = draw(every + "!@#$%", rng.integers(8, 16)) if rng.random() < 0.5 else draw(every, rng.integers(16, 48))
-            put = rng.choice(["{}={}", '{} = "{}"', "{}: '{}'", '"{}": "{}"', "export {}={}"])
-            out += [put.format(name, value), put.format(name, draw(lower, rng.integers(6, 14)))]
-        out += [f"AKIA{draw(digits + lower.upper(), 16)}", f"see ghp_{draw(every, 36)} there", f"xoxb-{draw(digits, 11)}-{draw(every, 24)}", f"Authorization: Bearer eyJ{draw(every, 20)}.eyJ{draw(every, 30)}.{draw(every, 43)}"]
-        out += [f"commit {draw('0123456789abcdef', 40)}", f"sha256: {draw('0123456789abcdef', 64)}", f"href=/a/{draw(lower, 20)}", f'example_token = "{draw(every, 24)}"', f"id = {draw(digits, 18)}", f"class {draw(lower, 18)}"]
+    for _ in range(rounds):
+        secrets = [
+            (pick("password", "db_passwd", "client_secret", "PASSWORD", "user.pwd"), draw(lower + digits, 6) + pick(*digits) + draw(every + "!@#$%", rng.integers(4, 12))),
+            (pick("API_TOKEN", "apiKey", "AUTH_TOKEN", "access_key", "private_key"), draw(every, rng.integers(16, 48))),
+            (pick("secret", "api_key", "session_secret"), draw(hexa, pick(32, 40, 64))),
+            ("aws_secret_access_key", draw(every + "+/", 40)),
+        ]
+        put = lambda: pick("{}={}", '{} = "{}"', "{}: '{}'", '"{}": "{}"', "export {}={}", "{} := {}")
+        out += [(put().format(name, value), value, True) for name, value in secrets]
+        keys = [f"AKIA{draw(digits + lower.upper(), 16)}", f"ghp_{draw(every, 36)}", f"xoxb-{draw(digits, 11)}-{draw(every, 24)}", f"sk_live_{draw(every, 24)}", f"eyJ{draw(every, 20)}.eyJ{draw(every, 30)}.{draw(every, 43)}"]
+        out += [(pick("{}", "see {} there", "Authorization: Bearer {}", "key {}").format(key), key, True) for key in keys]
+        uuid = "-".join(draw(hexa, n) for n in (8, 4, 4, 4, 12))
+        others = [
+            (pick("commit {}", "merged {} today", "at revision {}"), draw(hexa, 40)), (pick("sha256: {}", "checksum {}", "digest={}"), draw(hexa, 64)), (pick("md5 {}", "etag {}"), draw(hexa, 32)),
+            (pick("uuid {}", "id={}", "request {} done"), uuid), (pick("src=data/{}", "image {}"), draw(every + "+/", 60)), (pick("href=/a/{}", "path {}"), f"{draw(lower, 9)}/{draw(lower, 9)}/{draw(lower, 6)}"),
+            (pick("id = {}", "order {}"), draw(digits, 18)), (pick("class {}", "def {}"), "".join(draw(lower, 6).title() for _ in range(3))), (pick("call {}", "{} is set"), "_".join(draw(lower, 6) for _ in range(4))),
+            (pick('example_token = "{}"', "sample password={}", "dummy api_key: {}"), draw(every, 24)), (pick("password = {}", "token: {}", "secret={}"), pick("changeme", "required", "environment", "placeholder", "undefined", "hidden_field")),
+        ]
+        out += [(line.format(value), value, False) for line, value in others]
     return out
 
 
+def findings_of(lines: list[tuple[str, str, bool]], words: frozenset[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of the candidates that are the labelled values; other candidates of a line count as none."""
+    x, y = [], []
+    for text, value, label in lines:
+        for a, b in find(text):
+            if text[a:b] == value:
+                x.append(features(text, a, b, "", words))
+                y.append(float(label))
+    return np.array(x, float).reshape(-1, N_FEATURES), np.array(y, float)
+
+
+def measured(forest: Forest, lines: list[tuple[str, str, bool]], least: float = 0.5) -> tuple[float, float]:
+    """Precision and recall on labelled lines; a secret that is no candidate is missed."""
+    x, y = findings_of(lines, forest.words)
+    said = forest.predict(x) >= least
+    hit = float((said & (y == 1)).sum())
+    return hit / max(1.0, float(said.sum())), hit / max(1, sum(label for *_, label in lines))
+
+
 def find(text: str) -> Iterator[tuple[int, int]]:
     """Candidates in order, none over another: values of names first, then keys of known forms, then what else looks like one."""
     taken: list[tuple[int, int]] = []
@@ -185,8 +217,8 @@ def find(text: str) -> Iterator[tuple[int, int]]:
     return iter(taken)
 
 
-def train(docs: DataFrame, label=stand_in_label, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source", sample: int = SAMPLE, findings: int = FINDINGS, seed: int = 11) -> Forest:
-    """A forest from the labelled candidates of about ``sample`` documents (at most twice as many, ``findings`` candidates, and WORDS dictionary words).
+def train(docs: DataFrame, label=stand_in_label, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source", sample: int = SAMPLE, findings: int = FINDINGS, seed: int = 11, dictionary: int = WORDS) -> Forest:
+    """A forest from the labelled candidates of about ``sample`` documents (at most twice as many, ``findings`` candidates, and ``dictionary`` words of these), and from made() lines.
 
     ``label`` says whether a candidate with NEAR characters on both sides is a secret. Null texts have no candidates. Without candidates nothing is a secret.
     """
@@ -194,7 +226,7 @@ def train(docs: DataFrame, label=stand_in_label, id_col: str = "doc_id", text_co
     n = rows.select("id").count()
     place = F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 20)) / (1 << 20)
     chosen = rows.where(place < min(1.0, sample / max(n, 1))).limit(2 * sample)
-    known = chosen.select(F.explode(F.expr(r"regexp_extract_all(lower(text), '[a-z]{3,12}', 0)")).alias("word")).groupBy("word").count().orderBy(F.desc("count"), "word").limit(WORDS)
+    known = chosen.select(F.explode(F.expr(r"regexp_extract_all(lower(text), '[a-z]{3,12}', 0)")).alias("word")).groupBy("word").count().orderBy(F.desc("count"), "word").limit(dictionary)
     words = frozenset(r["word"] for r in known.collect())
     common.arrow_rows(docs.sparkSession)
     seen = docs.sparkSession.sparkContext.broadcast(words)
@@ -207,10 +239,10 @@ def train(docs: DataFrame, label=stand_in_label, id_col: str = "doc_id", text_co
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.list_(pa.float64()), pa.bool_()), strict=True)], names=["id", "at", "x", "y"])
 
     found = chosen.mapInArrow(run, "id string, at long, x array<double>, y boolean").orderBy(F.xxhash64("id", "at"), "id", "at").limit(findings).collect()
-    if found:
-        for text in forms(seed):
-            found += [{"x": features(text, a, b, "", words), "y": label(text[max(0, a - NEAR) : a], text[a:b], text[b : b + NEAR])} for a, b in find(text)]
-    return fit(np.array([r["x"] for r in found], float).reshape(-1, N_FEATURES), np.array([r["y"] for r in found], float), words, seed)
+    if not found:
+        return fit(np.zeros((0, N_FEATURES)), np.zeros(0), words, seed)
+    x, y = findings_of(made(seed), words)
+    return fit(np.concatenate([np.array([r["x"] for r in found], float), x]), np.concatenate([np.array([r["y"] for r in found], float), y]), words, seed)
 
 
 def scan(docs: DataFrame, forest: Forest, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
@@ -221,19 +253,17 @@ def scan(docs: DataFrame, forest: Forest, least: float = 0.5, id_col: str = "doc
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.col(path_col).cast("string"), F.lit("")).alias("path"))
     common.arrow_rows(docs.sparkSession)
     own = docs.sparkSession.sparkContext.broadcast(forest)
-    kind = pa.int64() if dict(rows.dtypes)["doc_id"] == "bigint" else None
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out, x = [], []
-            for k, text, path in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "path")), strict=True):
+            for k, (text, path) in enumerate(zip(batch.column("text").to_pylist(), batch.column("path").to_pylist(), strict=True)):
                 for a, b in find(text or ""):
                     out.append((k, a, b - a))
                     x.append(features(text, a, b, path, own.value.words))
             if out:
                 score = own.value.predict(np.array(x, float))
-                ids, at, length = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array(at, pa.int64()), pa.array(length, pa.int64()), pa.array(score), pa.array(score >= least)], names=["doc_id", "at", "length", "score", "secret"])
+                own_row, at, length = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(own_row)), pa.array(at, pa.int64()), pa.array(length, pa.int64()), pa.array(score), pa.array(score >= least)], names=["doc_id", "at", "length", "score", "secret"])
 
     return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, at long, length long, score double, secret boolean")
 

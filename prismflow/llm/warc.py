@@ -34,14 +34,15 @@ def lowered(headers: F.Column) -> F.Column:
 
 
 def latest_earlier(captures: DataFrame, ranges: int = RANGES) -> DataFrame:
-    """``captures`` (record_id, url_key, at, full) with before: the record_id of the last full one of the URL that is earlier.
+    """``captures`` (record_id, url_key, at, full and more) with before: the record_id of the last full one of the URL that is earlier.
 
-    Order is by time, then record_id. Captures of a URL are dealt by time range; what a range passes on is one row, so
-    that a URL with a large part of all captures is spread over ``ranges`` tasks.
+    Order is by time, then record_id. Captures of a URL are dealt by ranges of time that hold about as many of all captures each; what a range passes on is one row.
+    A URL with a large part of all captures so has as many ranges as its part, however close in time they are.
     """
-    low, high = captures.agg(F.min("at"), F.max("at")).first()
-    width = max(1, -(-((high or 0) - (low or 0) + 1) // ranges))
-    dealt = captures.withColumn("range", F.floor((F.col("at") - F.lit(low or 0)) / F.lit(width)).cast("int"))
+    bounds = captures.agg(F.percentile_approx("at", [k / ranges for k in range(1, ranges)], F.lit(100 * ranges))).first()[0]
+    bounds = sorted(set(bounds or []))
+    place = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda x: x <= F.col("at"))) if bounds else F.lit(0)
+    dealt = captures.withColumn("range", place)
     last = dealt.where("full").groupBy("url_key", "range").agg(F.max(F.struct("at", "record_id")).alias("last"))
     # One row for each range that has captures: the last full one of the ranges before.
     order = Window.partitionBy("url_key").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
@@ -58,14 +59,15 @@ def resolve(records: DataFrame, ranges: int = RANGES) -> DataFrame:
     Outcome is ``resolved``; ``no response`` if there is none earlier; ``changed`` if a validator that both have differs, or they share none:
     ETags are compared weakly, and decide alone if both have one, else Last-Modified does.
     Resolved ones get the response's payload and its headers, with those of the revisit put over them but for the fields that describe the body.
-    Revisits that aren't resolved keep their own headers and have no payload. Record ids are unique; records with a null id, time or URL are
-    left out, and null headers are empty. Other columns are ignored; an empty table gives an empty result.
+    Revisits that aren't resolved keep their own headers and have no payload. Each revisit row gives one row, repeated ones too; of responses with one record id
+    the payload of any counts once. Records with a null id, time or URL are left out, and null headers are empty. Other columns are ignored; an empty table gives an empty result.
     """
     records = records.where("record_id IS NOT NULL AND at IS NOT NULL AND url IS NOT NULL").select("record_id", canonical(F.col("url")).alias("url_key"), F.col("at").cast("bigint").alias("at"), F.col("kind").eqNullSafe("response").alias("full"), F.col("kind").eqNullSafe("revisit").alias("again"), lowered(F.coalesce("headers", F.create_map().cast("map<string,string>"))).alias("headers"), "payload")
-    asked = latest_earlier(records.select("record_id", "url_key", "at", "full", "again"), ranges).where("again").select("record_id", "url_key", "before")
-    mine = records.where("again").select("record_id", F.col("headers").alias("mine"))
-    theirs = records.where("full").select(F.col("record_id").alias("before"), F.col("headers").alias("theirs"), "payload")
-    both = asked.join(mine, "record_id").join(theirs, "before", "left")
+    mine = F.when(F.col("again"), F.col("headers")).alias("mine")
+    asked = latest_earlier(records.select("record_id", "url_key", "at", "full", "again", mine), ranges).where("again").select("record_id", "url_key", "before", "mine")
+    theirs = records.where("full").select(F.col("record_id").alias("before"), F.col("headers").alias("theirs"), "payload").dropDuplicates(["before"])
+    # Revisits without a response have nothing to meet, and their null would be one task's.
+    both = asked.where("before IS NOT NULL").join(theirs, "before", "left").unionByName(asked.where("before IS NULL"), allowMissingColumns=True)
     tag = lambda h: F.regexp_replace(F.element_at(h, F.lit("etag")), "^W/", "")
     date = lambda h: F.element_at(h, F.lit("last-modified"))
     same = F.coalesce(tag(F.col("mine")) == tag(F.col("theirs")), date(F.col("mine")) == date(F.col("theirs")), F.lit(False))
