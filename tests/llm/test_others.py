@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from prismflow.llm import bpe, common, licenses, secret_scan, token_counts, warc
+from prismflow.llm import bpe, common, secret_scan, token_counts, warc
 
 
 def test_edits_count_like_a_new_encoding():
@@ -84,29 +84,6 @@ def test_canonical_urls(spark):
     assert got == ["example.com/a/b?a=1&b=2"] * 3 + ["no url", "example.com/refs?reference=1"]
 
 
-def test_licences(spark):
-    line = "Released under the MIT License."
-    texts = [None, "", "\n\n", line, f"first\n  {line.upper()}!!\nthe end", "Licensed under the Apache License, version 2.0 or later", "released", "licensed under something else entirely, not that one", f"{line}\n{line}", "word " * 20_000]
-    df = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)], "doc_id long, text string, license_id string")
-    got = sorted((r["doc_id"], r["line_no"], r["license_id"], round(r["dice"], 6)) for r in licenses.scan(df).collect())
-
-    def brute(text):
-        sets = lambda t: (lambda w: set(w) if len(w) == 1 else {*zip(w, w[1:], strict=False)})(licenses_words(t))
-        for n, own in enumerate((text or "").split("\n")):
-            best = max(((2 * len(sets(own) & sets(t)) / (len(sets(own)) + len(sets(t))), k) for k, t in licenses.TEMPLATES.items()), key=lambda x: (x[0], [-ord(c) for c in x[1]]))
-            if best[0] >= licenses.LEAST:
-                yield n, best[1], round(best[0], 6)
-
-    assert got == sorted((k, *x) for k, t in enumerate(texts) for x in brute(t)) and len(got) == 5
-    assert licenses.scan(df.limit(0)).count() == 0
-
-
-def licenses_words(text):
-    import re
-
-    return [w for w in re.split("[^a-z0-9]+", text.lower()) if w]
-
-
 def test_secrets(spark, sf_dir):
     docs = common.documents(spark, "/root/testdata/sf0.1")
     held = "crc32(cast(cast(doc_id AS string) AS binary)) % 4 = 2"
