@@ -2,13 +2,16 @@
 
 Bit i of a mask says whether the condition holds in configuration i; feature k is enabled in configuration i if bit k of i is set.
 With up to five features a mask is a positive BIGINT, and equal conditions are equal numbers, so that equivalence needs no solver.
+
+More features make more blocks of 32 configurations: configuration i is bit i % 32 of block i / 32. A condition then is a row for each block in which it holds
+anywhere; a block without a row is False. Configurations don't depend on each other, so that every operator works block by block, with the block as one more key.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FEATURES = 5
@@ -22,6 +25,21 @@ def feature(k: int) -> int:
     return sum(1 << i for i in range(CONFIGS) if i >> k & 1)
 
 
+def blocks(features: int) -> int:
+    """How many blocks conditions over so many features have."""
+    return 1 << max(0, features - FEATURES)
+
+
+def wide_feature(k: int, block: Column) -> Column:
+    """The mask of feature k in a block: those from FEATURES on hold in whole blocks or not at all."""
+    return lit(feature(k)) if k < FEATURES else F.when(F.shiftright(block, k - FEATURES).bitwiseAND(F.lit(1)) == 1, lit(TRUE)).otherwise(lit(FALSE))
+
+
+def in_blocks(df: DataFrame, features: int, block: str = "block") -> DataFrame:
+    """Each row once for each block, from where its condition in the block follows."""
+    return df.withColumn(block, F.explode(F.sequence(F.lit(0), F.lit(blocks(features) - 1))))
+
+
 def negated(mask: int) -> int:
     return TRUE & ~mask
 

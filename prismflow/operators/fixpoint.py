@@ -125,15 +125,19 @@ def fixpoint(seeds: DataFrame, step: Callable[[DataFrame], DataFrame], keys: lis
 
 
 def reach(start: DataFrame, edges: DataFrame, model: int | None = None, rounds: Rounds | None = None) -> DataFrame:
-    """node, cond: under which conditions the nodes of ``start`` (node, cond) reach each node along ``edges`` (src, dst, cond)."""
+    """node, cond: under which conditions the nodes of ``start`` (node, cond) reach each node along ``edges`` (src, dst, cond).
+
+    With a column ``block`` in both, conditions have as many blocks as there are in it, and so has the result."""
     if model is not None:
         start = start.withColumn("cond", F.col("cond").bitwiseAND(F.lit(model).cast("bigint")))
-    edges = dealt(edges.groupBy("src", "dst").agg(F.bit_or("cond").alias("e")), "src")
+    block = ["block"] if "block" in edges.columns else []
+    edges = dealt(edges.groupBy("src", "dst", *block).agg(F.bit_or("cond").alias("e")), "src", *block)
 
     def step(delta: DataFrame) -> DataFrame:
-        return delta.join(edges, delta["node"] == edges["src"]).select(F.col("dst").alias("node"), F.col("cond").bitwiseAND(F.col("e")).alias("cond"))
+        met = delta.withColumnRenamed("node", "src").join(edges, ["src", *block])
+        return met.select(F.col("dst").alias("node"), *block, F.col("cond").bitwiseAND(F.col("e")).alias("cond"))
 
-    return fixpoint(start, step, ["node"], rounds=rounds)
+    return fixpoint(start, step, ["node", *block], rounds=rounds)
 
 
 def plain_reach(start: DataFrame, edges: DataFrame) -> DataFrame:

@@ -324,6 +324,22 @@ def lifted_reach_cyclic(spark: SparkSession, d: str) -> DataFrame:
     return fixpoint.reach(spark.createDataFrame([(2, T)], "node long, cond long"), D.supply_edges(spark, d))
 
 
+@query("""WITH RECURSIVE c AS (SELECT unnest(range(256)) AS cfg),
+l AS (SELECT DISTINCT 2 * l_suppkey AS s, 2 * l_partkey + 1 AS p, l_returnflag AS f, l_linestatus AS t, l_linenumber % 3 AS k FROM lineitem),
+h AS (SELECT DISTINCT s, p, cfg FROM l, c WHERE ((cfg >> CASE f WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END) & 1) = 1 AND ((cfg >> 3) & 1) = CASE t WHEN 'F' THEN 1 ELSE 0 END AND ((cfg >> (5 + k)::INT) & 1) = 1),
+x AS MATERIALIZED (SELECT s AS src, p AS dst, cfg FROM h UNION ALL SELECT p, s, cfg FROM h),
+r(node, cfg) AS (SELECT 2::BIGINT, cfg FROM c UNION SELECT x.dst, r.cfg FROM r JOIN x ON x.src = r.node AND x.cfg = r.cfg)
+SELECT node, (cfg // 32)::INT AS block, sum(1::BIGINT << (cfg % 32)::INT)::BIGINT AS cond FROM r GROUP BY 1, 2""")
+def lifted_reach_wide(spark: SparkSession, d: str) -> DataFrame:
+    """Eight features: features 5, 6 and 7 say which lines of an order are there. Conditions have eight blocks."""
+    own = C.in_blocks(D.lines(spark, d), 8)
+    more = F.when(F.col("l_linenumber") % 3 == 0, C.wide_feature(5, F.col("block"))).when(F.col("l_linenumber") % 3 == 1, C.wide_feature(6, F.col("block"))).otherwise(C.wide_feature(7, F.col("block")))
+    own = own.select((2 * F.col("l_suppkey")).alias("s"), (2 * F.col("l_partkey") + 1).alias("p"), "block", C.both(F.col("cond"), more).alias("cond")).where("cond <> 0")
+    own = own.groupBy("s", "p", "block").agg(F.bit_or("cond").alias("cond"))
+    edges = own.select(F.col("s").alias("src"), F.col("p").alias("dst"), "block", "cond").unionByName(own.select(F.col("p").alias("src"), F.col("s").alias("dst"), "block", "cond"))
+    return fixpoint.reach(C.in_blocks(spark.createDataFrame([(2, T)], "node long, cond long"), 8), edges)
+
+
 @query(f"""WITH RECURSIVE e AS ({_SUPPLY}), r(node) AS (SELECT 2::BIGINT UNION SELECT dst FROM r JOIN e ON src = node) SELECT node FROM r""")
 def ifds_reach(spark: SparkSession, d: str) -> DataFrame:
     return fixpoint.plain_reach(spark.createDataFrame([(2,)], "node long"), D.supply_edges(spark, d))
