@@ -29,7 +29,7 @@ KEYS = re.compile(r"(?<![A-Za-z0-9])(?:A[KS]IA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]
 #: Names and marks next to a secret, and next to what only looks like one (fixed values).
 KEYWORDS = ("token", "secret", "password", "passwd", "pwd", "api_key", "apikey", "access", "private", "credential", "auth", "bearer")
 OTHERWISE = ("sha1", "sha256", "md5", "commit", "checksum", "digest", "uuid", "example", "sample", "dummy", "test", "href", "src")
-PREFIXES = ("AKIA", "ghp_", "xox", "sk_live_", "eyJ", "AIza")
+PREFIXES = ("AKIA", "ASIA", "gho_", "ghp_", "ghr_", "ghs_", "ghu_", "github_pat_", "xox", "sk_live_", "rk_live_", "eyJ", "AIza")
 NEAR = 40
 #: Documents from which training takes findings, findings, dictionary words, and made lines of each form, at most.
 SAMPLE, FINDINGS, WORDS, MADE = 4000, 20_000, 3000, 40
@@ -165,14 +165,15 @@ def made(seed: int, rounds: int = MADE) -> list[tuple[str, str, bool]]:
         ]
         put = lambda: pick("{}={}", '{} = "{}"', "{}: '{}'", '"{}": "{}"', "export {}={}", "{} := {}")
         out += [(put().format(name, value), value, True) for name, value in secrets]
-        keys = [f"AKIA{draw(digits + lower.upper(), 16)}", f"ghp_{draw(every, 36)}", f"xoxb-{draw(digits, 11)}-{draw(every, 24)}", f"sk_live_{draw(every, 24)}", f"eyJ{draw(every, 20)}.eyJ{draw(every, 30)}.{draw(every, 43)}"]
-        out += [(pick("{}", "see {} there", "Authorization: Bearer {}", "key {}").format(key), key, True) for key in keys]
+        some = pick(every, every, hexa + "ABCDEF")  # keys may look like digests but for their beginning
+        keys = [f"AKIA{draw(digits + lower.upper(), 16)}", f"ghp_{draw(some, 36)}", f"gho_{draw(some, 36)}", f"xoxb-{draw(digits, 11)}-{draw(some, 24)}", f"sk_live_{draw(some, 24)}", f"eyJ{draw(every, 20)}.eyJ{draw(every, 30)}.{draw(every, 43)}"]
+        out += [(pick("{}", "see {} there", "with {} now", "Authorization: Bearer {}", "key {}").format(key), key, True) for key in keys]
         uuid = "-".join(draw(hexa, n) for n in (8, 4, 4, 4, 12))
         others = [
             (pick("commit {}", "merged {} today", "at revision {}"), draw(hexa, 40)), (pick("sha256: {}", "checksum {}", "digest={}"), draw(hexa, 64)), (pick("md5 {}", "etag {}"), draw(hexa, 32)),
             (pick("uuid {}", "id={}", "request {} done"), uuid), (pick("src=data/{}", "image {}"), draw(every + "+/", 60)), (pick("href=/a/{}", "path {}"), f"{draw(lower, 9)}/{draw(lower, 9)}/{draw(lower, 6)}"),
             (pick("id = {}", "order {}"), draw(digits, 18)), (pick("class {}", "def {}"), "".join(draw(lower, 6).title() for _ in range(3))), (pick("call {}", "{} is set"), "_".join(draw(lower, 6) for _ in range(4))),
-            (pick('example_token = "{}"', "sample password={}", "dummy api_key: {}"), draw(every, 24)), (pick("password = {}", "token: {}", "secret={}"), pick("changeme", "required", "environment", "placeholder", "undefined", "hidden_field")),
+            *((pick('example_token = "{}"', "example secret = '{}'", "sample password={}", "dummy api_key: {}", 'dummy_token = "{}"', "test_api_key={}"), draw(pick(every, hexa), pick(20, 24, 32, 40))) for _ in range(3)), (pick("password = {}", "token: {}", "secret={}"), pick("changeme", "required", "environment", "placeholder", "undefined", "hidden_field")),
         ]
         out += [(line.format(value), value, False) for line, value in others]
     return out
