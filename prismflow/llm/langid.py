@@ -193,7 +193,8 @@ def train(docs: DataFrame, label_col: str = "lang", text_col: str = "text", id_c
 def calibrate(model: Model, z: np.ndarray, y: np.ndarray) -> None:
     """The temperature of least log loss, and the threshold of least cost: each wrong prediction that is accepted counts WRONG, each right one that is rejected 1.
 
-    Of thresholds that cost the same the highest is taken, so that without wrong predictions it is the least score of a right one.
+    Of thresholds that cost the same the one that rejects least is taken, halfway to the next score below it, or to that of a guess where there is none: few
+    texts calibrate, and those that are like the least certain right one should stay.
     """
     loss = lambda t: -np.log(np.maximum(softmax(z / t)[np.arange(len(y)), y], 1e-12)).mean()
     model.temperature = float(min(np.geomspace(0.2, 5, 60), key=loss))
@@ -204,8 +205,8 @@ def calibrate(model: Model, z: np.ndarray, y: np.ndarray) -> None:
     # With the threshold at place k, what comes before it is rejected.
     cost = np.concatenate([[0], np.cumsum(r)])[:-1] + WRONG * np.cumsum(~r[::-1])[::-1]
     cost[1:][s[1:] == s[:-1]] = len(s) * WRONG + 1  # equal scores stay together
-    k = len(s) - 1 - int(np.argmin(cost[::-1]))
-    model.threshold = float(s[k])
+    k = int(np.argmin(cost))
+    model.threshold = float(s[k] + (s[k - 1] if k else min(s[0], 1 / z.shape[1]))) / 2
     kept = score >= model.threshold
     model.calibration = (len(y), float((~right).mean()), float((~right[kept]).mean()), float(kept.mean()))
 
