@@ -49,8 +49,13 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def drop(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each one's output written as Parquet to the shared checkpoint folder and read again."""
+    """All stages over documents, each one's output written as Parquet to the shared checkpoint folder and read again; what no later stage reads is deleted."""
     where = f"{common.shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
     docs = common.documents(spark, sf_dir)
     for k, (name, stage) in enumerate(STAGES):
@@ -58,4 +63,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k < len(STAGES) - 1:
             docs.write.parquet(f"{where}/{k}_{name}")
             docs = spark.read.parquet(f"{where}/{k}_{name}")
+            if k:
+                drop(spark, f"{where}/{k - 1}_{STAGES[k - 1][0]}")
     return docs
