@@ -27,8 +27,6 @@ BUCKETS = 1 << BUCKET_BITS
 #: Labelled documents that training may gather, over all languages.
 SAMPLE = 1600
 DIMENSION, EPOCHS, RATE, BATCH = 16, 12, 40.0, 16
-#: How many rejected right predictions an accepted wrong one is worth.
-WRONG = 5
 PIECE = 1 << 20
 
 FORM = np.full(256, 32, np.uint8)
@@ -191,10 +189,10 @@ def train(docs: DataFrame, label_col: str = "lang", text_col: str = "text", id_c
 
 
 def calibrate(model: Model, z: np.ndarray, y: np.ndarray) -> None:
-    """The temperature of least log loss, and the threshold of least cost: each wrong prediction that is accepted counts WRONG, each right one that is rejected 1.
+    """The temperature of least log loss, and the threshold that leaves the fewest mistakes: wrong predictions that are accepted and right ones that are rejected.
 
-    Of thresholds that cost the same the one that rejects least is taken, halfway to the next score below it, or to that of a guess where there is none: few
-    texts calibrate, and those that are like the least certain right one should stay.
+    Of equally good ones the one that rejects least is taken, a quarter of the way from the last score that goes (that of a guess, if none does) to the first that stays: few
+    texts calibrate, and others that are less certain than any right one of them should stay.
     """
     loss = lambda t: -np.log(np.maximum(softmax(z / t)[np.arange(len(y)), y], 1e-12)).mean()
     model.temperature = float(min(np.geomspace(0.2, 5, 60), key=loss))
@@ -203,10 +201,10 @@ def calibrate(model: Model, z: np.ndarray, y: np.ndarray) -> None:
     order = np.argsort(score, kind="stable")
     s, r = score[order], right[order]
     # With the threshold at place k, what comes before it is rejected.
-    cost = np.concatenate([[0], np.cumsum(r)])[:-1] + WRONG * np.cumsum(~r[::-1])[::-1]
-    cost[1:][s[1:] == s[:-1]] = len(s) * WRONG + 1  # equal scores stay together
+    cost = np.concatenate([[0], np.cumsum(r)])[:-1] + np.cumsum(~r[::-1])[::-1]
+    cost[1:][s[1:] == s[:-1]] = len(s) + 1  # equal scores stay together
     k = int(np.argmin(cost))
-    model.threshold = float(s[k] + (s[k - 1] if k else min(s[0], 1 / z.shape[1]))) / 2
+    model.threshold = float(0.25 * s[k] + 0.75 * (s[k - 1] if k else min(s[0], 1 / z.shape[1])))
     kept = score >= model.threshold
     model.calibration = (len(y), float((~right).mean()), float((~right[kept]).mean()), float(kept.mean()))
 
