@@ -3,7 +3,7 @@
 A frequent-items summary (Misra-Gries kind, bounded number of counters) finds digests that many rows share. Their
 exact counts and winners are at most ``heavy`` rows, so they are broadcast and the rows of those groups
 never shuffle. All other digests are grouped and joined by an ordinary shuffle: there, no group holds
-more than about a ``1/tracked`` part of the rows.
+more than about a ``1/heavy`` part of the rows.
 """
 
 from __future__ import annotations
