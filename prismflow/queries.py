@@ -223,11 +223,11 @@ def param_zip(spark: SparkSession, d: str) -> DataFrame:
     return callgraph.zip_parameters(callgraph.positions(_options(spark, d)), formals, edges)
 
 
-@query("""WITH f AS (SELECT n_regionkey AS s, n_name, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS k FROM nation), v AS (SELECT s_suppkey % 5 AS s, s_name, row_number() OVER (PARTITION BY s_suppkey % 5 ORDER BY s_suppkey) AS k FROM supplier)
-SELECT s::BIGINT AS struct, n_name AS field, s_name AS value FROM f JOIN v USING (s, k)""")
+@query("""WITH f AS (SELECT p_partkey % 100 AS s, p_brand, row_number() OVER (PARTITION BY p_partkey % 100 ORDER BY p_partkey) AS k FROM part), v AS (SELECT o_orderkey % 100 AS s, o_orderstatus, row_number() OVER (PARTITION BY o_orderkey % 100 ORDER BY o_orderkey) AS k FROM orders)
+SELECT s::BIGINT AS struct, p_brand AS field, o_orderstatus AS value FROM f JOIN v USING (s, k)""")
 def zip_initialisers(spark: SparkSession, d: str) -> DataFrame:
-    fields = table(spark, d, "nation").select(F.col("n_regionkey").cast("bigint").alias("struct"), F.col("n_name").alias("field"), F.col("n_nationkey").alias("place"))
-    values = table(spark, d, "supplier").select((F.col("s_suppkey") % 5).alias("struct"), F.col("s_name").alias("value"), F.col("s_suppkey").alias("place"))
+    fields = table(spark, d, "part").select((F.col("p_partkey") % 100).alias("struct"), F.col("p_brand").alias("field"), F.col("p_partkey").alias("place"))
+    values = table(spark, d, "orders").select((F.col("o_orderkey") % 100).alias("struct"), F.col("o_orderstatus").alias("value"), F.col("o_orderkey").alias("place"))
     return callgraph.zip_initialisers(fields, values)
 
 
@@ -461,20 +461,20 @@ def call_graph_edges(spark: SparkSession, d: str) -> DataFrame:
     return graphs.call_graph(calls, node.select("n", "method"))
 
 
-@query(f"""WITH e AS (SELECT n_nationkey, n_regionkey, n_name, CAST(CASE n_nationkey % 3 WHEN 0 THEN {T} WHEN 1 THEN {F3} ELSE {T - F3} END AS BIGINT) AS c FROM nation), t AS (SELECT *, CASE c WHEN {T} THEN 'True' WHEN {F3} THEN 'F3' ELSE '!F3' END AS x FROM e)
+@query(f"""WITH e AS (SELECT s_suppkey, s_nationkey, s_name, CAST(CASE s_suppkey % 3 WHEN 0 THEN {T} WHEN 1 THEN {F3} ELSE {T - F3} END AS BIGINT) AS c FROM supplier), t AS (SELECT *, CASE c WHEN {T} THEN 'True' WHEN {F3} THEN 'F3' ELSE '!F3' END AS x FROM e)
 SELECT 0 AS place, 'digraph "" {{' AS line UNION ALL SELECT 1, 'node [shape=record];' UNION ALL SELECT 4, '}}' UNION ALL
-SELECT 2, '"n' || n_nationkey || '"[label="{{{{' || replace(n_name, ' ', '\\ ') || '}}|{{No Position available}}|' || x || '}}", color="black", fontname="Calibri", style="filled", fillcolor="' || CASE c WHEN {T} THEN 'white' ELSE '#CD5200' END || '"];' FROM t UNION ALL
-SELECT 3, '"r' || n_regionkey || '" -> "n' || n_nationkey || '"[label="' || x || '", color="' || CASE c WHEN {T} THEN 'black' ELSE 'red' END || '", style="setlinewidth(1)"];' FROM t""")
+SELECT 2, '"n' || s_suppkey || '"[label="{{{{' || replace(s_name, ' ', '\\ ') || '}}|{{No Position available}}|' || x || '}}", color="black", fontname="Calibri", style="filled", fillcolor="' || CASE c WHEN {T} THEN 'white' ELSE '#CD5200' END || '"];' FROM t UNION ALL
+SELECT 3, '"r' || s_nationkey || '" -> "n' || s_suppkey || '"[label="' || x || '", color="' || CASE c WHEN {T} THEN 'black' ELSE 'red' END || '", style="setlinewidth(1)"];' FROM t""")
 def graph_dot_lines(spark: SparkSession, d: str) -> DataFrame:
-    own = table(spark, d, "nation").select("n_nationkey", "n_regionkey", "n_name", F.when(F.col("n_nationkey") % 3 == 0, C.lit(T)).when(F.col("n_nationkey") % 3 == 1, C.lit(F3)).otherwise(C.lit(T - F3)).alias("cond"))
-    name = F.concat(F.lit("n"), F.col("n_nationkey").cast("string"))
-    nodes = own.select(name.alias("node"), F.col("n_name").alias("text"), F.lit(None).cast("string").alias("position"), "cond", F.lit(False).alias("is_function"))
-    return graphs.dot_lines(nodes, own.select(F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("src"), name.alias("dst"), "cond"))
+    own = table(spark, d, "supplier").select("s_suppkey", "s_nationkey", "s_name", F.when(F.col("s_suppkey") % 3 == 0, C.lit(T)).when(F.col("s_suppkey") % 3 == 1, C.lit(F3)).otherwise(C.lit(T - F3)).alias("cond"))
+    name = F.concat(F.lit("n"), F.col("s_suppkey").cast("string"))
+    nodes = own.select(name.alias("node"), F.col("s_name").alias("text"), F.lit(None).cast("string").alias("position"), "cond", F.lit(False).alias("is_function"))
+    return graphs.dot_lines(nodes, own.select(F.concat(F.lit("r"), F.col("s_nationkey").cast("string")).alias("src"), name.alias("dst"), "cond"))
 
 
-@query("""SELECT n_regionkey AS region, '{"region":' || n_regionkey || ',"items":[' || string_agg('{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '"}', ',' ORDER BY n_nationkey) || ']}' AS document FROM nation GROUP BY 1""")
+@query("""SELECT s_nationkey AS nation, '{"nation":' || s_nationkey || ',"items":[' || string_agg('{"s_suppkey":' || s_suppkey || ',"s_name":"' || s_name || '"}', ',' ORDER BY s_suppkey) || ']}' AS document FROM supplier GROUP BY 1""")
 def json_report(spark: SparkSession, d: str) -> DataFrame:
-    return graphs.json_documents(table(spark, d, "nation").select(F.col("n_regionkey").alias("region"), "n_nationkey", "n_name"), "region")
+    return graphs.json_documents(table(spark, d, "supplier").select(F.col("s_nationkey").alias("nation"), "s_suppkey", "s_name"), "nation")
 
 
 @query(r"""SELECT page_id, regexp_replace(regexp_extract(url, '[^/]*$'), '\.[^.]*$', '') AS name, regexp_replace(url, '\.[^./]*$', '') || '.ast' AS ast FROM pages""")
