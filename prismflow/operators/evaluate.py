@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prismflow.functions import cond as C
+from prismflow.operators.fixpoint import saved
 
 
 def per_configuration(configs: DataFrame, solve: Callable[[int], DataFrame]) -> DataFrame:
@@ -33,6 +34,15 @@ def compare(lifted: DataFrame, sampled: DataFrame, configs: DataFrame, keys: lis
     return missing, counted
 
 
+def sampled_against_lifted(lifted: DataFrame, solve: Callable[[int], DataFrame], configs: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The whole comparison: solve each product of ``configs`` (config) for itself, and give what compare() gives and its summary() with the
+    number of missing facts. ``configs`` come from sampling.code_coverage, sampling.condition_coverage or a stored table."""
+    configs = saved(configs.select("config").distinct())
+    missing, counted = compare(lifted, saved(per_configuration(configs, solve).select(*keys, "config")), configs, keys)
+    lacking = missing.agg(F.count(F.lit(1)).alias("missing")).withColumn("k", F.lit(1))
+    return missing, counted, summary(counted).withColumn("k", F.lit(1)).join(lacking, "k").drop("k")
+
+
 def summary(counted: DataFrame, times: DataFrame | None = None) -> DataFrame:
     """One row: total facts, how many any configuration has, integer percent, matches in total, most and least; and of ``times`` (seconds) sum, max, min."""
     out = counted.agg(F.count(F.lit(1)).alias("facts"), F.count_if(F.col("n_matches") > 0).alias("covered"), F.coalesce(F.sum("n_matches"), F.lit(0)).alias("matches"), F.max("n_matches").alias("most"), F.min("n_matches").alias("least"))

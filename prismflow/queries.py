@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from prismflow.functions import cond as C
 from prismflow.functions import text as X
-from prismflow.operators import alias, callgraph, conditional, evaluate, fixpoint, flows, sampling
+from prismflow.operators import alias, callgraph, conditional, evaluate, fixpoint, flows, lattice, sampling
+from prismflow.operators.solver import Program, Solver
 from prismflow.plans import information_flow as IF
 from prismflow.plans import rewrite
 from prismflow.sinks import graphs
@@ -184,6 +185,27 @@ def callees_reduced(spark: SparkSession, d: str) -> DataFrame:
     return callgraph.grouped(met, "name", "file", "method").where("cond <> 0")
 
 
+@query(f"""WITH f AS (SELECT l_orderkey AS call, l_suppkey % 7 AS file, bit_or({LINE_MASK}) AS fc FROM lineitem GROUP BY 1, 2), n AS (SELECT l_orderkey AS call, l_partkey % 50 AS name, bit_or({LINE_MASK}) AS nc FROM lineitem GROUP BY 1, 2), m AS ({_METHODS})
+SELECT call, method, bit_or(fc & nc & cond)::BIGINT AS cond FROM f JOIN n USING (call) JOIN m USING (name, file) WHERE (fc & nc & cond & {T - F4}) <> 0 GROUP BY 1, 2""")
+def callees_by_position(spark: SparkSession, d: str) -> DataFrame:
+    """An order calls by any of its parts' names into any of its suppliers' files, where a model without feature 4 allows it."""
+    own, (_, methods) = D.lines(spark, d).withColumnRenamed("l_orderkey", "call"), _call_tables(spark, d)
+    return callgraph.callees_at(own.select("call", (F.col("l_suppkey") % 7).alias("file"), "cond"), own.select("call", (F.col("l_partkey") % 50).alias("name"), "cond"), methods, T - F4)
+
+
+@query(f"""WITH c AS (SELECT l_orderkey * 8 + l_linenumber AS call, l_partkey AS object, {LINE_MASK} AS c0 FROM lineitem), k AS (SELECT p_partkey AS object, p_partkey // 10 AS class, CAST(CASE p_partkey % 3 WHEN 0 THEN {F3} WHEN 1 THEN {T - F3} ELSE {T} END AS BIGINT) AS kc FROM part),
+f AS (SELECT p_partkey AS object, p_partkey % 50 AS name, p_partkey % 7 AS file FROM part WHERE p_partkey % 2 = 0), m AS ({_METHODS}),
+t AS (SELECT class, method, kc & cond AS tc FROM k JOIN f USING (object) JOIN m USING (name, file)) SELECT call, method, bit_or(c0 & kc & tc)::BIGINT AS cond FROM c JOIN k USING (object) JOIN t USING (class) WHERE (c0 & kc & tc) <> 0 GROUP BY 1, 2""")
+def pointer_callees(spark: SparkSession, d: str) -> DataFrame:
+    """Lines call through their part; ten parts each may point to the same, and every other one names a function."""
+    own, (_, methods) = D.lines(spark, d), _call_tables(spark, d)
+    calls = own.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("call"), F.col("l_partkey").alias("object"), "cond")
+    part, key = table(spark, d, "part"), F.col("p_partkey")
+    classes = part.select(key.alias("object"), F.floor(key / 10).alias("class"), F.when(key % 3 == 0, C.lit(F3)).when(key % 3 == 1, C.lit(T - F3)).otherwise(C.lit(T)).alias("cond"))
+    functions = part.where(key % 2 == 0).select(key.alias("object"), (key % 50).alias("name"), (key % 7).alias("file"))
+    return callgraph.pointer_callees(calls, classes, functions, methods)
+
+
 @query(f"""WITH c AS ({_CALLS}), m AS (SELECT name, bit_or(cond) AS have FROM ({_METHODS}) GROUP BY 1) SELECT call, bool_and(coalesce((c.cond & have) <> 0, FALSE)) AS known FROM c LEFT JOIN m USING (name) GROUP BY 1""")
 def known_targets(spark: SparkSession, d: str) -> DataFrame:
     calls, methods = _call_tables(spark, d)
@@ -306,6 +328,32 @@ def single_entry_and_returns(spark: SparkSession, d: str) -> DataFrame:
     return node.select(F.col("method").alias("user_id"), "n", "is_start", "is_exit")
 
 
+@query(f"""WITH t AS (SELECT event_id * 64 AS n, dst * 64 AS m, pc, event_type = 'purchase' AS nests, lead(event_type = 'purchase') OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next_nests FROM ({_NEXT}))
+SELECT n AS src, m - CASE WHEN next_nests THEN 32 ELSE 0 END AS dst, pc AS cond FROM t WHERE m IS NOT NULL UNION ALL SELECT n - 32 + k, CASE k WHEN 0 THEN n - 31 ELSE n END, pc FROM t, (SELECT unnest([0, 1]) AS k) WHERE nests""")
+def nested_calls(spark: SparkSession, d: str) -> DataFrame:
+    """Edges of traces in which each purchase has two calls inside, which come before it."""
+    own = traces(spark, d)
+    node = own.select(F.col("event_id").alias("n"), F.col("user_id").alias("method"), F.col("event_type").alias("kind"), F.col("event_type").alias("text"), "pc", F.col("prev").isNull().alias("is_start"), F.col("dst").isNull().alias("is_exit"), (F.col("event_type") == "purchase").alias("is_call"))
+    node, cfg = rewrite.spread(node, own.where("dst IS NOT NULL").select(F.col("event_id").alias("src"), "dst", F.col("pc").alias("cond")))
+    nested = node.where("kind = 'purchase'").select("n", F.explode(F.array(F.lit(0), F.lit(1))).alias("k"), F.lit("f()").alias("call"))
+    return rewrite.hoist_calls(node, cfg, nested)[1]
+
+
+@query(f"""WITH t AS (SELECT *, {EVENT_VAR} AS var, row_number() OVER w AS place, first_value(pc) OVER w & coalesce(bit_and(pc | {F4} | {D.F2}) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), {T}) AS held FROM ({EVENT_SQL}) WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+r AS (SELECT event_id, place, held, v, count(*) FILTER (WHERE event_type IN ('click', 'signup') AND place > 1 AND var = v) OVER (PARTITION BY user_id, v ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS earlier FROM t, (SELECT 'v' || unnest(range(4)) AS v))
+SELECT event_id AS n, v AS var, held::BIGINT AS cond FROM r WHERE place > 1 AND earlier = 0 AND held <> 0""")
+def uninitialised_memory(spark: SparkSession, d: str) -> DataFrame:
+    """The problem of uninitialised variables over users' traces: all are declared by the first statement, clicks and signups assign them."""
+    own = traces(spark, d).withColumn("var", F.expr(EVENT_VAR))
+    node = own.select(F.col("event_id").alias("n"), F.col("user_id").alias("method"), F.col("event_type").alias("kind"), F.col("event_type").alias("text"), "pc", F.col("prev").isNull().alias("is_start"), F.col("dst").isNull().alias("is_exit"), F.lit(False).alias("is_call"))
+    cfg = own.where("dst IS NOT NULL").select(F.col("event_id").alias("src"), "dst", F.col("pc").bitwiseOR(C.lit(F4 | D.F2)).alias("cond"))
+    calls = node.where("is_call").select(F.col("n").alias("call"), "method", F.col("pc").alias("cond"))
+    starts, program = node.where("is_start").select("n"), Program(node, cfg, calls)
+    declared = starts.select("n", F.explode(F.array(*(F.lit(f"v{k}") for k in range(4)))).alias("var"))
+    solver = Solver(program, IF.UninitialisedUse(program, declared, own.where("event_type IN ('click', 'signup')").select(F.col("event_id").alias("n"), "var"), starts))
+    return solver.values(solver.path_edges()).where("d <> ''").select("n", F.col("d").alias("var"), "cond")
+
+
 # Fixpoints.
 
 
@@ -345,6 +393,15 @@ def ifds_reach(spark: SparkSession, d: str) -> DataFrame:
     return fixpoint.plain_reach(spark.createDataFrame([(2,)], "node long"), D.supply_edges(spark, d))
 
 
+@query("""WITH RECURSIVE l AS (SELECT 2 * l_suppkey AS s, 2 * l_partkey + 1 AS p, min(l_quantity::INT) AS q FROM lineitem GROUP BY 1, 2), e AS MATERIALIZED (SELECT s AS src, p AS dst, q FROM l UNION ALL SELECT p, s, q FROM l),
+r(node, t) AS (SELECT 2::BIGINT, unnest(range(51))::INT UNION SELECT e.dst, r.t FROM r JOIN e ON e.src = r.node AND e.q <= r.t) SELECT node, min(t) AS peak FROM r GROUP BY 1""")
+def least_peaks(spark: SparkSession, d: str) -> DataFrame:
+    """A lattice of numbers: for each supplier and part the least quantity that some way to it never exceeds."""
+    own = D.lines(spark, d, "l_quantity").select((2 * F.col("l_suppkey")).alias("src"), (2 * F.col("l_partkey") + 1).alias("dst"), F.col("l_quantity").cast("int").alias("weight"))
+    both = own.unionByName(own.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
+    return lattice.reach(spark.createDataFrame([(2, 0)], "node long, value int"), both, lattice.LEAST, F.greatest).withColumnRenamed("value", "peak")
+
+
 @query(f"""WITH s AS (SELECT r_regionkey, {T}::BIGINT AS c FROM region), n AS (SELECT n_nationkey, c & CASE WHEN n_nationkey % 2 = 0 THEN {F4} ELSE {T} END AS c FROM s JOIN nation ON n_regionkey = r_regionkey),
 k AS (SELECT c_custkey, c & CASE c_mktsegment WHEN 'BUILDING' THEN {F3} ELSE {T} END AS c FROM n JOIN customer ON c_nationkey = n_nationkey), o AS (SELECT o_orderkey, c & {ORDER_MASK} AS c FROM k JOIN orders ON o_custkey = c_custkey),
 p AS (SELECT l_partkey, bit_or(c & {LINE_MASK})::BIGINT AS cond FROM o JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1) SELECT l_partkey AS part, cond FROM p WHERE cond <> 0""")
@@ -401,6 +458,17 @@ def differential_eval(spark: SparkSession, d: str) -> DataFrame:
     return out.select("config", F.coalesce("lifted", F.lit(0)).alias("lifted"), F.coalesce("missing", F.lit(0)).alias("missing"))
 
 
+@query(_reached(_START, _SUPPLY) + f""", q AS MATERIALIZED (SELECT DISTINCT {LINE_MASK} AS pc FROM lineitem), z(taken, config) AS (SELECT 0::BIGINT, -1 UNION ALL SELECT taken | (1::BIGINT << bit_count((m & -m) - 1)::INT), bit_count((m & -m) - 1)::INT FROM (SELECT taken, (SELECT min(pc) FROM q WHERE (pc & taken) = 0) AS m FROM z) WHERE m IS NOT NULL),
+n AS (SELECT node, count(*) FILTER (WHERE cfg IN (SELECT config FROM z WHERE config >= 0))::BIGINT AS n FROM r GROUP BY 1)
+SELECT count(*)::BIGINT AS facts, count(*) FILTER (WHERE n > 0)::BIGINT AS covered, sum(n)::BIGINT AS matches, max(n) AS most, min(n) AS least, (100 * count(*) FILTER (WHERE n > 0)) // count(*) AS percent, 0::BIGINT AS missing FROM n""")
+def sampled_reach(spark: SparkSession, d: str) -> DataFrame:
+    """Lifted reachability held against each product that covers the lines' conditions, solved for itself."""
+    edges = D.supply_edges(spark, d)
+    configs = sampling.config_table(spark, sampling.code_coverage(D.lines(spark, d).select("cond")))
+    alone = lambda config: fixpoint.plain_reach(spark.createDataFrame([(2,)], "node long"), edges.where(C.holds_in(F.col("cond"), config)))
+    return evaluate.sampled_against_lifted(fixpoint.reach(spark.createDataFrame([(2, T)], "node long, cond long"), edges), alone, configs, ["node"])[2]
+
+
 @query(f"""WITH m AS (SELECT l_partkey AS k, bit_or({LINE_MASK}) AS cond FROM lineitem GROUP BY 1), n AS (SELECT k, bit_count(cond)::BIGINT AS n FROM m)
 SELECT count(*)::BIGINT AS facts, count(*) FILTER (WHERE n > 0)::BIGINT AS covered, sum(n)::BIGINT AS matches, max(n) AS most, min(n) AS least, (100 * count(*) FILTER (WHERE n > 0)) // count(*) AS percent FROM n""")
 def summary_metrics(spark: SparkSession, d: str) -> DataFrame:
@@ -537,3 +605,10 @@ def end_summaries(spark: SparkSession, d: str) -> DataFrame:
     out = solver.ends(edges).groupBy("start", "d1", "x", "d2").agg(F.bit_or("end_cond").alias("cond"))
     return out.select("start", F.col("d1.var").alias("var_in"), F.col("d1.at").alias("at_in"), F.col("d1.o_var").alias("name_in"), F.col("d1.o_at").alias("origin_in"), "x", F.col("d2.var").alias("var_out"), F.col("d2.at").alias("at_out"), F.col("d2.o_var").alias("name_out"), F.col("d2.o_at").alias("origin_out"), "cond")
 
+
+@query(_WALKS + f"""SELECT n, d.v AS var, d.a AS "at", d.o AS o_var, d.b AS o_at, bit_or(CASE WHEN k = 1 AND entry THEN {T} ELSE cond END)::BIGINT AS cond FROM walk JOIN l USING (n) GROUP BY ALL""")
+def statement_values(spark: SparkSession, d: str) -> DataFrame:
+    """The second phase: which facts hold at each statement, at starts and calls by values handed on, at the others by path edges."""
+    solver, _, edges = IF.solve(*D.order_program(spark, d))
+    every = solver.values(edges).unionByName(solver.values_at_calls(edges))
+    return every.select("n", "d.var", "d.at", "d.o_var", "d.o_at", "cond")
