@@ -8,20 +8,22 @@ from pyspark.sql import functions as F
 from prismflow.functions import cond as C
 from prismflow.functions.text import label
 
-#: Colours of the graph format (fixed values).
+#: Colours, styles and texts of the graph format (fixed values).
 PLAIN, FEATURE, FUNCTION = "white", "#CD5200", "blue"
 EDGE, FEATURE_EDGE = "black", "red"
+NODE_STYLE, EDGE_STYLE = 'fontname="Calibri", style="filled"', 'style="setlinewidth(1)"'
+NO_POSITION = "No Position available"
 
 
 def node_line(node: Column, text: Column, position: Column, cond: Column, is_function: Column) -> Column:
     return F.concat(
-        F.lit('"'), node.cast("string"), F.lit('"[label="{{'), label(text), F.lit("}|{"), F.coalesce(position, F.lit("No Position available")), F.lit("}|"), label(C.text(cond)), F.lit('}", color="'),
-        F.when(is_function, FUNCTION).otherwise("black"), F.lit('", fontname="Calibri", style="filled", fillcolor="'), F.when(C.tautology(cond), PLAIN).otherwise(FEATURE), F.lit('"];'),
+        F.lit('"'), node.cast("string"), F.lit('"[label="{{'), label(text), F.lit("}|{"), F.coalesce(position, F.lit(NO_POSITION)), F.lit("}|"), label(C.text(cond)), F.lit('}", color="'),
+        F.when(is_function, FUNCTION).otherwise("black"), F.lit(f'", {NODE_STYLE}, fillcolor="'), F.when(C.tautology(cond), PLAIN).otherwise(FEATURE), F.lit('"];'),
     )
 
 
 def edge_line(src: Column, dst: Column, cond: Column) -> Column:
-    return F.concat(F.lit('"'), src.cast("string"), F.lit('" -> "'), dst.cast("string"), F.lit('"[label="'), C.text(cond), F.lit('", color="'), F.when(C.tautology(cond), EDGE).otherwise(FEATURE_EDGE), F.lit('", style="setlinewidth(1)"];'))
+    return F.concat(F.lit('"'), src.cast("string"), F.lit('" -> "'), dst.cast("string"), F.lit('"[label="'), C.text(cond), F.lit('", color="'), F.when(C.tautology(cond), EDGE).otherwise(FEATURE_EDGE), F.lit(f'", {EDGE_STYLE}];'))
 
 
 def dot_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:

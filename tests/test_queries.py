@@ -1,4 +1,4 @@
-"""Every query with SQL against DuckDB on the same tables, and the others for rows."""
+"""Every query with SQL against DuckDB on the same tables; test_whole_tables.py has those without."""
 
 from __future__ import annotations
 
