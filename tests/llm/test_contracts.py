@@ -83,13 +83,12 @@ def test_bpe(docs, rows, empty):
 
 def test_pre_tokens_of_every_character():
     pre, find = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).pre_tokenizer, bpe.pre_token_pattern().findall
-    for c in range(0, 0x30000, 7):
-        if not 0xD800 <= c < 0xE000:
-            text = f"a{chr(c)}1{chr(c)}!{chr(c)} "
-            at, want = 0, [x[1] for x in pre.pre_tokenize_str(text)]
-            for m, span in zip(find(text), want, strict=True):
-                assert (at, at + len(m)) == span, hex(c)
-                at += len(m)
+    for start in range(0, 0x110000, 32):
+        text = "".join(f"a{chr(c)}1{chr(c)}!{chr(c)} " for c in range(start, start + 32) if not 0xD800 <= c < 0xE000)
+        at, want = 0, [x[1] for x in pre.pre_tokenize_str(text)]
+        for m, span in zip(find(text), want, strict=True):
+            assert (at, at + len(m)) == span, hex(start)
+            at += len(m)
 
 
 def brute_search(rows, items):
