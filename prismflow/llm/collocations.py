@@ -5,7 +5,8 @@ every phrase whose parts are all proposed: the proposal itself and its negative
 the border turns out frequent, the border was too narrow: the proposal grows by what is frequent, and a further full pass counts the phrases
 that this adds, until no pass finds any. So counts are exact and complete, whatever the sample holds.
 
-What is proposed goes to the tasks as bitmaps of a fixed size over hashes. A phrase that is let in by a colliding bit is only counted too; counts go by the phrases themselves.
+What is proposed goes to the tasks as bitmaps of a fixed size over hashes. A phrase that is let in by a colliding bit is only counted too.
+These passes count hashes of phrases, which is never less than the phrases' own counts and moves a third of the bytes; a last pass counts the phrases themselves whose hashes reached the threshold.
 """
 
 from __future__ import annotations
@@ -17,7 +18,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from prismflow.llm import common
 
@@ -28,7 +28,9 @@ KIND[[*b".,;:!?", *range(0x0A, 0x0E)]] = 2
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 #: Bytes of text that are counted at a time.
-PIECE = 4 << 20
+PIECE = 2 << 20
+#: Hashes that a task adds up before it passes them on.
+HELD = 3 << 20
 #: Bits of a bitmap: 8 MB, whatever the input.
 BITS = 1 << 26
 SAMPLE, SALTS = 0.2, 64
@@ -92,84 +94,119 @@ def salted(lang: str) -> np.uint64:
     return mixed(np.array([int.from_bytes(lang.encode()[:8].ljust(8, b"\1"), "little") ^ len(lang)], np.uint64))[0]
 
 
-class Proposal:
-    """Bitmaps of words and pairs."""
+#: Bitmaps by the length of phrases; None: no limit.
+Bits = dict[int, np.ndarray] | None
 
-    def __init__(self, words: np.ndarray, pairs: np.ndarray):
-        self.bits = {1: words, 2: pairs}
 
-    def has(self, k: int, h: np.ndarray) -> np.ndarray:
-        at = h & np.uint64(BITS - 1)
-        return (self.bits[k][(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+def has(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    at = h >> np.uint64(64 - BITS.bit_length() + 1)
+    return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def counted(lang: str, raw: np.ndarray, lengths: tuple[int, ...], now: Proposal | None, before: Proposal | None) -> Iterator[tuple]:
-    """(length, phrases, hashes, counts) of one language's text, a phrase once for each part. ``now``: a phrase of several words counts if its parts are proposed
-    (None: all are); ``before``: and not if they all were already. Length 0 has the number of words."""
+def marked(h: np.ndarray, k: int) -> np.ndarray:
+    """The hashes of phrases of ``k`` words, with their length in the two lowest bits."""
+    return h & ~np.uint64(3) | np.uint64(k)
+
+
+def eligible(lang: str, raw: np.ndarray, longest: int, now: Bits, before: Bits) -> Iterator[tuple[Words, int, np.ndarray, np.ndarray]]:
+    """(words, length, places of first words, hashes) of one language's text, part by part, for lengths 1 to ``longest``. ``now``: a phrase of several words counts if its
+    parts are proposed (None: all are); ``before``: and only if they weren't all proposed then."""
     for part in cut(raw, PIECE):
         w = Words(part)
-        if 0 in lengths:
-            yield 0, pa.array([""], pa.large_string()), np.zeros(1, np.uint64), np.array([w.n])
-        h = {1: mixed(w.hash ^ salted(lang))}
+        h = {1: marked(mixed(w.hash ^ salted(lang)), 1)}
         follows = {1: np.ones(w.n, bool), 2: w.joined, 3: w.joined[:-1] & w.joined[1:]}
-        for k in range(2, max(lengths) + 1):
-            h[k] = mixed(h[k - 1][:-1] * np.uint64(3) + h[1][k - 1 :])
-        for k in lengths:
-            if not k or not len(h[k]):
-                continue
-            chosen = follows[k].copy()
+        for k in range(1, longest + 1):
+            if k > 1:
+                h[k] = marked(mixed(h[k - 1][:-1] * np.uint64(3) + h[1][k - 1 :]), k)
+            if not len(h[k]):
+                break
+            chosen = follows[k]
             if k > 1:
                 for state, wanted in ((now, True), (before, False)):
                     if state is not None:
-                        own = state.has(k - 1, h[k - 1])
-                        chosen &= (own[:-1] & own[1:]) == wanted
+                        own = has(state[k - 1], h[k - 1])
+                        chosen = chosen & ((own[:-1] & own[1:]) == wanted)
+            elif before is not None:
+                continue  # the first pass has counted all words
             first = np.flatnonzero(chosen)
-            if len(first):
-                yield k, w.phrases(first, k), h[k][first], None
+            yield w, k, first, h[k][first]
 
 
-SCHEMA = T.StructType([T.StructField("lang", T.StringType()), T.StructField("k", T.IntegerType()), T.StructField("phrase", T.StringType()), T.StructField("h", T.LongType()), T.StructField("c", T.LongType())])
-ARROW = pa.schema([("lang", pa.string()), ("k", pa.int32()), ("phrase", pa.string()), ("h", pa.int64()), ("c", pa.int64())])
+def by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, np.ndarray]]:
+    """Texts of (lang, text) rows, put together by language, an end of a piece between them."""
+    held: dict[str, list[bytes]] = {}
+    size = 0
 
-
-def passed(texts: DataFrame, lengths: tuple[int, ...], now=None, before=None) -> DataFrame:  # noqa: ANN001
-    """One pass over ``texts`` (lang, text): lang, k, phrase, h, c. ``now`` and ``before`` are broadcasts of proposals."""
+    def flush() -> Iterator[tuple[str, np.ndarray]]:
+        for lang, own in held.items():
+            yield lang, np.frombuffer(b"\n".join(own), np.uint8)
+        held.clear()
+
+    for batch in batches:
+        raw, offs = common.utf8(batch.column(1))
+        data, offs = memoryview(raw), offs.tolist()
+        for lang, a, b in zip(batch.column(0).to_pylist(), offs, offs[1:], strict=False):
+            held.setdefault(lang, []).append(bytes(data[a:b]))
+            size += b - a
+        if size >= PIECE:
+            yield from flush()
+            size = 0
+    yield from flush()
+
+
+def hashes(texts: DataFrame, longest: int, now=None, before=None) -> DataFrame:  # noqa: ANN001
+    """h, c: how often a pass over ``texts`` (lang, text) meets each eligible hash. ``now`` and ``before`` are broadcasts of bitmaps by length."""
     common.arrow_rows(texts.sparkSession)
+    schema = pa.schema([("h", pa.int64()), ("c", pa.int64())])
+
+    def summed(h: list[np.ndarray], c: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        own, at = np.unique(np.concatenate(h), return_inverse=True)
+        return own, np.bincount(at, np.concatenate(c), len(own)).astype(np.int64)
 
-    def flush(held: dict[str, list[bytes]]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = (x.value if x is not None else None for x in (now, before))
-        for lang, own in held.items():
-            raw = np.frombuffer(b"\n".join(own), np.uint8)
-            for k, phrases, h, c in counted(lang, raw, lengths, a, b):
-                if c is None:
-                    code = pc.dictionary_encode(phrases)
-                    ids = code.indices.to_numpy()
-                    c, phrases = np.bincount(ids, minlength=len(code.dictionary)), code.dictionary
-                    one = np.zeros(len(c), np.uint64)
-                    one[ids] = h
-                    h = one
-                yield pa.RecordBatch.from_arrays([pa.array([lang]).take(pa.array(np.zeros(len(c), np.int32))), pa.array(np.full(len(c), k, np.int32)), phrases.cast(pa.string()), pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))], schema=ARROW)
+        h, c, size = [], [], 0
+        for lang, raw in by_language(batches):
+            for *_, own in eligible(lang, raw, longest, a, b):
+                found, times = np.unique(own, return_counts=True)
+                h.append(found)
+                c.append(times)
+                size += len(found)
+            if size > HELD:
+                one, times = summed(h, c)
+                h, c, size = [one], [times], len(one)
+                if size > HELD // 2:
+                    yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(times)], schema=schema)
+                    h, c, size = [], [], 0
+        if h:
+            one, times = summed(h, c)
+            yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(times)], schema=schema)
+
+    # Tasks have added up what they could: dealt first, and added up after that.
+    return texts.mapInArrow(run, "h long, c long").repartition("h").groupBy("h").agg(F.sum("c").alias("c"))
+
+
+def phrases(texts: DataFrame, likely) -> DataFrame:  # noqa: ANN001
+    """lang, k, phrase, c of the phrases whose hashes are in ``likely`` (broadcast of bitmaps by length), exactly. k = 0 has the number of words."""
+    common.arrow_rows(texts.sparkSession)
+    schema = pa.schema([("lang", pa.string()), ("k", pa.int32()), ("phrase", pa.string()), ("c", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list[bytes]] = {}
-        size = 0
-        for batch in batches:
-            raw, offs = common.utf8(batch.column(1))
-            data, offs = memoryview(raw), offs.tolist()
-            for lang, a, b in zip(batch.column(0).to_pylist(), offs, offs[1:], strict=False):
-                held.setdefault(lang, []).append(bytes(data[a:b]))
-                size += b - a
-            if size >= PIECE:
-                yield from flush(held)
-                held, size = {}, 0
-        yield from flush(held)
-
-    return texts.mapInArrow(run, SCHEMA).groupBy("lang", "k", "phrase").agg(F.sum("c").alias("c"), F.min("h").alias("h"))
+        bits = likely.value
+        for lang, raw in by_language(batches):
+            for w, k, first, h in eligible(lang, raw, 3, None, None):
+                own = w.phrases(first[has(bits[k], h)], k)
+                code = pc.dictionary_encode(own)
+                c, own = np.bincount(code.indices.to_numpy(), minlength=len(code.dictionary)), code.dictionary
+                for length, names, n in [(k, own, c)] + [(0, pa.array([""]), np.array([w.n]))] * (k == 1):
+                    yield pa.RecordBatch.from_arrays([pa.array([lang]).take(pa.array(np.zeros(len(n), np.int32))), pa.array(np.full(len(n), length, np.int32)), names.cast(pa.string()), pa.array(n.astype(np.int64))], schema=schema)
+
+    return texts.mapInArrow(run, "lang string, k int, phrase string, c long").groupBy("lang", "k", "phrase").agg(F.sum("c").alias("c"))
 
 
 def bitmap(hashes: DataFrame) -> np.ndarray:
     """The bits of the hashes ``h`` of a table, ``BITS`` at most: Spark makes them, the driver gets them."""
-    at = hashes.select(F.col("h").bitwiseAND(F.lit(BITS - 1)).alias("at"))
+    at = hashes.select(F.shiftrightunsigned("h", 64 - BITS.bit_length() + 1).alias("at"))
     made = at.groupBy(F.shiftright("at", 15).alias("part")).agg(F.bitmap_construct_agg(F.col("at").bitwiseAND(F.lit(0x7FFF))).alias("bits"))
     out = np.zeros(BITS // 8, np.uint8)
     for r in made.toLocalIterator():
@@ -181,33 +218,36 @@ def frequent(docs: DataFrame, least: int = 10, lang_col: str = "lang", text_col:
     """(lang, k, phrase, c of all phrases of 1 to 3 words that occur ``least`` times or more in their language's texts; lang, n of all words). Counts are exact.
 
     Null text counts as empty, null language as ``und``. Only cost depends on the sample. ``docs`` is read once for the sample
-    and once for each full pass: three times at most, as each pass settles one more length.
+    and once for each full pass: three times at most, as each pass settles one more length, and once more for the phrases.
     """
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
     enough = max(2, int(least * sample * 0.8))
-    seen = common.checkpoint(passed(texts.where(F.rand(seed) < sample), (1, 2)).where(F.col("c") >= enough).select("k", "h"))
-    proposal, before = Proposal(*(bitmap(seen.where(F.col("k") == k)) for k in (1, 2))), None
-    known, total, sent = None, None, []
+    of = lambda found, *k: {x: bitmap(found.where(F.col("h").bitwiseAND(F.lit(3)) == x)) for x in k}
+    seen = common.checkpoint(hashes(texts.where(F.rand(seed) < sample), 2).where(F.col("c") >= enough).select("h"))
+    proposal, before, likely = of(seen, 1, 2), None, dict.fromkeys((1, 2, 3), np.zeros(BITS // 8, np.uint8))
     while True:
-        sent = [*sent[-1:], spark.sparkContext.broadcast(proposal)]
-        # All words are counted by the first pass; it also has their number.
-        found = passed(texts, (2, 3), sent[-1], sent[-2]) if before is not None else passed(texts, (0, 1, 2, 3), sent[-1])
-        found = common.checkpoint(found.where((F.col("k") == 0) | (F.col("c") >= least)))
-        if known is None:
-            total = found.where("k = 0").select("lang", F.col("c").alias("n"))
-            found = found.where("k > 0")
-        known = found if known is None else known.unionByName(found)
-        wider = Proposal(*(proposal.bits[k] | bitmap(found.where(F.col("k") == k)) for k in (1, 2)))
-        if all(np.array_equal(wider.bits[k], proposal.bits[k]) for k in (1, 2)):
-            return known.select("lang", "k", "phrase", "c"), total
-        before, proposal = proposal, wider
+        sent = spark.sparkContext.broadcast(proposal)
+        # The proposal and its border; after the first pass, only what a wider proposal adds.
+        found = common.checkpoint(hashes(texts, 3, sent, before).where(F.col("c") >= least).select("h"))
+        likely = {k: likely[k] | x for k, x in of(found, 1, 2, 3).items()}
+        wider = {k: proposal[k] | likely[k] for k in (1, 2)}
+        if all(np.array_equal(wider[k], proposal[k]) for k in (1, 2)):
+            break
+        before, proposal = sent, wider
+    known = common.checkpoint(phrases(texts, spark.sparkContext.broadcast(likely)).where((F.col("k") == 0) | (F.col("c") >= least)))
+    return known.where("k > 0"), known.where("k = 0").select("lang", F.col("c").alias("n"))
 
 
 def part(words: F.Column, first: int, n: int) -> F.Column:
     return F.array_join(F.slice(words, first, n), " ")
 
 
+def score() -> F.Column:
+    """floor(10^6 * a * a / (l * r)) of columns a, l and r up to 10^13, exactly: decimals of up to 35 digits."""
+    return F.expr("CAST(a AS decimal(14,0)) * CAST(a AS decimal(14,0)) * CAST(1000000 AS decimal(7,0)) div (CAST(l AS decimal(14,0)) * CAST(r AS decimal(14,0)))")
+
+
 def collocations(docs: DataFrame, least: int = 10, top: int = 2000, inside: int = 50, lang_col: str = "lang", text_col: str = "text", sample: float = SAMPLE) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's ``top`` phrases of two or three words.
 
@@ -222,7 +262,7 @@ def collocations(docs: DataFrame, least: int = 10, top: int = 2000, inside: int
     )
     cand = known.where("k > 1").select("lang", "phrase", "k", F.col("c").alias("a"), F.explode(cuts).alias("x")).select("lang", "phrase", "k", "a", "x.*")
     cand = cand.join(one.select("lang", F.col("phrase").alias("left"), F.col("c").alias("l")), ["lang", "left"]).join(one.select("lang", F.col("phrase").alias("right"), F.col("c").alias("r")), ["lang", "right"])
-    cand = cand.withColumn("score", F.expr("CAST(a AS decimal(15,0)) * CAST(a AS decimal(15,0)) * CAST(1000000 AS decimal(7,0)) div (CAST(l AS decimal(15,0)) * CAST(r AS decimal(15,0)))"))
+    cand = cand.withColumn("score", score())
     best = cand.groupBy("lang", "phrase", "k", "a").agg(F.min(F.struct("score", "cut", "l", "r")).alias("b"))
     longer = known.where("k = 3").select("lang", F.explode(F.array(part(words, 1, 2), part(words, 2, 2))).alias("phrase"), "c").groupBy("lang", "phrase").agg(F.max("c").alias("most"))
     left = best.join(longer, ["lang", "phrase"], "left").where(F.col("most").isNull() | (F.lit(100) * F.col("most") < F.lit(inside) * F.col("a")))
