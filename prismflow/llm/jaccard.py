@@ -2,7 +2,8 @@
 
 Two sets with a Jaccard similarity of 0.8 share a shingle among the rarest fifth of each: their prefixes. Texts with the same set of shingles are one class, and
 classes with the same prefix and size are one group. Only groups are listed under the shingles of their prefixes, and a pair of groups
-goes on if its sizes and the places of the shared shingle leave room for enough others. Then groups are expanded, and pairs of classes verified on their whole sets.
+goes on if its sizes and the places of the shared shingle leave room for enough others. Then groups are expanded, pairs of classes whose outlines (counts of shingles by bin) can't share enough
+are left out, and the others verified on their whole sets.
 
 What is asked for are components, so pairs that are connected already need no verification. Each list's groups are first verified against one of them,
 its hub, which connects most near copies with as many pairs as the list has groups; after that, only pairs of groups in different components are left, and all of these are verified.
@@ -31,6 +32,10 @@ from prismflow.llm.simhash import FORM
 WORDS, PERCENT = 5, 80
 #: Counters of shingles (8 MB in all, whatever the input), and the parts they are added up in.
 COUNTERS, PARTS = 1 << 20, 64
+#: Bins of a set's outline, one byte each.
+BINS = 128
+#: Bits of the table that says which documents a round needs: 8 MB, whatever the input.
+BITS = 1 << 26
 #: Shares of a common shingle's list, each with a hub of its own.
 SHARES = 64
 #: Rounds of hubs before what is left is verified pair by pair.
@@ -68,19 +73,21 @@ def batches_of(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
-def place(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(44)).astype(np.int64)
+def place(h: np.ndarray, counters: int) -> np.ndarray:
+    return (h % np.uint64(counters)).astype(np.int64)
 
 
 def counters(texts: DataFrame, size: int) -> np.ndarray:
     """How many documents have a shingle of each counter, over all documents. Each task counts, and tasks add up parts as they come."""
 
+    size_of, parts = COUNTERS, min(PARTS, COUNTERS)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.zeros(COUNTERS, np.int64)
+        own = np.zeros(size_of, np.int64)
         for batch in batches:
             for text in texts_of(batch, 0):
-                np.add.at(own, place(shingles(text, size)), 1)
-        yield from packed(own.reshape(PARTS, -1), range(PARTS))
+                np.add.at(own, place(shingles(text, size), size_of), 1)
+        yield from packed(own.reshape(parts, -1), range(parts))
 
     def packed(rows: np.ndarray, names: range | list[int]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(names), pa.int32()), pa.array([zlib.compress(r.tobytes(), 1) for r in rows], pa.binary())], names=["part", "counts"])
@@ -93,30 +100,31 @@ def counters(texts: DataFrame, size: int) -> np.ndarray:
         yield from packed(list(own.values()), list(own))
 
     schema = "part int, counts binary"
-    out = np.zeros((PARTS, COUNTERS // PARTS), np.int64)
-    for r in texts.mapInArrow(count, schema).repartition(PARTS, "part").mapInArrow(add, schema).toLocalIterator():
+    out = np.zeros((parts, size_of // parts), np.int64)
+    for r in texts.mapInArrow(count, schema).repartition(parts, "part").mapInArrow(add, schema).toLocalIterator():
         out[r["part"]] = np.frombuffer(zlib.decompress(r["counts"]), np.int64)
     return out.reshape(-1)
 
 
 def shape(docs: DataFrame, seen, size: int, percent: int) -> DataFrame:  # noqa: ANN001
-    """row_id, doc_id, n, set_key, prefix_key and prefix of each row of ``docs`` (row_id, doc_id, text); ``seen``: broadcast of the counters."""
-    schema = T.StructType([docs.schema["row_id"], docs.schema["doc_id"], T.StructField("n", T.LongType()), T.StructField("set_key", T.BinaryType()), T.StructField("prefix_key", T.LongType()), T.StructField("prefix", T.BinaryType())])
+    """row_id, doc_id, n, set_key, prefix_key, prefix and outline (how many shingles fall into each of ``BINS`` bins, up to 255) of each row of ``docs`` (row_id, doc_id, text); ``seen``: broadcast of the counters."""
+    schema = T.StructType([docs.schema["row_id"], docs.schema["doc_id"], T.StructField("n", T.LongType()), T.StructField("set_key", T.BinaryType()), T.StructField("prefix_key", T.LongType()), T.StructField("prefix", T.BinaryType()), T.StructField("outline", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = seen.value
         for batch in batches:
-            n, keys, groups, prefixes = [], [], [], []
+            n, keys, groups, prefixes, outlines = [], [], [], [], []
             for text in texts_of(batch, 2):
                 h = shingles(text, size)
                 most = len(h) - (percent * len(h) + 99) // 100 + 1 if len(h) else 0
-                prefix = h[np.lexsort((h, count[place(h)]))[:most]]
+                prefix = h[np.lexsort((h, count[place(h, len(count))]))[:most]]
                 data = prefix.tobytes()
                 n.append(len(h))
                 keys.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest())
                 groups.append(xxhash.xxh3_64_intdigest(data, len(h)))
                 prefixes.append(data)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(np.array(groups, np.uint64).view(np.int64)), pa.array(prefixes, pa.binary())], names=schema.names)
+                outlines.append(np.minimum(np.bincount((h & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(np.array(groups, np.uint64).view(np.int64)), pa.array(prefixes, pa.binary()), pa.array(outlines, pa.binary())], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
@@ -138,7 +146,7 @@ def listed(shaped: DataFrame, seen) -> DataFrame:  # noqa: ANN001
                 token = np.concatenate([p for *_, p in rows])
                 size = [len(p) for *_, p in rows]
                 at = np.concatenate([np.arange(s, dtype=np.int32) for s in size])
-                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(np.repeat([k for k, *_ in rows], size).astype(np.int64)), pa.array(np.repeat([n for _, n, _ in rows], size).astype(np.int64)), pa.array(at), pa.array(count[place(token)] > often)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(np.repeat([k for k, *_ in rows], size).astype(np.int64)), pa.array(np.repeat([n for _, n, _ in rows], size).astype(np.int64)), pa.array(at), pa.array(count[place(token, len(count))] > often)], names=names)
 
     rows = shaped.where("n > 0").select("prefix_key", "n", "prefix").mapInArrow(run, schema)
     # A common shingle is taken to be in two groups without a look, so that its list may be dealt out.
@@ -157,32 +165,48 @@ def level_of(percent: int) -> F.Column:
     return F.floor(F.log("n") / F.log(F.lit(100 / percent)) + 1e-9).cast("int") if percent < 100 else F.col("n").cast("int")
 
 
-def dealt(df: DataFrame, key: str, rows: int) -> DataFrame:
-    """``df`` written once, dealt and sorted by ``key``, so that joins by it move the other side only."""
-    spark = df.sparkSession
-    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), rows // 20_000)
-    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        return common.checkpoint(df.repartition(parts, key).sortWithinPartitions(key))
-    finally:
-        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+def outlined(pairs: DataFrame, outlines: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes whose outlines (c, n, outline) leave room for enough shared shingles: two sets share no more of a bin than the smaller one has there."""
+    met = pairs
+    for x in ("a", "b"):
+        met = met.join(outlines.select(F.col("c").alias(x), F.col("n").alias(f"n_{x}"), F.col("outline").alias(f"o_{x}")), x)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int64) for k in (4, 5))
+            n = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            most = np.where((x == 255) & (y == 255), n[:, None], np.minimum(x, y)).sum(axis=1)
+            yield batch.select([0, 1]).filter(pa.array((100 + percent) * most >= percent * n))
+
+    return met.select("a", "b", "n_a", "n_b", "o_a", "o_b").mapInArrow(run, "a long, b long")
 
 
-def sets_of(docs: DataFrame, chosen: DataFrame, size: int) -> DataFrame:
-    """c, n, hashes: the whole sets of the classes ``chosen`` (c), made again from the texts of the rows that stand for them."""
-    rows = docs.select(F.col("row_id").alias("c"), "text").join(chosen.select("c"), "c")
+def sets_of(docs: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
+    """c, hashes: the whole sets of the classes in ``pairs``, made again from the texts of the rows that stand for them. A table of bits of a fixed size tells the
+    scan which rows these are, so that other texts don't move; rows with a colliding bit come along and meet nothing."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("c"))
+    at = F.shiftrightunsigned(F.xxhash64("c"), 64 - BITS.bit_length() + 1)
+    made = wanted.select(at.alias("at")).groupBy(F.shiftright("at", 15).alias("part")).agg(F.bitmap_construct_agg(F.col("at").bitwiseAND(F.lit(0x7FFF))).alias("bits"))
+    table = np.zeros(BITS // 8, np.uint8)
+    for r in made.toLocalIterator():
+        table[r["part"] << 12 : (r["part"] + 1) << 12] = np.frombuffer(r["bits"], np.uint8)
+    sent = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = sent.value
         for batch in batches:
-            own = [shingles(t, size) for t in texts_of(batch, 1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(h) for h in own], pa.int64()), pa.array([h.tobytes() for h in own], pa.binary())], names=["c", "n", "hashes"])
+            k = batch.column(2).to_numpy()
+            batch = batch.filter(pa.array((bits[k >> 3] >> (k & 7).astype(np.uint8)) & 1 == 1))
+            own = [shingles(t, size).tobytes() for t in texts_of(batch, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary())], names=["c", "hashes"])
 
-    return rows.mapInArrow(run, "c long, n long, hashes binary")
+    return docs.select(F.col("row_id").alias("c"), "text").withColumn("at", at).mapInArrow(run, "c long, hashes binary")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, outlines: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) of classes whose sets are alike."""
+    pairs = common.checkpoint(outlined(pairs, outlines, percent))
+    sets = common.checkpoint(sets_of(docs, pairs, size))
     met = pairs.join(sets.select(F.col("c").alias("b"), F.col("hashes").alias("y")), "b").join(sets.select(F.col("c").alias("a"), F.col("hashes").alias("x")), "a").select("a", "b", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,17 +291,18 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     members = classes.select("c", "prefix_key")
     several = groups.where("size > 1")
     members = common.checkpoint(members.join(lists.select("prefix_key").unionByName(several.select("prefix_key")).distinct(), "prefix_key", "left_semi"))
-    sets = dealt(sets_of(docs, members, size), "c", members.count())
+    outlines = shaped.select(F.col("row_id").alias("c"), "n", "outline")
     links: list[DataFrame] = []
-    found = None
-    for turn in range(HUBS):
-        pairs = hub_pairs(lists, turn, percent)
-        if not turn:
-            pairs = pairs.unionByName(members.join(several, "prefix_key").select(F.col("first").alias("a"), F.col("c").alias("b")))
-        links.append(common.checkpoint(verified(ordered(pairs), sets, percent)))
+    for turn in range(max(1, HUBS)):
+        # Members of a group have one prefix: the group itself is a list, and its first class the hub.
+        pairs = members.join(several, "prefix_key").select(F.col("first").alias("a"), F.col("c").alias("b")) if not turn else None
+        if HUBS:
+            hubs = hub_pairs(lists, turn, percent)
+            pairs = hubs if pairs is None else pairs.unionByName(hubs)
+        links.append(common.checkpoint(verified(ordered(pairs), docs, outlines, size, percent)))
         found = graph.components(reduce(DataFrame.unionByName, links))
         lists, own = labelled(lists, members, found)
-    links.append(common.checkpoint(verified(open_pairs(lists, own, percent), sets, percent)))
+    links.append(common.checkpoint(verified(open_pairs(lists, own, percent), docs, outlines, size, percent)))
     found = graph.components(found.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(links[-1]))
     label = classes.join(found.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
     named = label.select("set_key", "component").join(label.groupBy("component").agg(F.min("least").alias("best")), "component").select("set_key", F.col("best.id").alias("component_id"))
