@@ -8,9 +8,11 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from prismflow.functions import cond as C
+
 
 def shared_folder(spark: SparkSession) -> None:
     """Make sure that checkpoints go to a folder all executors share: the cluster's, or a temporary one on a local master only."""
@@ -146,22 +148,91 @@ def plain_reach(start: DataFrame, edges: DataFrame) -> DataFrame:
     return reach(start.select("node", one), edges.select("src", "dst", one)).select("node")
 
 
-def classes(nodes: DataFrame, links: DataFrame, model: int) -> DataFrame:
+def least_by_config(rows: DataFrame, by: list[str], value: str, cond: str = "cond") -> DataFrame:
+    """by, ``value``, ``cond``: of the rows of each group the least ``value`` (bigint) in each configuration, once with all configurations in which it is that.
+
+    One minimum for each configuration, aggregated per task first, so that no group is ever collected: a row of 32 numbers stands for it.
+    """
+    # As one text each: building hundreds of columns one by one takes longer than a round.
+    mins = F.expr(f"array({', '.join(f'min(CASE WHEN (`{cond}` & {1 << k}L) <> 0 THEN `{value}` END)' for k in range(C.CONFIGS))})")
+    found = rows.groupBy(*by).agg(mins.alias("mins"))
+    where = f"aggregate(sequence(0, {C.CONFIGS - 1}), 0L, (out, k) -> if(mins[k] = x, out | shiftleft(1L, k), out))"
+    each = F.expr(f"transform(filter(array_distinct(mins), x -> x IS NOT NULL), x -> named_struct('{value}', x, '{cond}', {where}))")
+    return found.select(*by, F.explode(each).alias("l")).select(*by, f"l.{value}", f"l.{cond}")
+
+
+def without(rows: DataFrame, cond: Column, gone: Column) -> DataFrame:
+    """The rows under what is left of ``cond`` where ``gone`` (null: nowhere) doesn't hold."""
+    return rows.withColumn("cond", cond.bitwiseAND(F.bitwise_not(F.coalesce(gone, C.lit(0))))).where("cond <> 0")
+
+
+def classes(nodes: DataFrame, links: DataFrame, model: int, rounds: Rounds | None = None) -> DataFrame:
     """node, class, cond: the smallest node that each node is linked to, itself included, and in which configurations; ``links`` (a, b, cond) count both ways.
 
-    Configurations are independent of each other. Smaller labels displace larger ones bit by bit, so that
-    each node has one class in each configuration.
+    Alternating large and small stars, in all configurations at once: a link is there under a condition, and a node's smallest neighbour is one for each configuration.
+    As configurations don't depend on each other, each sees the stars it would see alone, so that the number of rounds grows with the logarithm of a class's width.
+    Links only ever move to smaller nodes; a round is some aggregations and joins by node, and one checkpoint. Links of nodes that aren't in ``nodes`` are left out.
     """
-    both = links.select(F.col("a").alias("src"), F.col("b").alias("dst"), "cond").unionByName(links.select(F.col("b").alias("src"), F.col("a").alias("dst"), "cond"))
-    edges = saved(both.groupBy("src", "dst").agg(F.bit_or("cond").alias("e")).where("src <> dst AND e <> 0"))
-    state = saved(nodes.select("node", F.col("node").alias("class"), F.lit(model).cast("bigint").alias("cond"), F.lit(True).alias("fresh")))
+    rounds = Rounds() if rounds is None else rounds
+    every = saved(nodes.select("node").distinct())
+    known = lambda df, c: df.join(every.withColumnRenamed("node", c), c, "left_semi")
+    put = lambda df: df.where("a <> b AND cond <> 0").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "cond").groupBy("a", "b").agg(F.bit_or("cond").alias("cond"))
+    links = saved(put(known(known(links.withColumn("cond", F.col("cond").bitwiseAND(C.lit(model))), "a"), "b")))
+    before = None
     while True:
-        moved = state.where("fresh").join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), "class", F.col("cond").bitwiseAND(F.col("e")).alias("cond"), F.lit(True).alias("fresh")).where("cond <> 0 AND class < node")
-        every = state.withColumn("fresh", F.lit(False)).unionByName(moved).groupBy("node", "class").agg(F.bit_or("cond").alias("cond"), F.bit_or(F.when(~F.col("fresh"), F.col("cond")).otherwise(0)).alias("old"))
-        # Of a node's labels in ascending order, each keeps what no smaller one has. A node has one label per configuration, and candidates from its neighbours.
-        labels = every.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("class", "cond", "old"))).alias("labels"))
-        start = F.struct(F.lit(0).cast("bigint").alias("taken"), F.array().cast("array<struct<class:bigint,cond:bigint,fresh:boolean>>").alias("out"))
-        fold = lambda s, x: F.struct(s["taken"].bitwiseOR(x["cond"]).alias("taken"), F.concat(s["out"], F.array(F.struct(x["class"].alias("class"), x["cond"].bitwiseAND(F.bitwise_not(s["taken"])).alias("cond"), (x["cond"].bitwiseAND(F.bitwise_not(s["taken"])).bitwiseAND(F.bitwise_not(x["old"])) != 0).alias("fresh")))).alias("out"))
-        state = saved(labels.select("node", F.explode(F.aggregate("labels", start, fold, lambda s: s["out"])).alias("l")).select("node", "l.*").where("cond <> 0"))
-        if state.where("fresh").isEmpty():
-            return state.drop("fresh")
+        n, bits, total = links.agg(F.count(F.lit(1)), F.sum(F.bit_count("cond")), F.sum(F.xxhash64("a", "b", "cond").cast("decimal(38,0)"))).first()
+        if (n, bits, total) == before:
+            break
+        before = (n, bits, total)
+        rounds.rows.append(n)
+        rounds.bits.append(bits or 0)
+        # Large star: what is larger than a node hangs on the smallest of the node and its neighbours.
+        ways = links.select(F.col("a").alias("u"), F.col("b").alias("v"), "cond").unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v"), "cond"))
+        least = least_by_config(ways.select("u", F.least("u", "v").alias("m"), "cond"), ["u"], "m")
+        large = saved(put(links.select(F.col("a").alias("u"), F.col("b").alias("v"), F.col("cond").alias("e")).join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b"), F.col("e").bitwiseAND(F.col("cond")).alias("cond"))))
+        # Small star: a node and its smaller neighbours hang on the smallest of these.
+        least = least_by_config(large.select(F.col("b").alias("u"), F.col("a").alias("m"), "cond"), ["u"], "m")
+        small = large.select(F.col("b").alias("u"), F.col("a").alias("v"), F.col("cond").alias("e")).join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b"), F.col("e").bitwiseAND(F.col("cond")).alias("cond"))
+        links = saved(put(small.unionByName(least.select(F.col("m").alias("a"), F.col("u").alias("b"), "cond"))))
+    # Only stars are left: each node but the smallest of a class has one link to that in each configuration.
+    hung = links.select(F.col("b").alias("node"), F.col("a").alias("class"), "cond")
+    own = without(every.join(hung.groupBy("node").agg(F.bit_or("cond").alias("gone")), "node", "left"), C.lit(model), F.col("gone"))
+    return hung.unionByName(own.select("node", F.col("node").alias("class"), "cond"))
+
+
+def classes_without(before: DataFrame, links: DataFrame, removed: DataFrame, model: int) -> DataFrame:
+    """classes() after links have been taken back: node, class, cond.
+
+    before: the classes with all links. removed: a, b, cond that have gone (each (a, b) under what it no longer has). links: a, b, cond that are left. A class can only have come
+    apart in configurations in which it has lost a link, so that those classes are made anew from their nodes and links, in those configurations; all others stay as they are.
+    """
+    own = before.select("node", "class", F.col("cond").alias("c"))
+    lost = removed.select(F.col("a").alias("node"), "cond").join(own, "node").select("class", F.col("cond").bitwiseAND(F.col("c")).alias("lost")).where("lost <> 0")
+    lost = saved(lost.groupBy("class").agg(F.bit_or("lost").alias("lost")))
+    hit = saved(own.join(lost, "class").select("node", F.col("c").bitwiseAND(F.col("lost")).alias("open")).where("open <> 0").groupBy("node").agg(F.bit_or("open").alias("open")))
+    # Both ends of a link are in one class, so that one end says where it counts.
+    inner = links.join(hit.withColumnRenamed("node", "a"), "a").select("a", "b", F.col("cond").bitwiseAND(F.col("open")).alias("cond")).where("cond <> 0")
+    anew = classes(hit.select("node"), inner, model).join(hit, "node").select("node", "class", F.col("cond").bitwiseAND(F.col("open")).alias("cond")).where("cond <> 0")
+    stay = without(own.join(hit, "node", "left"), F.col("c"), F.col("open")).select("node", "class", "cond")
+    return stay.unionByName(anew).groupBy("node", "class").agg(F.bit_or("cond").alias("cond"))
+
+
+def reach_without(before: DataFrame, start: DataFrame, edges: DataFrame, removed: DataFrame, rounds: Rounds | None = None) -> DataFrame:
+    """reach() after edges have been taken back: node, cond.
+
+    before: what ``start`` (node, cond) reached with all edges. removed: src, dst, cond that have gone (each (src, dst) under what it no longer has). edges: src, dst, cond that are left.
+    Everything that followed from a removed edge is deleted, in the configurations in which it may have; what still follows from the rest, by another way, is derived again.
+    Only configurations of nodes behind removed edges are touched.
+    """
+    def along(e: DataFrame) -> Callable[[DataFrame], DataFrame]:
+        return lambda delta: delta.withColumnRenamed("node", "src").join(e, "src").select(F.col("dst").alias("node"), F.col("cond").bitwiseAND(F.col("e")).alias("cond"))
+
+    start, before = (df.select("node", "cond").groupBy("node").agg(F.bit_or("cond").alias("cond")) for df in (start, before))
+    keep = dealt(edges.groupBy("src", "dst").agg(F.bit_or("cond").alias("e")), "src")
+    gone = saved(removed.groupBy("src", "dst").agg(F.bit_or("cond").alias("e")))
+    all_edges = dealt(keep.unionByName(gone).groupBy("src", "dst").agg(F.bit_or("e").alias("e")), "src")
+    before = saved(before)
+    doubtful = saved(fixpoint(along(gone)(before), along(all_edges), ["node"], rounds=rounds))
+    left = saved(without(before.join(doubtful.withColumnRenamed("cond", "gone"), "node", "left"), F.col("cond"), F.col("gone")).select("node", "cond"))
+    again = start.unionByName(along(keep)(left)).join(doubtful.withColumnRenamed("cond", "gone"), "node").select("node", F.col("cond").bitwiseAND(F.col("gone")).alias("cond")).where("cond <> 0")
+    return fixpoint(again, along(keep), ["node"], rounds=rounds, known=left)

@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from prismflow.functions import cubes
 from prismflow.operators.fixpoint import NotReached, dealt, saved
 
 
@@ -28,6 +29,8 @@ class Lattice:
 LEAST = Lattice(F.min, F.least)
 GREATEST = Lattice(F.max, F.greatest)
 ANY = Lattice(F.bit_or, lambda a, b: a.bitwiseOR(b))
+#: Conditions over any number of features (functions/cubes.py).
+COVER = Lattice(cubes.any_of, cubes.either)
 
 
 def fixpoint(seeds: DataFrame, step: Callable[[DataFrame], DataFrame], keys: list[str], lattice: Lattice, value: str = "value", most: int | None = None) -> DataFrame:

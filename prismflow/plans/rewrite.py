@@ -8,27 +8,39 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prismflow.functions import cond as C
 from prismflow.plans.information_flow import TEMPORARY
 
-#: Statement numbers are spread by this factor, so that new ones fit between.
+#: Statement numbers are spread by this factor, so that new ones fit between: alternatives and returns after a statement, calls that are taken out before it.
+#: Programs with more of them need more (``room_for``); what doesn't fit is an error.
 ROOM = 64
 
 
-def spread(node: DataFrame, cfg: DataFrame) -> tuple[DataFrame, DataFrame]:
+def room_for(*extra: DataFrame) -> int:
+    """The factor that the alternatives or nested calls (n, k) of a program need."""
+    most = max((df.agg(F.max("k")).first()[0] or 0 for df in extra), default=0)
+    return max(ROOM, 2 * (most + 4))
+
+
+def fitting(k: Column, room: int) -> Column:
+    """``k``, or an error if there is no number for it."""
+    return F.when(k < room // 2 - 2, k).otherwise(F.raise_error(F.concat(F.lit("no room for number "), k.cast("string"), F.lit(f" of a statement with a factor of {room}; see room_for"))).cast("int"))
+
+
+def spread(node: DataFrame, cfg: DataFrame, room: int = ROOM) -> tuple[DataFrame, DataFrame]:
     """The tables with room for new statement numbers."""
-    return node.withColumn("n", F.col("n") * ROOM), cfg.withColumn("src", F.col("src") * ROOM).withColumn("dst", F.col("dst") * ROOM)
+    return node.withColumn("n", F.col("n") * room), cfg.withColumn("src", F.col("src") * room).withColumn("dst", F.col("dst") * room)
 
 
-def split_alternatives(node: DataFrame, cfg: DataFrame, alternatives: DataFrame) -> tuple[DataFrame, DataFrame]:
+def split_alternatives(node: DataFrame, cfg: DataFrame, alternatives: DataFrame, room: int = ROOM) -> tuple[DataFrame, DataFrame]:
     """Statements with alternatives inside as one statement for each (disciplined variability).
 
     alternatives: n, k (from 0), text, cond. Each copy exists where its alternative does; edges lead to and from each.
     """
-    copies = alternatives.select("n", F.col("k").alias("copy"), F.col("text").alias("new_text"), F.col("cond").alias("alt"))
+    copies = alternatives.select("n", fitting(F.col("k"), room).alias("copy"), F.col("text").alias("new_text"), F.col("cond").alias("alt"))
     met = node.join(copies, "n", "left")
     node = met.withColumn("pc", F.col("pc").bitwiseAND(F.coalesce("alt", C.lit(C.TRUE)))).withColumn("text", F.coalesce("new_text", "text")).withColumn("n", F.col("n") + F.coalesce("copy", F.lit(0))).where("pc <> 0").select(*node.columns)
     a = copies.select(F.col("n").alias("src"), F.col("copy").alias("src_copy"), F.col("alt").alias("src_alt"))
@@ -46,22 +58,22 @@ def single_entry(node: DataFrame, cfg: DataFrame) -> tuple[DataFrame, DataFrame]
     return node.withColumn("is_start", F.lit(False)).unionByName(new), cfg.unionByName(edges)
 
 
-def add_returns(node: DataFrame, cfg: DataFrame) -> tuple[DataFrame, DataFrame]:
+def add_returns(node: DataFrame, cfg: DataFrame, room: int = ROOM) -> tuple[DataFrame, DataFrame]:
     """A return statement after each exit that isn't one, which becomes the exit."""
     ends = node.where("is_exit AND kind <> 'return'")
-    new = ends.select((F.col("n") + ROOM - 2).alias("n"), "method", F.lit("return").alias("kind"), F.lit("return;").alias("text"), "pc", F.lit(False).alias("is_start"), F.lit(True).alias("is_exit"), F.lit(False).alias("is_call"))
-    edges = ends.select(F.col("n").alias("src"), (F.col("n") + ROOM - 2).alias("dst"), F.col("pc").alias("cond"))
+    new = ends.select((F.col("n") + room - 2).alias("n"), "method", F.lit("return").alias("kind"), F.lit("return;").alias("text"), "pc", F.lit(False).alias("is_start"), F.lit(True).alias("is_exit"), F.lit(False).alias("is_call"))
+    edges = ends.select(F.col("n").alias("src"), (F.col("n") + room - 2).alias("dst"), F.col("pc").alias("cond"))
     node = node.withColumn("is_exit", F.col("is_exit") & (F.col("kind") == "return"))
     return node.unionByName(new), cfg.unionByName(edges)
 
 
-def hoist_calls(node: DataFrame, cfg: DataFrame, nested: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def hoist_calls(node: DataFrame, cfg: DataFrame, nested: DataFrame, room: int = ROOM) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Calls within other statements, returns included, as statements before them that assign to temporaries.
 
     nested: n, k (inner ones first, from 0), call (its text). Also returns n, at, var: which temporary each statement reads. Each statement's calls
     run in order, after what came before the statement.
     """
-    new = nested.join(node.select("n", "method", "pc"), "n").withColumn("at", F.col("n") - ROOM // 2 + F.col("k"))
+    new = nested.join(node.select("n", "method", "pc"), "n").withColumn("at", F.col("n") - room // 2 + fitting(F.col("k"), room))
     var = F.concat(F.lit(TEMPORARY), F.col("at").cast("string"))
     rows = new.select(F.col("at").alias("n"), "method", F.lit("call").alias("kind"), F.concat(var, F.lit(" = "), F.col("call")).alias("text"), "pc", F.lit(False).alias("is_start"), F.lit(False).alias("is_exit"), F.lit(True).alias("is_call"))
     ends = new.groupBy("n").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.first("pc").alias("pc"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from prismflow.functions import cond as C
+from prismflow.functions import cubes as Q
 from prismflow.functions import text as X
 from prismflow.operators import alias, callgraph, conditional, evaluate, fixpoint, flows, lattice, sampling
 from prismflow.operators.solver import Program, Solver
@@ -388,6 +389,49 @@ def lifted_reach_wide(spark: SparkSession, d: str) -> DataFrame:
     return fixpoint.reach(C.in_blocks(spark.createDataFrame([(2, T)], "node long, cond long"), 8), edges)
 
 
+#: Whether feature f is enabled in sampled configuration s, for features of any number.
+_ENABLED = "(f * 37 + s * 101 + f * s) % 7 < 4"
+
+
+@query(f"""WITH c AS (SELECT s, f, {_ENABLED} AS v FROM (SELECT unnest(range(32)) AS s), (SELECT unnest(range(1, 41)) AS f)),
+n AS (SELECT n_nationkey, s FROM nation JOIN c ON f = 1 + n_nationkey AND v),
+k AS (SELECT c_custkey, s FROM n JOIN customer ON c_nationkey = n_nationkey JOIN c USING (s) WHERE f = 26 + ascii(c_mktsegment) % 5 AND v = (c_custkey % 3 <> 0)),
+o AS (SELECT o_orderkey, s FROM k JOIN orders ON o_custkey = c_custkey JOIN c USING (s) WHERE f = CASE o_orderstatus WHEN 'F' THEN 31 WHEN 'O' THEN 32 ELSE 33 END AND v = (o_orderkey % 2 = 0)),
+p AS (SELECT DISTINCT l_partkey, s FROM o JOIN lineitem ON l_orderkey = o_orderkey JOIN c USING (s) WHERE f = 34 + l_linenumber % 7 AND v)
+SELECT l_partkey AS part, sum(1::BIGINT << s::INT)::BIGINT AS sampled FROM p GROUP BY 1""")
+def reach_forty_features(spark: SparkSession, d: str) -> DataFrame:
+    """Parts that nations reach by way of customers, orders and lines under conditions over forty features, lifted, and then asked in 32 sampled configurations."""
+    name = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
+    signed = lambda f, on: Q.literal(F.when(on, f).otherwise(-f))
+    segment, status = F.lit(26) + F.ascii("c_mktsegment") % 5, F.when(F.col("o_orderstatus") == "F", 31).when(F.col("o_orderstatus") == "O", 32).otherwise(33)
+    start = table(spark, d, "nation").select(name("n", "n_nationkey").alias("node"), Q.literal(1 + F.col("n_nationkey")).alias("value"))
+    edges = table(spark, d, "customer").select(name("n", "c_nationkey").alias("src"), name("c", "c_custkey").alias("dst"), signed(segment, F.col("c_custkey") % 3 != 0).alias("weight"))
+    edges = edges.unionByName(table(spark, d, "orders").select(name("c", "o_custkey").alias("src"), name("o", "o_orderkey").alias("dst"), signed(status, F.col("o_orderkey") % 2 == 0).alias("weight")))
+    edges = edges.unionByName(table(spark, d, "lineitem").select(name("o", "l_orderkey").alias("src"), name("p", "l_partkey").alias("dst"), Q.literal(F.lit(34) + F.col("l_linenumber") % 7).alias("weight")))
+    reached = lattice.reach(start, edges, lattice.COVER, Q.both).where("node LIKE 'p%'")
+    enabled = lambda s: F.expr(f"filter(sequence(1, 40), f -> {_ENABLED.replace('s', str(s))})")
+    sampled = sum((F.when(Q.holds_in(F.col("value"), enabled(s)), C.of_config(F.lit(s))).otherwise(C.lit(0)) for s in range(32)), C.lit(0))
+    return reached.select(F.substr("node", F.lit(2)).cast("bigint").alias("part"), sampled.alias("sampled")).where("sampled <> 0")
+
+
+_LEFT = _SUPPLY.replace("FROM lineitem", "FROM lineitem WHERE l_orderkey % 10 <> 3")
+
+
+@query(_reached(_START, _LEFT) + " SELECT node, sum(1::BIGINT << cfg::INT)::BIGINT AS cond FROM r GROUP BY 1")
+def reach_after_removal(spark: SparkSession, d: str) -> DataFrame:
+    """The supply graph's reachability, finished, after a tenth of the orders has been taken back."""
+    start = spark.createDataFrame([(2, T)], "node long, cond long")
+    left, removed = removal(spark, d)
+    return fixpoint.reach_without(fixpoint.reach(start, D.supply_edges(spark, d)), start, left, removed)
+
+
+def removal(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Edges of the supply graph that are left without a tenth of the orders, and those, or those conditions of theirs, that have gone."""
+    every, left = D.supply_edges(spark, d), D.supply_edges(spark, d, "l_orderkey % 10 <> 3")
+    gone = fixpoint.without(every.join(left.withColumnRenamed("cond", "gone"), ["src", "dst"], "left"), F.col("cond"), F.col("gone"))
+    return left, gone.select("src", "dst", "cond")
+
+
 @query(f"""WITH RECURSIVE e AS ({_SUPPLY}), r(node) AS (SELECT 2::BIGINT UNION SELECT dst FROM r JOIN e ON src = node) SELECT node FROM r""")
 def ifds_reach(spark: SparkSession, d: str) -> DataFrame:
     return fixpoint.plain_reach(spark.createDataFrame([(2,)], "node long"), D.supply_edges(spark, d))
@@ -416,6 +460,7 @@ def lifted_reach_dag(spark: SparkSession, d: str) -> DataFrame:
     return fixpoint.reach(start, edges).where("node LIKE 'p%'").select(F.substr("node", F.lit(2)).cast("bigint").alias("part"), "cond")
 
 
+_LINKS_LEFT = f"""SELECT 2 * l_suppkey AS src, 2 * l_partkey + 1 AS dst, bit_or({LINE_MASK}) AS cond FROM lineitem WHERE l_orderkey % 10 <> 3 GROUP BY 1, 2"""
 _LINKS = f"""SELECT 2 * l_suppkey AS src, 2 * l_partkey + 1 AS dst, bit_or({LINE_MASK}) AS cond FROM lineitem GROUP BY 1, 2"""
 
 
@@ -428,6 +473,15 @@ def alias_classes(spark: SparkSession, d: str) -> DataFrame:
     return fixpoint.classes(nodes, own, T)
 
 
+@query(f"""WITH RECURSIVE l AS ({_LINKS_LEFT}), b AS (SELECT src, dst, cond FROM l UNION ALL SELECT dst, src, cond FROM l), c AS (SELECT unnest(range(32))::INT AS config), n AS (SELECT DISTINCT unnest([2 * l_suppkey, 2 * l_partkey + 1]) AS node FROM lineitem), x AS MATERIALIZED (SELECT src, dst, config FROM b, c WHERE ((cond >> config) & 1) = 1),
+r(config, node, label) USING KEY (config, node) AS (SELECT config, node, node FROM n, c UNION SELECT s.config, s.node, s.label FROM (SELECT x.config, x.dst AS node, min(r.label) AS label FROM r JOIN x ON x.src = r.node AND x.config = r.config GROUP BY 1, 2) s JOIN recurring.r k ON k.config = s.config AND k.node = s.node WHERE s.label < k.label) SELECT node, label AS class, sum(1::BIGINT << config)::BIGINT AS cond FROM r GROUP BY 1, 2""")
+def classes_after_removal(spark: SparkSession, d: str) -> DataFrame:
+    """The same classes after a tenth of the orders has been taken back: only classes that lost a link are made anew."""
+    edge = lambda df: df.where("src % 2 = 0").select(F.col("src").alias("a"), F.col("dst").alias("b"), "cond")
+    left, removed = map(edge, removal(spark, d))
+    return fixpoint.classes_without(alias_classes(spark, d), left, removed, T)
+
+
 @query()
 def alias_congruence(spark: SparkSession, d: str) -> DataFrame:
     """Each line assigns its supplier's pointer to its part's and reads the field of its place through both; all lines, all configurations.

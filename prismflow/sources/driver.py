@@ -46,9 +46,9 @@ def lines(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.expr(LINE_MASK).alias("cond"), *more)
 
 
-def supply_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+def supply_edges(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame:
     """src, dst, cond: suppliers (even numbers) and parts (odd ones) that deal with each other in any line, both ways."""
-    own = lines(spark, sf_dir).groupBy((2 * F.col("l_suppkey")).alias("s"), (2 * F.col("l_partkey") + 1).alias("p")).agg(F.bit_or("cond").alias("cond"))
+    own = lines(spark, sf_dir).where(where).groupBy((2 * F.col("l_suppkey")).alias("s"), (2 * F.col("l_partkey") + 1).alias("p")).agg(F.bit_or("cond").alias("cond"))
     return own.select(F.col("s").alias("src"), F.col("p").alias("dst"), "cond").unionByName(own.select(F.col("p").alias("src"), F.col("s").alias("dst"), "cond"))
 
 
@@ -66,7 +66,7 @@ def order_program(spark: SparkSession, sf_dir: str, calls_from: int = 45) -> tup
     own = lines(spark, sf_dir, "l_quantity", "l_extendedprice").withColumnRenamed("l_orderkey", "method").join(orders, "method")
     # Line numbers repeat within an order, so statements are numbered by their place.
     at = Window.partitionBy("method").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    own = own.withColumn("k", F.row_number().over(at)).withColumn("n", F.col("method") * 1024 + F.col("k")).withColumn("after", F.lead("n").over(at))
+    own = own.withColumn("k", F.row_number().over(at)).withColumn("k", F.when(F.col("k") < 1024, F.col("k")).otherwise(F.raise_error(F.lit("an order has more lines than there are numbers for")).cast("int"))).withColumn("n", F.col("method") * 1024 + F.col("k")).withColumn("after", F.lead("n").over(at))
     own = own.withColumn("is_call", (F.col("l_quantity") >= calls_from) & F.col("next").isNotNull() & F.col("after").isNotNull())
     own = saved(own.drop("l_linenumber", "l_extendedprice", "l_quantity"))
     node = own.select("n", "method", F.lit("line").alias("kind"), F.concat(F.lit("line "), F.col("n").cast("string")).alias("text"), F.col("o_mask").alias("pc"), (F.col("k") == 1).alias("is_start"), F.col("after").isNull().alias("is_exit"), "is_call")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prismflow.functions import cond as C
+from prismflow.functions.sat import Formula, dimacs
 from prismflow.operators.solver import Program
 
 SCHEMAS = {
@@ -69,21 +70,20 @@ def model_mask(*constraints: int) -> int:
 
 
 def dimacs_mask(text: str) -> int:
-    """The feature model of a DIMACS formula: variable k + 1 is feature k; variables beyond the features make no difference if some value of theirs does."""
-    clauses, n = [], C.FEATURES
-    for line in text.splitlines():
-        if line and line[0] not in "cp":
-            own = [int(x) for x in line.split() if x != "0"]
-            if own:
-                clauses.append(own)
-                n = max(n, *map(abs, own))
-    if n > 16:
-        raise ValueError("more than 16 variables")
-    mask = 0
-    for i in range(1 << n):
-        if all(any((i >> abs(x) - 1 & 1) == (x > 0) for x in c) for c in clauses):
-            mask |= 1 << (i & C.CONFIGS - 1)
-    return mask
+    """The feature model of a DIMACS formula over the first five variables: variable k + 1 is feature k. A configuration is allowed if some values of all other variables, however many, go with it."""
+    return dimacs_blocks(text, C.FEATURES)[0]
+
+
+def dimacs_blocks(text: str, features: int) -> list[int]:
+    """The feature model of a DIMACS formula over its first ``features`` variables, one mask for each block (functions/cond.py). For more features than some twelve use conditions as cubes
+    (functions/cubes.py), for which the clauses stay as they are."""
+    model = Formula(dimacs(text))
+    out = [0] * C.blocks(features)
+    for i in range(C.CONFIGS * len(out)):
+        # With fewer than five features, those that aren't there make no difference.
+        if model.satisfiable(k + 1 if i >> k & 1 else -k - 1 for k in range(features)):
+            out[i // C.CONFIGS] |= 1 << i % C.CONFIGS
+    return out
 
 
 def statements(spark: SparkSession, path: str):
