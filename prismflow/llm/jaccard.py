@@ -30,16 +30,16 @@ from prismflow.llm import common, graph
 from prismflow.llm.simhash import FORM
 
 WORDS, PERCENT = 5, 80
-#: Counters of shingles (8 MB in all, whatever the input), and the parts they are added up in.
-COUNTERS, PARTS = 1 << 20, 64
+#: Counters of shingles (16 MB in all, whatever the input), and the parts they are added up in.
+COUNTERS, PARTS = 1 << 22, 64
 #: Bins of a set's outline, one byte each.
 BINS = 128
 #: Bits of the table that says which documents a round needs: 8 MB, whatever the input.
 BITS = 1 << 26
 #: Shares of a common shingle's list, each with a hub of its own.
 SHARES = 64
-#: Rounds of hubs before what is left is verified pair by pair.
-HUBS = 2
+#: Rounds of hubs before what is left is verified pair by pair. A near copy is in dozens of lists, most with hubs of their own, so that one round connects nearly all.
+HUBS = 1
 #: Prefixes that a task remembers, so as to list each once.
 SEEN = 1 << 18
 #: Bytes of one batch between Spark and Python.
@@ -100,9 +100,9 @@ def counters(texts: DataFrame, size: int) -> np.ndarray:
         yield from packed(list(own.values()), list(own))
 
     schema = "part int, counts binary"
-    out = np.zeros((parts, size_of // parts), np.int64)
+    out = np.zeros((parts, size_of // parts), np.uint32)
     for r in texts.mapInArrow(count, schema).repartition(parts, "part").mapInArrow(add, schema).toLocalIterator():
-        out[r["part"]] = np.frombuffer(zlib.decompress(r["counts"]), np.int64)
+        out[r["part"]] = np.minimum(np.frombuffer(zlib.decompress(r["counts"]), np.int64), 2**32 - 1)
     return out.reshape(-1)
 
 
