@@ -29,6 +29,10 @@ KEYS = re.compile(r"(?<![A-Za-z0-9])(?:A[KS]IA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]
 #: Names and marks next to a secret, and next to what only looks like one (fixed values).
 KEYWORDS = ("token", "secret", "password", "passwd", "pwd", "api_key", "apikey", "access", "private", "credential", "auth", "bearer")
 OTHERWISE = ("sha1", "sha256", "md5", "commit", "checksum", "digest", "uuid", "example", "sample", "dummy", "test", "href", "src")
+#: Words that make a key an example, wherever they stand.
+MADE_UP = ("example", "dummy")
+#: Names with dots (hosts, files): words in them say nothing about a key next to them.
+DOTTED = re.compile(r"[\w-]+(?:\.[\w-]+)+")
 PREFIXES = ("AKIA", "ASIA", "gho_", "ghp_", "ghr_", "ghs_", "ghu_", "github_pat_", "xox", "sk_live_", "rk_live_", "eyJ", "AIza")
 NEAR = 40
 #: Documents from which training takes findings, findings, dictionary words, and made lines of each form, at most.
@@ -42,6 +46,11 @@ def kinds(text: str) -> np.ndarray:
     return np.select([(b >= 97) & (b <= 122), (b >= 65) & (b <= 90), (b >= 48) & (b <= 57)], [0, 1, 2], 3)
 
 
+def said(text: str, words: tuple[str, ...]) -> bool:
+    """Whether ``text`` has one of ``words`` as a word of its own, or as a part between signs, outside names with dots."""
+    return re.search(rf"(?<![a-z0-9])(?:{'|'.join(words)})(?![a-z0-9])", DOTTED.sub(" ", text.lower())) is not None
+
+
 def features(text: str, start: int, end: int, path: str, words: frozenset[str]) -> list[float]:
     own = text[start:end]
     k = kinds(own)
@@ -59,7 +68,7 @@ def features(text: str, start: int, end: int, path: str, words: frozenset[str])
     return [
         len(own), float(-(p * np.log2(p)).sum()), *moves.tolist(), *(np.bincount(k, minlength=4) / len(k)).tolist(), covered / len(own),
         sum(c in "0123456789abcdefABCDEF" for c in own) / len(own), own.startswith(PREFIXES), own.endswith("="),
-        before.endswith(('"', "'")) and after[:1] in ('"', "'"), bool(re.search(r"[=:]\s*[\"']?$", before)), any(w in before for w in KEYWORDS), any(w in near for w in OTHERWISE),
+        before.endswith(('"', "'")) and after[:1] in ('"', "'"), bool(re.search(r"[=:]\s*[\"']?$", before)), any(w in before for w in KEYWORDS), said(near, OTHERWISE),
         bool(re.search(r"\.(py|js|java|go|env|ya?ml|json|conf)$|/src/|code", path)), bool(re.search(r"test|example|doc", path)),
     ]
 
@@ -145,7 +154,7 @@ def stand_in_label(before: str, own: str, after: str) -> bool:
     """The label of a finding where the tables have none: a key of a known form, or a value that is assigned to a name like token or
     password and mixes letters with digits or signs, which isn't called an example."""
     mixed = re.search("[A-Za-z]", own) and re.search("[0-9!@#$%^&*]", own)
-    return bool(KEYS.match(own) or (mixed and re.search(NAMED + "$", before, re.I))) and not re.search("(?i)example|dummy", before + after)
+    return bool(KEYS.match(own) or (mixed and re.search(NAMED + "$", before, re.I))) and not said(before + " " + after, MADE_UP)
 
 
 def made(seed: int, rounds: int = MADE) -> list[tuple[str, str, bool]]:
@@ -221,11 +230,12 @@ def find(text: str) -> Iterator[tuple[int, int]]:
 def train(docs: DataFrame, label=stand_in_label, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source", sample: int = SAMPLE, findings: int = FINDINGS, seed: int = 11, dictionary: int = WORDS) -> Forest:
     """A forest from the labelled candidates of about ``sample`` documents (at most twice as many, ``findings`` candidates, and ``dictionary`` words of these), and from made() lines.
 
-    ``label`` says whether a candidate with NEAR characters on both sides is a secret. Null texts have no candidates. Without candidates nothing is a secret.
+    ``label`` says whether a candidate with NEAR characters on both sides is a secret. Null texts have no candidates. The sample is drawn by id and text, so that null ids or one id for all don't matter;
+    documents without candidates, or no documents, leave the made() lines to learn from.
     """
     rows = docs.where(F.col(text_col).isNotNull()).select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), F.col(text_col).alias("text"), F.coalesce(F.col(path_col).cast("string"), F.lit("")).alias("path"))
     n = rows.select("id").count()
-    place = F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 20)) / (1 << 20)
+    place = F.pmod(F.xxhash64(F.lit(seed), "id", "text"), F.lit(1 << 20)) / (1 << 20)
     chosen = rows.where(place < min(1.0, sample / max(n, 1))).limit(2 * sample)
     known = chosen.select(F.explode(F.expr(r"regexp_extract_all(lower(text), '[a-z]{3,12}', 0)")).alias("word")).groupBy("word").count().orderBy(F.desc("count"), "word").limit(dictionary)
     words = frozenset(r["word"] for r in known.collect())
@@ -240,10 +250,8 @@ def train(docs: DataFrame, label=stand_in_label, id_col: str = "doc_id", text_co
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.list_(pa.float64()), pa.bool_()), strict=True)], names=["id", "at", "x", "y"])
 
     found = chosen.mapInArrow(run, "id string, at long, x array<double>, y boolean").orderBy(F.xxhash64("id", "at"), "id", "at").limit(findings).collect()
-    if not found:
-        return fit(np.zeros((0, N_FEATURES)), np.zeros(0), words, seed)
     x, y = findings_of(made(seed), words)
-    return fit(np.concatenate([np.array([r["x"] for r in found], float), x]), np.concatenate([np.array([r["y"] for r in found], float), y]), words, seed)
+    return fit(np.concatenate([np.array([r["x"] for r in found], float).reshape(-1, N_FEATURES), x]), np.concatenate([np.array([r["y"] for r in found], float), y]), words, seed)
 
 
 def scan(docs: DataFrame, forest: Forest, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
