@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prismflow.functions import cond as C
@@ -50,6 +50,20 @@ def split_alternatives(node: DataFrame, cfg: DataFrame, alternatives: DataFrame,
     return node, edges.select((F.col("src") + F.coalesce("src_copy", F.lit(0))).alias("src"), (F.col("dst") + F.coalesce("dst_copy", F.lit(0))).alias("dst"), cond.alias("cond")).where("cond <> 0")
 
 
+def covers(alternatives: DataFrame) -> DataFrame:
+    """n, k (from 0), text, cond: disjoint alternatives of each statement from overlapping pieces, as split_alternatives needs them.
+
+    alternatives: n, piece (place in the statement), text, cond; the pieces that a configuration has make up its statement, in order. Configurations whose pieces read the same share one alternative; those with none have
+    none. So each statement's conditions are refined into atoms: as few disjoint conditions as tell its variants apart, whose union is where any piece is.
+    """
+    bits = alternatives.select("n", "piece", "text", F.explode(F.expr(f"filter(sequence(0, {C.CONFIGS - 1}), i -> (shiftright(cond, i) & 1) = 1)")).alias("config"))
+    pieces = F.array_sort(F.collect_list(F.struct("piece", "text")))
+    variants = bits.groupBy("n", "config").agg(F.transform(pieces, lambda x: x["text"]).alias("texts"))
+    atoms = variants.groupBy("n", "texts").agg(F.bit_or(C.of_config(F.col("config"))).alias("cond"), F.min("config").alias("first"))
+    k = F.row_number().over(Window.partitionBy("n").orderBy("first")) - 1
+    return atoms.select("n", k.alias("k"), F.array_join("texts", " ").alias("text"), "cond")
+
+
 def single_entry(node: DataFrame, cfg: DataFrame) -> tuple[DataFrame, DataFrame]:
     """An empty statement before the starts of each method, which becomes its only start."""
     starts = node.where("is_start")

@@ -340,6 +340,13 @@ def nested_calls(spark: SparkSession, d: str) -> DataFrame:
     return rewrite.hoist_calls(node, cfg, nested)[1]
 
 
+@query(f"""WITH c AS (SELECT unnest(range(32))::INT AS config), v AS (SELECT l_orderkey AS n, config, string_agg(l_partkey::VARCHAR, ' ' ORDER BY l_linenumber, l_partkey::VARCHAR) AS text FROM lineitem, c WHERE (({LINE_MASK} >> config) & 1) = 1 GROUP BY 1, 2),
+a AS (SELECT n, text, bit_or(1::BIGINT << config)::BIGINT AS cond, min(config) AS first FROM v GROUP BY 1, 2) SELECT n, row_number() OVER (PARTITION BY n ORDER BY first)::INT - 1 AS k, text, cond FROM a""")
+def refined_alternatives(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as statements whose lines are pieces with overlapping conditions: the disjoint variants of each."""
+    return rewrite.covers(D.lines(spark, d).select(F.col("l_orderkey").alias("n"), F.col("l_linenumber").alias("piece"), F.col("l_partkey").cast("string").alias("text"), "cond"))
+
+
 @query(f"""WITH t AS (SELECT *, {EVENT_VAR} AS var, row_number() OVER w AS place, first_value(pc) OVER w & coalesce(bit_and(pc | {F4} | {D.F2}) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), {T}) AS held FROM ({EVENT_SQL}) WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 r AS (SELECT event_id, place, held, v, count(*) FILTER (WHERE event_type IN ('click', 'signup') AND place > 1 AND var = v) OVER (PARTITION BY user_id, v ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS earlier FROM t, (SELECT 'v' || unnest(range(4)) AS v))
 SELECT event_id AS n, v AS var, held::BIGINT AS cond FROM r WHERE place > 1 AND earlier = 0 AND held <> 0""")

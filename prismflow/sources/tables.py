@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from prismflow.functions import cond as C
 from prismflow.functions.sat import Formula, dimacs
+from prismflow.operators.fixpoint import saved
 from prismflow.operators.solver import Program
 
 SCHEMAS = {
@@ -35,6 +36,65 @@ def load(spark: SparkSession, path: str, *names: str) -> dict[str, DataFrame]:
     return {name: spark.read.schema(SCHEMAS[name]).parquet(f"{path}/{name}") for name in names}
 
 
+def store_units(tables: dict[str, DataFrame], path: str, unit: str = "unit") -> dict[str, int]:
+    """Tables of translation units (column ``unit``) as Parquet below ``path``, in a folder for each content: a unit whose rows are there already is not written again.
+
+    A unit's digest is taken over the rows of all its tables, whatever their order. Returns how many units were new and how many were there. ``path``/units says which content each unit has now; contents that no unit has any more
+    stay until ``prune_units``.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    digest = None
+    for name, df in sorted(tables.items()):
+        row = F.xxhash64(F.lit(name), *(c for c in sorted(df.columns) if c != unit))
+        again = F.hash(F.lit(name), *(c for c in sorted(df.columns) if c != unit)).cast("bigint")
+        # Sums don't depend on the order of rows, and count repeats.
+        own = df.select(unit, row.cast("decimal(38,0)").alias("x"), again.cast("decimal(38,0)").alias("y"))
+        digest = own if digest is None else digest.unionByName(own)
+    digest = digest.groupBy(unit).agg(F.sha2(F.concat_ws(",", F.sum("x").cast("string"), F.sum("y").cast("string"), F.count(F.lit(1)).cast("string")), 256).alias("content"))
+    digest = saved(digest)
+    contents = digest.select("content").distinct()
+    known = stored(spark, f"{path}/contents", "content string")
+    new = saved(contents.join(known, "content", "left_anti"))
+    fresh = new.count()
+    if fresh:
+        for name, df in tables.items():
+            # Units with one content are written once.
+            first = digest.join(new, "content").groupBy("content").agg(F.min(unit).alias(unit))
+            rows = df.join(first, unit).drop(unit).repartition("content")
+            rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("content").parquet(f"{path}/{name}")
+        new.write.mode("append").parquet(f"{path}/contents")
+    digest.write.mode("overwrite").parquet(f"{path}/units")
+    return {"new": fresh, "known": digest.count() - digest.join(new, "content", "left_semi").count()}
+
+
+def stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A stored table, or an empty one if nothing has been stored yet."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+    return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
+
+
+def load_units(spark: SparkSession, path: str, name: str, units: DataFrame | None = None, unit: str = "unit") -> DataFrame:
+    """The table ``name`` of all stored units, or of those in ``units``, with a column ``unit``; only folders of their contents are read."""
+    wanted = spark.read.parquet(f"{path}/units")
+    wanted = wanted if units is None else wanted.join(units.select(unit).distinct(), unit, "left_semi")
+    return spark.read.parquet(f"{path}/{name}").join(wanted, "content").drop("content")
+
+
+def prune_units(spark: SparkSession, path: str, *names: str) -> int:
+    """Delete the folders of contents that no unit has any more; how many."""
+    old = spark.read.parquet(f"{path}/contents").join(spark.read.parquet(f"{path}/units").select("content"), "content", "left_anti").distinct()
+    left = saved(spark.read.parquet(f"{path}/units").select("content").distinct())
+    fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    gone = 0
+    for row in old.toLocalIterator():
+        gone += 1
+        for name in names:
+            fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}/content={row['content']}"), True)
+    left.write.mode("overwrite").parquet(f"{path}/contents")
+    return gone
+
+
 def program(spark: SparkSession, path: str) -> Program:
     t = load(spark, path, "node", "cfg", "calls")
     return Program(t["node"], t["cfg"], t["calls"])
