@@ -52,11 +52,11 @@ def supply_edges(spark: SparkSession, sf_dir: str, where: str = "true") -> DataF
     return own.select(F.col("s").alias("src"), F.col("p").alias("dst"), "cond").unionByName(own.select(F.col("p").alias("src"), F.col("s").alias("dst"), "cond"))
 
 
-def order_program(spark: SparkSession, sf_dir: str, calls_from: int = 45) -> tuple[Program, Statements, DataFrame]:
+def order_program(spark: SparkSession, sf_dir: str, calls_from: int = 45, narrowed: str = "false") -> tuple[Program, Statements, DataFrame]:
     """Orders as methods, their lines as statements in order. A line of ``calls_from`` pieces calls its customer's next order.
 
     A line assigns variable ``p<part % 5>`` from ``s<supplier % 3>`` and ``p<supplier % 5>``, each first line defines ``s`` variables; calls pass and return them.
-    Entries are customers' first orders.
+    Entries are customers' first orders. Within methods that ``narrowed`` holds for, a statement leads to the next only where its line is there.
     """
     from pyspark.sql import Window
 
@@ -70,7 +70,7 @@ def order_program(spark: SparkSession, sf_dir: str, calls_from: int = 45) -> tup
     own = own.withColumn("is_call", (F.col("l_quantity") >= calls_from) & F.col("next").isNotNull() & F.col("after").isNotNull())
     own = saved(own.drop("l_linenumber", "l_extendedprice", "l_quantity"))
     node = own.select("n", "method", F.lit("line").alias("kind"), F.concat(F.lit("line "), F.col("n").cast("string")).alias("text"), F.col("o_mask").alias("pc"), (F.col("k") == 1).alias("is_start"), F.col("after").isNull().alias("is_exit"), "is_call")
-    cfg = own.where("after IS NOT NULL").select(F.col("n").alias("src"), F.col("after").alias("dst"), F.col("cond").bitwiseOR(C.lit(F4)).alias("cond"))
+    cfg = own.where("after IS NOT NULL").select(F.col("n").alias("src"), F.col("after").alias("dst"), F.when(F.expr(narrowed), F.col("cond")).otherwise(F.col("cond").bitwiseOR(C.lit(F4))).alias("cond"))
     calls = own.where("is_call").select(F.col("n").alias("call"), F.col("next").alias("method"), F.col("cond").bitwiseOR(C.lit(F2)).alias("cond"))
     var = lambda a, c, m: F.concat(F.lit(a), (F.col(c) % m).cast("string"))
     target, source, other = var("p", "l_partkey", 5), var("s", "l_suppkey", 3), var("p", "l_suppkey", 5)
