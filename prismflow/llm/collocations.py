@@ -11,6 +11,7 @@ These passes count hashes of phrases, which is never less than the phrases' own
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -222,7 +223,8 @@ def frequent(docs: DataFrame, least: int = 10, lang_col: str = "lang", text_col:
     """
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
-    enough = max(2, int(least * sample * 0.8))
+    # Somewhat more than a phrase of ``least`` has on average: what is missed makes a further pass, what is proposed for nothing a wider border.
+    enough = max(2, math.ceil(1.5 * least * sample))
     of = lambda found, *k: {x: bitmap(found.where(F.col("h").bitwiseAND(F.lit(3)) == x)) for x in k}
     seen = common.checkpoint(hashes(texts.where(F.rand(seed) < sample), 2).where(F.col("c") >= enough).select("h"))
     proposal, before, likely = of(seen, 1, 2), None, dict.fromkeys((1, 2, 3), np.zeros(BITS // 8, np.uint8))
