@@ -100,7 +100,7 @@ Bits = dict[int, np.ndarray] | None
 
 
 def has(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    at = h >> np.uint64(64 - BITS.bit_length() + 1)
+    at = h >> np.uint64(65 - (8 * len(bits)).bit_length())
     return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
