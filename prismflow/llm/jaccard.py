@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -30,8 +30,8 @@ from prismflow.llm import common, graph
 from prismflow.llm.simhash import FORM
 
 WORDS, PERCENT = 5, 80
-#: Counters of shingles (16 MB in all, whatever the input), and the parts they are added up in.
-COUNTERS, PARTS = 1 << 22, 64
+#: Counters of shingles (32 MB in all, whatever the input), and the parts they are added up in.
+COUNTERS, PARTS = 1 << 23, 64
 #: Bins of a set's outline, one byte each.
 BINS = 128
 #: Bits of the table that says which documents a round needs: 8 MB, whatever the input.
@@ -40,6 +40,8 @@ BITS = 1 << 26
 SHARES = 64
 #: Rounds of hubs before what is left is verified pair by pair. A near copy is in dozens of lists, most with hubs of their own, so that one round connects nearly all.
 HUBS = 1
+#: Hubs of each list in a round: what one of them isn't like, another may be.
+DRAWS = 4
 #: Prefixes that a task remembers, so as to list each once.
 SEEN = 1 << 18
 #: Bytes of one batch between Spark and Python.
@@ -83,13 +85,13 @@ def counters(texts: DataFrame, size: int) -> np.ndarray:
     size_of, parts = COUNTERS, min(PARTS, COUNTERS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.zeros(size_of, np.int64)
+        own = np.zeros(size_of, np.uint32)
         for batch in batches:
             for text in texts_of(batch, 0):
                 np.add.at(own, place(shingles(text, size), size_of), 1)
-        yield from packed(own.reshape(parts, -1), range(parts))
+        yield from packed((row.astype(np.int64) for row in own.reshape(parts, -1)), range(parts))
 
-    def packed(rows: np.ndarray, names: range | list[int]) -> Iterator[pa.RecordBatch]:
+    def packed(rows: Iterable[np.ndarray], names: range | list[int]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(names), pa.int32()), pa.array([zlib.compress(r.tobytes(), 1) for r in rows], pa.binary())], names=["part", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,7 +99,7 @@ def counters(texts: DataFrame, size: int) -> np.ndarray:
         for batch in batches:
             for k, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own[k] = own.get(k, 0) + np.frombuffer(zlib.decompress(data), np.int64)
-        yield from packed(list(own.values()), list(own))
+        yield from packed(own.values(), list(own))
 
     schema = "part int, counts binary"
     out = np.zeros((parts, size_of // parts), np.uint32)
@@ -230,16 +232,17 @@ def ordered(pairs: DataFrame) -> DataFrame:
 
 def hub_pairs(lists: DataFrame, turn: int, percent: int) -> DataFrame:
     """(a, b): the first classes of each list's groups with that of the hub among groups of like size, and hubs with each other."""
-    pick = F.min(F.struct(F.xxhash64("prefix_key", F.lit(turn)).alias("draw"), "first", "n", "at", "lo", "hi")).alias("hub")
+    pick = F.array(*(F.min(F.struct(F.xxhash64("prefix_key", F.lit(turn * DRAWS + k)).alias("draw"), "first", "n", "at", "lo", "hi")) for k in range(DRAWS))).alias("hubs")
     lists = lists.withColumn("level", level_of(percent))
     hubs = lists.groupBy("token", "level", "share").agg(pick)
-    flat = hubs.select("token", "level", "share", "hub.*")
+    flat = hubs.select("token", "level", F.explode("hubs").alias("hub")).select("token", "level", "hub.*")
     above = flat.groupBy("token", "level").agg(F.min(F.struct("draw", "first", "n", "at", "lo", "hi")).alias("hub"))
     new = ~((F.col("lo") == F.col("hi")) & (F.col("lo") == F.col("hub.lo")) & (F.col("lo") == F.col("hub.hi")))
     fits = new & room(F.col("n"), F.col("at"), F.col("hub.n"), F.col("hub.at"), percent)
     pair = lambda met: met.where(fits).select(F.col("first").alias("a"), F.col("hub.first").alias("b"))
     next_level = above.select("token", (F.col("level") - 1).alias("level"), "hub")
-    return pair(lists.join(hubs, ["token", "level", "share"])).unionByName(pair(flat.join(above, ["token", "level"]))).unionByName(pair(above.select("token", "level", "hub.*").join(next_level, ["token", "level"])))
+    own = lists.join(hubs, ["token", "level", "share"]).withColumn("hub", F.explode(F.array_distinct("hubs")))
+    return pair(own).unionByName(pair(flat.join(above, ["token", "level"]))).unionByName(pair(above.select("token", "level", "hub.*").join(next_level, ["token", "level"])))
 
 
 def labelled(lists: DataFrame, members: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -287,7 +290,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"))).alias("least")
     classes = common.checkpoint(shaped.where("n > 0").groupBy("set_key").agg(F.min("row_id").alias("c"), least, F.min("prefix_key").alias("prefix_key")))
     groups = classes.groupBy("prefix_key").agg(F.min("c").alias("first"), F.count(F.lit(1)).alias("size"))
-    lists = common.checkpoint(listed(shaped, seen).join(groups.select("prefix_key", "first"), "prefix_key").withColumns({"lo": F.col("first"), "hi": F.col("first")}))
+    lists = common.checkpoint(listed(shaped, seen).join(groups.select("prefix_key", "first"), "prefix_key").drop("common"))
     members = classes.select("c", "prefix_key")
     several = groups.where("size > 1")
     members = common.checkpoint(members.join(lists.select("prefix_key").unionByName(several.select("prefix_key")).distinct(), "prefix_key", "left_semi"))
@@ -297,7 +300,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         # Members of a group have one prefix: the group itself is a list, and its first class the hub.
         pairs = members.join(several, "prefix_key").select(F.col("first").alias("a"), F.col("c").alias("b")) if not turn else None
         if HUBS:
-            hubs = hub_pairs(lists, turn, percent)
+            hubs = hub_pairs(lists if turn else lists.withColumns({"lo": F.col("first"), "hi": F.col("first")}), turn, percent)
             pairs = hubs if pairs is None else pairs.unionByName(hubs)
         links.append(common.checkpoint(verified(ordered(pairs), docs, outlines, size, percent)))
         found = graph.components(reduce(DataFrame.unionByName, links))
