@@ -26,9 +26,21 @@ def shared_folder(spark: SparkSession) -> None:
         sc.setCheckpointDir(where)
 
 
+#: Estimated bytes above which a checkpoint's estimate is dropped: no table is as large.
+BELIEVED = 1 << 256
+
+
 def saved(df: DataFrame) -> DataFrame:
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df``, checkpointed. A checkpoint keeps the size that its plan was estimated at, joins multiply such sizes, and after some rounds Spark spends its time on multiplying
+    numbers of many thousand digits. Where the estimate has grown beyond ``BELIEVED``, the rows are taken up as a table of unknown size."""
+    spark = df.sparkSession
+    shared_folder(spark)
+    out = df.checkpoint(eager=True)
+    try:
+        known = out._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() <= BELIEVED
+    except ValueError:  # more digits than Python reads
+        known = False
+    return out if known else DataFrame(spark._jsparkSession.createDataFrame(out._jdf.javaRDD(), out._jdf.schema()), spark)
 
 
 #: Rows of a static table that make one partition, as long as all cores have one and the session's shuffle partitions allow it.
