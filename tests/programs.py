@@ -66,8 +66,8 @@ def part(path, assigned):
     return path == assigned or path.startswith(assigned + ".")
 
 
-def brute(p, config):
-    """Path edges of one configuration: a work list over (d1, n, d2)."""
+def rules(p, config):
+    """What is there in one configuration (statements, successors, callees, starts), and the flows of facts (normal, into, back, over)."""
     on = lambda m: m >> config & 1
     nodes = {x[0]: x for x in p["nodes"] if on(x[4])}
     succ, callees = {}, {}
@@ -117,6 +117,35 @@ def brute(p, config):
     def over(n, d):
         return set() if d != Z and (d[2] == 0 or any(part(d[0], v) for v, _ in at(p["defs"], n))) else {d}
 
+    return nodes, succ, callees, starts, normal, passed, given_back, over
+
+
+def brute_steps(p, config):
+    """(n, d): fewest steps of one configuration, by walks with the calls that are open; for programs without recursion."""
+    nodes, succ, callees, starts, normal, passed, given_back, over = rules(p, config)
+    first = (0, Z, ())
+    seen, now = ({first: 0}, [first]) if 0 in nodes else ({}, [])
+    while now:
+        new = []
+        for n, d, open_ in now:
+            nexts = [(m, e, open_) for m in succ.get(n, ()) for e in (over if nodes[n][7] else normal)(n, d)]
+            nexts += [(starts[q], e, (*open_, n)) for q in callees.get(n, ()) for e in passed(n, q, d)]
+            if nodes[n][6] and open_:
+                nexts += [(m, e, open_[:-1]) for m in succ.get(open_[-1], ()) for e in given_back(open_[-1], n, d)]
+            for w in nexts:
+                if w[0] in nodes and w not in seen:
+                    seen[w] = seen[n, d, open_] + 1
+                    new.append(w)
+        now = new
+    best = {}
+    for (n, d, _), k in seen.items():
+        best[n, d] = min(k, best.get((n, d), k))
+    return best
+
+
+def brute(p, config):
+    """Path edges of one configuration: a work list over (d1, n, d2)."""
+    nodes, succ, callees, starts, normal, passed, given_back, over = rules(p, config)
     edges, todo = set(), []
 
     def put(e):
