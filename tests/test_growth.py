@@ -46,3 +46,11 @@ def test_methods_of_several_rows_are_grouped(spark):
     # A row that the model excludes adds nothing to the others of its method.
     twice = spark.createDataFrame([(10, "f", "x.c", a), (10, "f", "x.c", T - a)], "method long, name string, file string, cond long")
     assert [tuple(r) for r in callgraph.callees_at(positions, names, twice, a).collect()] == [(1, 10, a)]
+
+
+def test_pointers_move_no_definitions(spark):
+    calls, methods = call_tables(spark)
+    classes = spark.range(4).select(F.col("id").alias("object"), F.col("id").alias("class"), C.lit(T).alias("cond"))
+    functions = spark.range(4).select(F.col("id").alias("object"), F.col("id").alias("name"), (F.col("id") % 2).alias("file"))
+    rows, n = moved(spark, lambda: callgraph.pointer_callees(calls.select("call", F.col("name").alias("object"), "cond"), classes, functions, methods).count())
+    assert n == 400_000 and rows < 40_000
