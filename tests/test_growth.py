@@ -54,3 +54,12 @@ def test_pointers_move_no_definitions(spark):
     functions = spark.range(4).select(F.col("id").alias("object"), F.col("id").alias("name"), (F.col("id") % 2).alias("file"))
     rows, n = moved(spark, lambda: callgraph.pointer_callees(calls.select("call", F.col("name").alias("object"), "cond"), classes, functions, methods).count())
     assert n == 400_000 and rows < 40_000
+
+
+def test_local_and_linked_definitions_stay_where_calls_are(spark):
+    calls, methods = call_tables(spark)
+    rows, n = moved(spark, lambda: callgraph.callees(calls, methods, methods.select("name", "file", "cond")).count())
+    assert n == 400_000 and rows < 40_000
+    # None of the names is in a call's own file, so that all are linked.
+    rows, n = moved(spark, lambda: callgraph.callees(calls.withColumn("file", F.lit(7).cast("long")), methods, methods.select("name", "file", "cond")).count())
+    assert n == 400_000 and rows < 40_000
