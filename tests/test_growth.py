@@ -63,3 +63,9 @@ def test_local_and_linked_definitions_stay_where_calls_are(spark):
     # None of the names is in a call's own file, so that all are linked.
     rows, n = moved(spark, lambda: callgraph.callees(calls.withColumn("file", F.lit(7).cast("long")), methods, methods.select("name", "file", "cond")).count())
     assert n == 400_000 and rows < 40_000
+
+
+def test_imports_follow_names_not_pairs_of_files(spark):
+    own = spark.range(3000).repartition(4).select(F.col("id").alias("file"), F.lit("common").alias("name"))
+    rows, n = moved(spark, lambda: callgraph.import_closure(spark.createDataFrame([(1,)], "file long"), own, own).count())
+    assert n == 3000 and rows < 60_000
