@@ -56,12 +56,15 @@ def covers(alternatives: DataFrame) -> DataFrame:
     alternatives: n, piece (place in the statement), text, cond; the pieces that a configuration has make up its statement, in order. Configurations whose pieces read the same share one alternative; those with none have
     none. So each statement's conditions are refined into atoms: as few disjoint conditions as tell its variants apart, whose union is where any piece is.
     """
-    bits = alternatives.select("n", "piece", "text", F.explode(F.expr(f"filter(sequence(0, {C.CONFIGS - 1}), i -> (shiftright(cond, i) & 1) = 1)")).alias("config"))
-    pieces = F.array_sort(F.collect_list(F.struct("piece", "text")))
-    variants = bits.groupBy("n", "config").agg(F.transform(pieces, lambda x: x["text"]).alias("texts"))
-    atoms = variants.groupBy("n", "texts").agg(F.bit_or(C.of_config(F.col("config"))).alias("cond"), F.min("config").alias("first"))
-    k = F.row_number().over(Window.partitionBy("n").orderBy("first")) - 1
-    return atoms.select("n", k.alias("k"), F.array_join("texts", " ").alias("text"), "cond")
+    # A statement's pieces meet once; variants are told apart within its row, by the texts that each configuration reads.
+    pieces = F.array_sort(F.collect_list(F.struct("piece", "text", "cond")))
+    configs = f"sequence(0, {C.CONFIGS - 1})"
+    read = f"transform({configs}, c -> transform(filter(pieces, p -> (shiftright(p.cond, c) & 1) = 1), p -> p.text))"
+    variants = alternatives.where("cond <> 0").groupBy("n").agg(pieces.alias("pieces")).select("n", F.expr(read).alias("variants"))
+    # The first configuration of each stands first.
+    atoms = variants.select("n", "variants", F.posexplode(F.expr("filter(array_distinct(variants), x -> size(x) > 0)")).alias("k", "texts"))
+    cond = F.expr(f"aggregate({configs}, 0L, (out, c) -> if(variants[c] <=> texts, out | shiftleft(1L, c), out))")
+    return atoms.select("n", "k", F.array_join("texts", " ").alias("text"), cond.alias("cond"))
 
 
 def single_entry(node: DataFrame, cfg: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -69,3 +69,12 @@ def test_imports_follow_names_not_pairs_of_files(spark):
     own = spark.range(3000).repartition(4).select(F.col("id").alias("file"), F.lit("common").alias("name"))
     rows, n = moved(spark, lambda: callgraph.import_closure(spark.createDataFrame([(1,)], "file long"), own, own).count())
     assert n == 3000 and rows < 60_000
+
+
+def test_variants_move_pieces_not_configurations(spark):
+    lines = spark.range(4000).repartition(4).select((F.col("id") % 1000).alias("n"), F.col("id").alias("piece"), F.col("id").cast("string").alias("text"), C.lit(T).alias("cond"))
+    rows, n = moved(spark, lambda: rewrite.covers(lines).count())
+    assert n == 1000 and rows < 12_000
+    a = C.feature(0)
+    odd = spark.createDataFrame([(1, 1, "x", a), (1, 2, None, T), (1, 3, "y", 0), (2, 1, "z", 0)], "n long, piece int, text string, cond long")
+    assert sorted(map(tuple, rewrite.covers(odd).collect())) == [(1, 0, "", T - a), (1, 1, "x", a)]
