@@ -182,7 +182,8 @@ def prefer_local_callee(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH c AS ({_CALLS}), m AS ({_METHODS}) SELECT name, file, method, bit_or(c.cond & m.cond)::BIGINT AS cond FROM c JOIN m USING (name, file) GROUP BY ALL HAVING bit_or(c.cond & m.cond) <> 0""")
 def callees_reduced(spark: SparkSession, d: str) -> DataFrame:
     calls, methods = _call_tables(spark, d)
-    met = calls.join(methods.withColumnRenamed("cond", "m"), ["name", "file"]).withColumn("cond", C.both(F.col("cond"), F.col("m")))
+    # Calls of one name and file as one, before they meet its methods.
+    met = callgraph.grouped(calls, "name", "file").join(methods.withColumnRenamed("cond", "m"), ["name", "file"]).withColumn("cond", C.both(F.col("cond"), F.col("m")))
     return callgraph.grouped(met, "name", "file", "method").where("cond <> 0")
 
 
