@@ -27,11 +27,16 @@ def compare(lifted: DataFrame, sampled: DataFrame, configs: DataFrame, keys: lis
 
     lifted: keys, cond. sampled: keys, config. A lifted fact that no configuration has gets 0. Facts match by ``keys``.
     """
-    spread = lifted.select(*keys, "cond").join(F.broadcast(configs.select("config").distinct()), C.holds_in(F.col("cond"), F.col("config"))).select(*keys, "config")
-    missing = sampled.select(*keys, "config").distinct().join(spread, [*keys, "config"], "left_anti")
-    matched = spread.join(sampled.select(*keys, "config").distinct(), [*keys, "config"]).groupBy(*keys).agg(F.count(F.lit(1)).alias("n_matches"))
-    counted = lifted.select(*keys, "cond").join(matched, keys, "left").withColumn("n_matches", F.coalesce("n_matches", F.lit(0)))
-    return missing, counted
+    # One row for each fact, with all its configurations as bits: what moves are facts, not facts times configurations.
+    bits = F.bit_or(C.of_config(F.col("config")))
+    asked = configs.select("config").distinct().agg(F.coalesce(bits, C.lit(0)).alias("asked"))
+    held = lifted.groupBy(*keys).agg(F.bit_or("cond").alias("held"))
+    alone = sampled.groupBy(*keys).agg(bits.alias("alone"))
+    gone = alone.join(held, keys, "left").join(F.broadcast(asked), F.lit(True)).withColumn("gone", F.col("alone").bitwiseAND(F.bitwise_not(F.coalesce("held", C.lit(0)).bitwiseAND(F.col("asked")))))
+    missing = gone.select(*keys, F.explode(F.expr(f"filter(sequence(0, {C.CONFIGS - 1}), c -> (shiftright(gone, c) & 1) = 1)")).alias("config")).withColumn("config", F.col("config").cast(sampled.schema["config"].dataType))
+    both = F.coalesce("alone", C.lit(0)).bitwiseAND(F.col("cond")).bitwiseAND(F.col("asked"))
+    counted = lifted.select(*keys, "cond").join(alone, keys, "left").join(F.broadcast(asked), F.lit(True))
+    return missing, counted.select(*keys, "cond", F.bit_count(both).cast("bigint").alias("n_matches"))
 
 
 def sampled_against_lifted(lifted: DataFrame, solve: Callable[[int], DataFrame], configs: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -71,6 +71,14 @@ def test_imports_follow_names_not_pairs_of_files(spark):
     assert n == 3000 and rows < 60_000
 
 
+def test_comparison_moves_facts_not_configurations(spark):
+    lifted = spark.range(2000).repartition(4).select(F.col("id").alias("k"), C.lit(T).alias("cond"))
+    sampled = lifted.select("k", F.explode(F.sequence(F.lit(0), F.lit(31))).alias("config"))
+    configs = spark.range(32).select(F.col("id").cast("int").alias("config"))
+    rows, row = moved(spark, lambda: [evaluate.compare(lifted, sampled, configs, ["k"])[1].agg(F.sum("n_matches")).first()[0], evaluate.compare(lifted, sampled, configs, ["k"])[0].count()])
+    assert row == [64_000, 0] and rows < 30_000
+
+
 def test_variants_move_pieces_not_configurations(spark):
     lines = spark.range(4000).repartition(4).select((F.col("id") % 1000).alias("n"), F.col("id").alias("piece"), F.col("id").cast("string").alias("text"), C.lit(T).alias("cond"))
     rows, n = moved(spark, lambda: rewrite.covers(lines).count())
