@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from prismflow.functions import cond as C
-from prismflow.operators import callgraph, evaluate
+from prismflow.operators import callgraph, evaluate, fixpoint
+from prismflow.operators.solver import RUN, Program, Solver
+from prismflow.plans import information_flow as IF
 from prismflow.plans import rewrite
 
 T = C.TRUE
@@ -86,3 +88,25 @@ def test_variants_move_pieces_not_configurations(spark):
     a = C.feature(0)
     odd = spark.createDataFrame([(1, 1, "x", a), (1, 2, None, T), (1, 3, "y", 0), (2, 1, "z", 0)], "n long, piece int, text string, cond long")
     assert sorted(map(tuple, rewrite.covers(odd).collect())) == [(1, 0, "", T - a), (1, 1, "x", a)]
+
+
+def test_statements_move_once_to_their_runs(spark):
+    """Methods of 100 statements in a row, longer than a run: each statement is in one run, and few of the rows that the solver's tables take move."""
+    node = spark.range(2000).repartition(4).select(F.col("id").alias("n"), F.expr("id div 100").alias("method"), C.lit(T).alias("pc"), (F.col("id") % 100 == 0).alias("is_start"), (F.col("id") % 100 == 99).alias("is_exit"), F.lit(False).alias("is_call"))
+    cfg = node.where("NOT is_exit").select(F.col("n").alias("src"), (F.col("n") + 1).alias("dst"), C.lit(T).alias("cond"))
+    calls = node.where("is_call").select(F.col("n").alias("call"), "method", F.col("pc").alias("cond"))
+    starts, program = node.where("is_start").select("n"), Program(node, cfg, calls)
+    problem = IF.UninitialisedUse(program, starts.select("n", F.lit("v").alias("var")), node.where("n % 100 = 70").select("n", F.lit("v").alias("var")), starts)
+    solver = Solver(program, problem)
+    runs = solver.runs.select("head", "n", F.expr("transform(body, x -> x.n)").alias("body")).collect()
+    assert sorted(n for r in runs for n in [*r["body"], r["n"]]) == list(range(2000))
+    assert all(len(r["body"]) < RUN and [*r["body"], r["n"]] == list(range(r["head"], r["n"] + 1)) for r in runs)
+    held = solver.values(solver.path_edges()).where("d = 'v'").select("n").collect()
+    assert sorted(r["n"] for r in held) == [m * 100 + k for m in range(20) for k in range(1, 71)]
+
+
+def test_rows_of_a_known_number_are_dealt_as_they_are_grouped(spark):
+    counts = spark.range(4000).repartition(4).select((F.col("id") % 2000).alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    rows, out = moved(spark, lambda: fixpoint.dealt(counts, "k", rows=2000))
+    # The rows themselves, and what the first grouping leaves of them: not once more to be dealt.
+    assert out.count() == 2000 and rows <= 8000
