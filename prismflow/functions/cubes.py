@@ -27,7 +27,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def lit(*cubes: list[int]) -> Column:
     """A cover of these cubes."""
-    return F.array(*(F.array(*(F.lit(x) for x in sorted(c))).cast("array<int>") for c in cubes)).cast(TYPE)
+    return F.array(*(F.array(*(F.lit(x) for x in sorted(set(c)))).cast("array<int>") for c in cubes)).cast(TYPE)
 
 
 def true() -> Column:
@@ -58,8 +58,10 @@ def implied(a: Column, b: Column) -> Column:
 
 
 def absorbed(cover: Column) -> Column:
-    """The cover sorted, without the cubes that others imply."""
-    return let(F.array_sort(F.array_distinct(cover)), lambda own: F.filter(own, lambda x: ~F.exists(own, lambda y: (y != x) & implied(y, x))))
+    """The cover sorted, without the cubes that others imply. Only a smaller cube can imply another one, so that cubes of one size are only made distinct."""
+    sizes = lambda own: F.transform(own, F.size)
+    mixed = lambda own: F.filter(own, lambda x: ~F.exists(own, lambda y: (F.size(y) < F.size(x)) & implied(y, x)))
+    return let(F.sort_array(F.array_distinct(cover)), lambda own: F.when(F.array_min(sizes(own)) < F.array_max(sizes(own)), mixed(own)).otherwise(own))
 
 
 def both(a: Column, b: Column) -> Column:
@@ -120,6 +122,20 @@ def holds_in(a: Column, enabled: Column) -> Column:
     return F.exists(a, lambda cube: F.forall(cube, lambda x: F.array_contains(enabled, F.abs(x)) == (x > 0)))
 
 
+def held_in(a: Column, configs: list[set[int]]) -> Column:
+    """A mask of up to 64 configurations, each given as the features that it enables: bit i says whether the condition holds in the i-th. Each literal is looked up once, for all configurations."""
+    if len(configs) > 64:
+        raise ValueError("a mask has 64 bits")
+    every, most = (1 << len(configs)) - 1, max((f for c in configs for f in c), default=0)
+    signed = lambda mask: F.lit(mask - (1 << 64) if mask >> 63 else mask).cast("bigint")
+    on = [sum(1 << i for i, c in enumerate(configs) if f in c) for f in range(most + 1)]
+    enabled, all_ = F.array(*map(signed, on)), signed(every)
+    # A feature that no configuration enables is off.
+    one = lambda x: let(F.coalesce(F.get(enabled, F.abs(x)), signed(0)), lambda m: F.when(x > 0, m).otherwise(all_.bitwiseAND(F.bitwise_not(m))))
+    cube = lambda c: F.aggregate(c, all_, lambda m, x: m.bitwiseAND(one(x)))
+    return F.aggregate(a, signed(0), lambda m, c: m.bitwiseOR(cube(c)))
+
+
 def features_of(a: Column) -> Column:
     """The numbers of the features that the cover mentions."""
     return F.array_sort(F.array_distinct(F.transform(F.flatten(a), lambda x: F.abs(x))))

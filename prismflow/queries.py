@@ -401,6 +401,11 @@ def lifted_reach_wide(spark: SparkSession, d: str) -> DataFrame:
 _ENABLED = "(f * 37 + s * 101 + f * s) % 7 < 4"
 
 
+def _enabled(f: int, s: int) -> bool:
+    """_ENABLED in Python."""
+    return (f * 37 + s * 101 + f * s) % 7 < 4
+
+
 @query(f"""WITH c AS (SELECT s, f, {_ENABLED} AS v FROM (SELECT unnest(range(32)) AS s), (SELECT unnest(range(1, 41)) AS f)),
 n AS (SELECT n_nationkey, s FROM nation JOIN c ON f = 1 + n_nationkey AND v),
 k AS (SELECT c_custkey, s FROM n JOIN customer ON c_nationkey = n_nationkey JOIN c USING (s) WHERE f = 26 + ascii(c_mktsegment) % 5 AND v = (c_custkey % 3 <> 0)),
@@ -417,9 +422,8 @@ def reach_forty_features(spark: SparkSession, d: str) -> DataFrame:
     edges = edges.unionByName(table(spark, d, "orders").select(name("c", "o_custkey").alias("src"), name("o", "o_orderkey").alias("dst"), signed(status, F.col("o_orderkey") % 2 == 0).alias("weight")))
     edges = edges.unionByName(table(spark, d, "lineitem").select(name("o", "l_orderkey").alias("src"), name("p", "l_partkey").alias("dst"), Q.literal(F.lit(34) + F.col("l_linenumber") % 7).alias("weight")))
     reached = lattice.reach(start, edges, lattice.COVER, Q.both).where("node LIKE 'p%'")
-    enabled = lambda s: F.expr(f"filter(sequence(1, 40), f -> {_ENABLED.replace('s', str(s))})")
-    sampled = sum((F.when(Q.holds_in(F.col("value"), enabled(s)), C.of_config(F.lit(s))).otherwise(C.lit(0)) for s in range(32)), C.lit(0))
-    return reached.select(F.substr("node", F.lit(2)).cast("bigint").alias("part"), sampled.alias("sampled")).where("sampled <> 0")
+    configs = [{f for f in range(1, 41) if _enabled(f, s)} for s in range(32)]
+    return reached.select(F.substr("node", F.lit(2)).cast("bigint").alias("part"), Q.held_in(F.col("value"), configs).alias("sampled")).where("sampled <> 0")
 
 
 _LEFT = _SUPPLY.replace("FROM lineitem", "FROM lineitem WHERE l_orderkey % 10 <> 3")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import pytest
 from pyspark.errors import PySparkException
@@ -226,3 +227,30 @@ def test_units_are_stored_by_content(spark, tmp_path):
     assert sorted(r["x"] for r in only.collect()) == [50, 51, 52, 53]
     assert tables.prune_units(spark, path, "a", "b") == 1 and len(files()) == len(first) - 1
     assert sorted((r["unit"], r["x"], r["y"]) for r in tables.load_units(spark, path, "a").collect()) == sorted(changed)
+
+
+def test_covers_of_cubes_of_one_size_meet_no_pairs(spark):
+    """As those of paths of one length: only smaller cubes can imply others, and all sampled configurations are asked at once."""
+    plain = lambda v: Q.let(F.array_sort(F.array_distinct(v)), lambda own: F.filter(own, lambda x: ~F.exists(own, lambda y: (y != x) & Q.implied(y, x))))
+    one = F.transform(F.sequence(F.lit(1), F.lit(1200)), lambda k: F.array_sort(F.array(k, k + F.col("id").cast("int") + 1, -(k + 7))))
+    df = spark.range(8).repartition(1).select(one.alias("v")).cache()
+    assert df.count() == 8
+
+    def timed(value):
+        began = time.perf_counter()
+        return [r[0] for r in df.select(value).collect()], time.perf_counter() - began
+
+    timed(Q.absorbed(F.slice("v", 1, 3))), timed(plain(F.slice("v", 1, 3)))
+    (want, slow), (got, fast) = timed(plain(F.col("v"))), timed(Q.absorbed(F.col("v")))
+    assert got == want and fast < slow / 2
+
+
+def test_masks_of_sampled_configurations(spark):
+    rng, configs = random.Random(3), [set(), {1, 2, 9}, {3}] + [{f for f in range(1, 12) if (f * k) % 3} for k in range(61)]
+    rows = [*covers(rng, 60, 12), [], [[]], [[40]], [[-40, 1]]]
+    got = spark.createDataFrame([(c,) for c in rows], f"a {Q.TYPE}").select("a", Q.held_in(F.col("a"), configs).alias("m"), Q.held_in(F.col("a"), configs[:3]).alias("few")).collect()
+    for r in got:
+        want = sum(1 << i for i, c in enumerate(configs) if holds(r["a"], c))
+        assert (r["m"] % 2**64, r["few"]) == (want, want & 7)
+    # A cube that names a feature twice doesn't take the one that it says the same as with it.
+    assert [r[0] for r in spark.range(1).select(Q.either(Q.literal(F.lit(1)), Q.lit([1, 1]))).collect()] == [[[1]]]
