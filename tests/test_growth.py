@@ -110,3 +110,14 @@ def test_rows_of_a_known_number_are_dealt_as_they_are_grouped(spark):
     rows, out = moved(spark, lambda: fixpoint.dealt(counts, "k", rows=2000))
     # The rows themselves, and what the first grouping leaves of them: not once more to be dealt.
     assert out.count() == 2000 and rows <= 8000
+
+
+def test_links_move_to_classes_and_are_gone(spark):
+    """A few common nodes: what the first round leaves of the links is the links of these, so that links move about three times in all."""
+    links = spark.range(40_000).repartition(4).select((F.col("id") % 40).alias("a"), (100 + F.col("id") % 1999).alias("b"), F.when(F.col("id") % 3 == 0, C.lit(C.feature(0))).otherwise(C.lit(T)).alias("cond"))
+    nodes = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
+    rows, n = moved(spark, lambda: fixpoint.classes(nodes, links, T).count())
+    assert n == 2039 and rows < 420_000
+    rounds = fixpoint.Rounds()
+    assert fixpoint.classes(nodes, links, T, rounds).count() == fixpoint.classes(None, links, T).count() == 2039
+    assert rounds.rows[0] == 40_000 and sum(rounds.rows[1:]) < 4000
