@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from prismflow.functions import cond as C
-from prismflow.operators import callgraph, evaluate, fixpoint
+from prismflow.operators import alias, callgraph, evaluate, fixpoint
 from prismflow.operators.solver import RUN, Program, Solver
 from prismflow.plans import information_flow as IF
 from prismflow.plans import rewrite
@@ -121,3 +121,12 @@ def test_links_move_to_classes_and_are_gone(spark):
     rounds = fixpoint.Rounds()
     assert fixpoint.classes(nodes, links, T, rounds).count() == fixpoint.classes(None, links, T).count() == 2039
     assert rounds.rows[0] == 40_000 and sum(rounds.rows[1:]) < 4000
+
+
+def test_names_of_classes_are_not_connected_again(spark):
+    """Assignments move once, whatever the rounds over equal parts: later rounds only connect the classes that these have found."""
+    lines = spark.range(20_000).repartition(4).select(F.concat(F.lit("p"), F.col("id") % 1999).alias("p"), F.concat(F.lit("s"), F.col("id") % 20).alias("s"))
+    assignments = lines.select(F.array("p").alias("left"), F.array("s").alias("right"), C.lit(T).alias("cond"))
+    names = lines.select(F.array("p", F.lit("*"), F.lit("f")).alias("object"), C.lit(T).alias("cond")).distinct()
+    rows, got = moved(spark, lambda: alias.alias_classes(names, assignments).groupBy("class").count().collect())
+    assert sorted(r["count"] for r in got) == [1999, 1999, 2019] and rows < 500_000
