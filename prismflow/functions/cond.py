@@ -4,11 +4,12 @@ Bit i of a mask says whether the condition holds in configuration i; feature k i
 With up to five features a mask is a positive BIGINT, and equal conditions are equal numbers, so that equivalence needs no solver.
 
 More features make more blocks of 32 configurations: configuration i is bit i % 32 of block i / 32. A condition then is a row for each block in which it holds
-anywhere; a block without a row is False. Configurations don't depend on each other, so that every operator works block by block, with the block as one more key.
+anywhere; a block without a row is False. Configurations don't depend on each other, so that every operator works block by block, with the block as one more key; or with the blocks side by side in a row, in words of two blocks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -40,6 +41,18 @@ def in_blocks(df: DataFrame, features: int, block: str = "block") -> DataFrame:
     return df.withColumn(block, F.explode(F.sequence(F.lit(0), F.lit(blocks(features) - 1))))
 
 
+def words(features: int, mask: Callable[[int], Column]) -> list[Column]:
+    """Conditions of all blocks in as few numbers as hold them, two blocks in each; ``mask`` gives that of a block."""
+    n = blocks(features)
+    return [reduce(either, (F.shiftleft(mask(b), CONFIGS * (b % 2)) for b in range(w, min(w + 2, n)))) for w in range(0, n, 2)]
+
+
+def of_words(features: int, words: list[str]) -> Column:
+    """block, cond of what words() made, as an array of the blocks in which the condition holds anywhere."""
+    each = (F.struct(F.lit(b).alias("block"), F.shiftright(F.col(words[b // 2]), CONFIGS * (b % 2)).bitwiseAND(lit(TRUE)).alias("cond")) for b in range(blocks(features)))
+    return F.filter(F.array(*each), lambda x: x["cond"] != 0)
+
+
 def negated(mask: int) -> int:
     return TRUE & ~mask
 

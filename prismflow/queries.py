@@ -378,7 +378,8 @@ _START = "SELECT 2::BIGINT, cfg FROM c"
 
 @query(_reached(_START, _SUPPLY) + " SELECT node, sum(1::BIGINT << cfg::INT)::BIGINT AS cond FROM r GROUP BY 1")
 def lifted_reach_cyclic(spark: SparkSession, d: str) -> DataFrame:
-    return fixpoint.reach(spark.createDataFrame([(2, T)], "node long, cond long"), D.supply_edges(spark, d))
+    own = D.lines(spark, d)
+    return fixpoint.reach(spark.createDataFrame([(2, T)], "node long, cond long"), D.supply_edges(own, "cond"), rows=2 * own.count())
 
 
 @query("""WITH RECURSIVE c AS (SELECT unnest(range(256)) AS cfg),
@@ -388,13 +389,15 @@ x AS MATERIALIZED (SELECT s AS src, p AS dst, cfg FROM h UNION ALL SELECT p, s,
 r(node, cfg) AS (SELECT 2::BIGINT, cfg FROM c UNION SELECT x.dst, r.cfg FROM r JOIN x ON x.src = r.node AND x.cfg = r.cfg)
 SELECT node, (cfg // 32)::INT AS block, sum(1::BIGINT << (cfg % 32)::INT)::BIGINT AS cond FROM r GROUP BY 1, 2""")
 def lifted_reach_wide(spark: SparkSession, d: str) -> DataFrame:
-    """Eight features: features 5, 6 and 7 say which lines of an order are there. Conditions have eight blocks."""
-    own = C.in_blocks(D.lines(spark, d), 8)
-    more = F.when(F.col("l_linenumber") % 3 == 0, C.wide_feature(5, F.col("block"))).when(F.col("l_linenumber") % 3 == 1, C.wide_feature(6, F.col("block"))).otherwise(C.wide_feature(7, F.col("block")))
-    own = own.select((2 * F.col("l_suppkey")).alias("s"), (2 * F.col("l_partkey") + 1).alias("p"), "block", C.both(F.col("cond"), more).alias("cond")).where("cond <> 0")
-    own = own.groupBy("s", "p", "block").agg(F.bit_or("cond").alias("cond"))
-    edges = own.select(F.col("s").alias("src"), F.col("p").alias("dst"), "block", "cond").unionByName(own.select(F.col("p").alias("src"), F.col("s").alias("dst"), "block", "cond"))
-    return fixpoint.reach(C.in_blocks(spark.createDataFrame([(2, T)], "node long, cond long"), 8), edges)
+    """Eight features: features 5, 6 and 7 say which lines of an order are there. A condition's eight blocks are in four words."""
+    own = D.lines(spark, d, "l_linenumber")
+    more = lambda b: F.when(F.col("l_linenumber") % 3 == 0, C.wide_feature(5, F.lit(b))).when(F.col("l_linenumber") % 3 == 1, C.wide_feature(6, F.lit(b))).otherwise(C.wide_feature(7, F.lit(b)))
+    words = [f"w{k}" for k in range(4)]
+    edges = own.select("l_suppkey", "l_partkey", *(w.alias(n) for w, n in zip(C.words(8, lambda b: C.both(F.col("cond"), more(b))), words, strict=True)))
+    start = spark.createDataFrame([(2,)], "node long").select("node", *(w.alias(n) for w, n in zip(C.words(8, lambda b: C.lit(T)), words, strict=True)))
+    lists = fixpoint.laid(D.supply_edges(edges, *words), *words, rows=2 * own.count())
+    reached = fixpoint.fixpoint(start, fixpoint.along(lists, tuple(words)), ["node"], tuple(words))
+    return reached.select("node", F.explode(C.of_words(8, words)).alias("at")).select("node", "at.block", "at.cond")
 
 
 #: Whether feature f is enabled in sampled configuration s, for features of any number.
@@ -433,20 +436,15 @@ _LEFT = _SUPPLY.replace("FROM lineitem", "FROM lineitem WHERE l_orderkey % 10 <>
 def reach_after_removal(spark: SparkSession, d: str) -> DataFrame:
     """The supply graph's reachability, finished, after a tenth of the orders has been taken back."""
     start = spark.createDataFrame([(2, T)], "node long, cond long")
-    left, removed = removal(spark, d)
-    return fixpoint.reach_without(fixpoint.reach(start, D.supply_edges(spark, d)), start, left, removed)
-
-
-def removal(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Edges of the supply graph that are left without a tenth of the orders, and those, or those conditions of theirs, that have gone."""
-    every, left = D.supply_edges(spark, d), D.supply_edges(spark, d, "l_orderkey % 10 <> 3")
-    gone = fixpoint.without(every.join(left.withColumnRenamed("cond", "gone"), ["src", "dst"], "left"), F.col("cond"), F.col("gone"))
-    return left, gone.select("src", "dst", "cond")
+    own = D.lines(spark, d).withColumn("left", F.when(F.col("l_orderkey") % 10 != 3, F.col("cond")).otherwise(C.lit(0)))
+    lists = fixpoint.laid(D.supply_edges(own, "cond", "left"), "cond", "left", rows=2 * own.count())
+    return fixpoint.left_reach(fixpoint.fixpoint(start, fixpoint.along(lists), ["node"]), start, lists)
 
 
 @query(f"""WITH RECURSIVE e AS ({_SUPPLY}), r(node) AS (SELECT 2::BIGINT UNION SELECT dst FROM r JOIN e ON src = node) SELECT node FROM r""")
 def ifds_reach(spark: SparkSession, d: str) -> DataFrame:
-    return fixpoint.plain_reach(spark.createDataFrame([(2,)], "node long"), D.supply_edges(spark, d))
+    own = D.lines(spark, d)
+    return fixpoint.plain_reach(spark.createDataFrame([(2,)], "node long"), D.supply_edges(own), rows=2 * own.count())
 
 
 @query("""WITH RECURSIVE l AS (SELECT 2 * l_suppkey AS s, 2 * l_partkey + 1 AS p, min(l_quantity::INT) AS q FROM lineitem GROUP BY 1, 2), e AS MATERIALIZED (SELECT s AS src, p AS dst, q FROM l UNION ALL SELECT p, s, q FROM l),
@@ -533,10 +531,14 @@ n AS (SELECT node, count(*) FILTER (WHERE cfg IN (SELECT config FROM z WHERE con
 SELECT count(*)::BIGINT AS facts, count(*) FILTER (WHERE n > 0)::BIGINT AS covered, sum(n)::BIGINT AS matches, max(n) AS most, min(n) AS least, (100 * count(*) FILTER (WHERE n > 0)) // count(*) AS percent, 0::BIGINT AS missing FROM n""")
 def sampled_reach(spark: SparkSession, d: str) -> DataFrame:
     """Lifted reachability held against each product that covers the lines' conditions, solved for itself."""
-    edges = D.supply_edges(spark, d)
-    configs = sampling.config_table(spark, sampling.code_coverage(D.lines(spark, d).select("cond")))
-    alone = lambda config: fixpoint.plain_reach(spark.createDataFrame([(2,)], "node long"), edges.where(C.holds_in(F.col("cond"), config)))
-    return evaluate.sampled_against_lifted(fixpoint.reach(spark.createDataFrame([(2, T)], "node long, cond long"), edges), alone, configs, ["node"])[2]
+    own = D.lines(spark, d)
+    lists = fixpoint.laid(D.supply_edges(own, "cond"), "cond", rows=2 * own.count())
+    configs = sampling.config_table(spark, sampling.code_coverage(own.select("cond")))
+    start, one = spark.createDataFrame([(2, T)], "node long, cond long"), C.lit(1)
+    # A product has its own edges and nothing conditional; these are the lifted problem's, left out where they aren't in it.
+    product = lambda config: fixpoint.along(lists, mask=lambda to, _: F.when(C.holds_in(to["cond"], config), one).otherwise(C.lit(0)))
+    alone = lambda config: fixpoint.fixpoint(start.select("node", one.alias("cond")), product(config), ["node"]).select("node")
+    return evaluate.sampled_against_lifted(fixpoint.fixpoint(start, fixpoint.along(lists), ["node"]), alone, configs, ["node"])[2]
 
 
 @query(f"""WITH m AS (SELECT l_partkey AS k, bit_or({LINE_MASK}) AS cond FROM lineitem GROUP BY 1), n AS (SELECT k, bit_count(cond)::BIGINT AS n FROM m)

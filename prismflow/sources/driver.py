@@ -46,10 +46,11 @@ def lines(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.expr(LINE_MASK).alias("cond"), *more)
 
 
-def supply_edges(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame:
-    """src, dst, cond: suppliers (even numbers) and parts (odd ones) that deal with each other in any line, both ways."""
-    own = lines(spark, sf_dir).where(where).groupBy((2 * F.col("l_suppkey")).alias("s"), (2 * F.col("l_partkey") + 1).alias("p")).agg(F.bit_or("cond").alias("cond"))
-    return own.select(F.col("s").alias("src"), F.col("p").alias("dst"), "cond").unionByName(own.select(F.col("p").alias("src"), F.col("s").alias("dst"), "cond"))
+def supply_edges(own: DataFrame, *masks: str) -> DataFrame:
+    """src, dst, ``masks`` of lines: suppliers (even numbers) and parts (odd ones) that deal with each other, both ways, once for each line."""
+    s, p = 2 * F.col("l_suppkey"), 2 * F.col("l_partkey") + 1
+    ways = F.array(F.struct(s.alias("src"), p.alias("dst")), F.struct(p.alias("src"), s.alias("dst")))
+    return own.select(F.explode(ways).alias("way"), *masks).select("way.src", "way.dst", *masks)
 
 
 def order_program(spark: SparkSession, sf_dir: str, calls_from: int = 45, narrowed: str = "false") -> tuple[Program, Statements, DataFrame]:

@@ -130,3 +130,38 @@ def test_names_of_classes_are_not_connected_again(spark):
     names = lines.select(F.array("p", F.lit("*"), F.lit("f")).alias("object"), C.lit(T).alias("cond")).distinct()
     rows, got = moved(spark, lambda: alias.alias_classes(names, assignments).groupBy("class").count().collect())
     assert sorted(r["count"] for r in got) == [1999, 1999, 2019] and rows < 500_000
+
+
+def test_edges_move_once_and_are_read_as_lists(spark):
+    """Reaching moves each edge once to its list, and what is found; a round reads a row for each node, not one for each edge."""
+    edges = spark.range(0, 40_000, 1, 4).select((F.col("id") % 100).alias("src"), F.expr("id div 100").alias("dst"), C.lit(T).alias("cond"))
+    lists = fixpoint.laid(edges, "cond", rows=40_000)
+    assert lists.count() == 100 and lists.unionByName(fixpoint.laid(edges.unionByName(edges), "cond", rows=80_000)).agg(F.sum(F.size("dst"))).first()[0] == 80_000
+    rows, n = moved(spark, lambda: fixpoint.reach(spark.createDataFrame([(0, T)], "node long, cond long"), edges, rows=40_000).count())
+    assert n == 400 and rows < 50_000
+
+
+def test_hubs_have_several_lists(spark):
+    a, b = C.feature(0), C.feature(1)
+    edges = spark.range(5000).select(F.lit(-1).cast("bigint").alias("src"), F.col("id").alias("dst"), C.lit(a).alias("cond"))
+    edges = edges.unionByName(spark.createDataFrame([(-1, 7, b), (7, 9000, T), (7, 7, T)], "src long, dst long, cond long"))
+    assert fixpoint.laid(edges, "cond").select(F.size("dst").alias("n")).agg(F.max("n"), F.sum("n"), F.count("n")).first()[:] == (fixpoint.NEIGHBOURS, 5002, 6)
+    got = dict(map(tuple, fixpoint.reach(spark.createDataFrame([(-1, T)], "node long, cond long"), edges).collect()))
+    assert got == {-1: T, 9000: a | b} | {k: a | b if k == 7 else a for k in range(5000)}
+
+
+def test_wide_conditions_follow_an_edge_once(spark):
+    """Eight blocks of a condition lie side by side in four words: an edge is one row, whatever the blocks."""
+    words = [f"w{k}" for k in range(4)]
+    frame = spark.range(1).select(*(w.alias(n) for w, n in zip(C.words(8, lambda k: C.wide_feature(7, F.lit(k)).bitwiseOR(C.lit(k))), words)))
+    got = {r["block"]: r["cond"] for r in frame.select(F.explode(C.of_words(8, words)).alias("at")).select("at.block", "at.cond").collect()}
+    assert got == {k: T if k >= 4 else k for k in range(1, 8)}
+    mask = [C.lit(T), C.lit(-1), C.lit(0), C.lit(-(1 << 63))]
+    edges = spark.range(0, 8000, 1, 4).select((F.col("id") % 100).alias("src"), (F.col("id") % 700).alias("dst"), *(m.alias(n) for m, n in zip(mask, words)))
+    start = spark.createDataFrame([(0,)], "node long").select("node", *(C.lit(-1).alias(n) for n in words))
+
+    def run():
+        return fixpoint.fixpoint(start, fixpoint.along(fixpoint.laid(edges, *words, rows=8000), tuple(words)), ["node"], tuple(words)).where("node <> 0").distinct().collect()
+
+    rows, got = moved(spark, run)
+    assert len(got) == 6 and {tuple(r[1:]) for r in got} == {(T, -1, 0, -(1 << 63))} and rows < 10_000
