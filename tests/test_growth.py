@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from prismflow import queries
 from prismflow.functions import cond as C
 from prismflow.operators import alias, callgraph, evaluate, fixpoint
 from prismflow.operators.solver import RUN, Program, Solver
 from prismflow.plans import information_flow as IF
 from prismflow.plans import rewrite
+from prismflow.sources import driver as D
 
 T = C.TRUE
 
@@ -165,3 +167,11 @@ def test_wide_conditions_follow_an_edge_once(spark):
 
     rows, got = moved(spark, run)
     assert len(got) == 6 and {tuple(r[1:]) for r in got} == {(T, -1, 0, -(1 << 63))} and rows < 10_000
+
+
+def test_traces_are_made_once(spark, sf_dir):
+    """The tables of the uninitialised problem are made of one written trace: events move to their users once, not once for each table."""
+    n = D.events(spark, sf_dir).count()
+    rows, _ = moved(spark, lambda: queries.uninitialised_memory(spark, sf_dir))
+    # With a trace for each table it was more than 31 times the events.
+    assert rows < 30 * n
