@@ -253,3 +253,34 @@ def test_near_copies_are_verified_in_proportion(spark, monkeypatch):
         rows.append((k, " ".join(own)))
     assert {x[2] for x in near(spark, rows)} == {0}
     assert sum(seen) < 12 * len(rows)
+
+
+def test_lists_go_on_only_with_groups_that_may_be_alike(spark, monkeypatch):
+    """Texts that share a passage but differ too much in size meet in lists; these don't leave their buckets, and no pair is looked at."""
+    lists = []
+    real = jaccard.common.checkpoint
+
+    def checkpoint(df):
+        out = real(df)
+        if "token" in out.columns:
+            lists.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard.common, "checkpoint", checkpoint)
+    monkeypatch.setattr(jaccard, "COUNTERS", 64)
+    rows = []
+    for k in range(40):
+        shared = [f"s{k}x{i}" for i in range(60)]
+        rows += [(2 * k + j, " ".join(shared + [f"r{k}x{j}x{i}" for i in range(40 + 100 * j)])) for j in range(2)]
+    assert near(spark, rows) == brute_near(rows)
+    assert lists and sum(lists) == 0
+
+
+def test_hashed_shingles_are_those_of_texts():
+    """Equal sets of shingles have equal hashes and others don't, whatever the white space, the case, the batch and the length of words."""
+    texts = [x for _, x in near_texts()] + ["a b", "b a", "ab", "a  B\n", "\x00 a\x0bb", "é 日本 x", "É 日本 x", "a b c d e", "A b c d e f", "", None, "y" * 300_000 + " a b c d e " + "z" * 700_000 + " q", "y" * 300_000]
+    for size in (5, 3):
+        sets = [frozenset(shingled(x, size)) for x in texts]
+        got = [h.tobytes() for h in jaccard.sets_in(jaccard.pa.array(texts), size)]
+        assert [len(h) // 8 for h in got] == [len(x) for x in sets]
+        assert len(set(zip(sets, got, strict=True))) == len(set(sets)) == len(set(got))
