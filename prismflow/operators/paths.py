@@ -49,9 +49,9 @@ class Paths:
     def _returns(self) -> DataFrame:
         solver, zero = self.solver, self.solver.problem.zero()
         held = self.edges.groupBy("n", "d2").agg(F.bit_or("cond").alias("cond")).select(zero.alias("d1"), "n", "d2", "cond")
-        called = saved(solver._called(solver._facts(held)).select("n", F.col("d4").alias("d"), "start", "d1", "cond"))
+        called = saved(solver._called(held).select("n", F.col("d4").alias("d"), "start", "d1", "cond"))
         met = called.join(solver.ends(self.edges), ["start", "d1"]).withColumn("back", F.col("cond").bitwiseAND(F.col("end_cond"))).where("back <> 0")
-        met = met.select("n", "d", F.col("d1").alias("f"), "x", "x_s", "d2", "back").join(solver.stmt.select("n", "s", "succs"), "n").where("succs IS NOT NULL")
+        met = met.select("n", "d", F.col("d1").alias("f"), "x", "x_s", "d2", "back").join(solver.sites.select("n", "s", "succs"), "n").where("succs IS NOT NULL")
         flat = met.select("n", "d", "f", "x", F.col("d2").alias("dx"), F.explode("succs").alias("e"), solver._given_back.alias("targets"), "back")
         flat = flat.select("n", "d", "f", "x", "dx", F.col("e.m").alias("m"), F.explode("targets").alias("to"), F.col("back").bitwiseAND(F.col("e.e")).alias("k"))
         return saved(flat).where("k <> 0").groupBy("n", "d", "f", "x", "dx", "m", "to").agg(F.bit_or("k").alias("k"))

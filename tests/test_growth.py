@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import functions as F
 
 from prismflow import queries
@@ -175,3 +177,41 @@ def test_traces_are_made_once(spark, sf_dir):
     rows, _ = moved(spark, lambda: queries.uninitialised_memory(spark, sf_dir))
     # With a trace for each table it was more than 31 times the events.
     assert rows < 30 * n
+
+
+def on_disk(spark):
+    """Files of shuffles, and tables in the checkpoints' folder."""
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    folder = spark.sparkContext.getCheckpointDir()
+    return sum("shuffle_" in files.apply(k).getName() for k in range(files.size())), {f.name for f in os.scandir(folder.removeprefix("file:"))} if folder else set()
+
+
+def test_a_written_table_leaves_no_shuffles(spark):
+    fixpoint.shared_folder(spark)
+    shuffles, tables = on_disk(spark)
+    out = fixpoint.saved(spark.range(20_000).groupBy((F.col("id") % 700).alias("k")).agg(F.count(F.lit(1)).alias("n")).repartition(4, "n"))
+    dealt = fixpoint.dealt(out, "k")
+    now, more = on_disk(spark)
+    assert now == shuffles and len(more - tables) == 2 and out.count() == dealt.count() == 700
+    fixpoint.dropped(out, dealt, spark.range(1))
+    assert on_disk(spark)[1] == tables
+
+
+def test_a_solver_keeps_what_it_reads(spark):
+    """Node, seeds, runs, calls and the result: rounds and steps towards these leave nothing. Statements are written once, in their runs."""
+    node = spark.range(20).repartition(4).select(F.col("id").alias("n"), F.expr("id div 10").alias("method"), C.lit(T).alias("pc"), (F.col("id") % 10 == 0).alias("is_start"), (F.col("id") % 10 == 9).alias("is_exit"), (F.col("id") % 10 == 5).alias("is_call"))
+    cfg = node.where("NOT is_exit").select(F.col("n").alias("src"), (F.col("n") + 1).alias("dst"), C.lit(T).alias("cond"))
+    calls = node.where("is_call AND method < 1").select(F.col("n").alias("call"), (F.col("method") + 1).alias("method"), F.col("pc").alias("cond"))
+    starts = node.where("is_start").select("n")
+    fixpoint.shared_folder(spark)
+    shuffles, tables = on_disk(spark)
+    problem = IF.UninitialisedUse(Program(node, cfg, calls), starts.select("n", F.lit("v").alias("var")), node.where("n % 10 = 7").select("n", F.lit("v").alias("var")), starts.where("n = 0"))
+    solver = Solver(problem.program, problem)
+    edges = solver.path_edges()
+    assert len(on_disk(spark)[1] - tables) == 5
+    stmt = {r["n"]: r for r in solver.stmt.collect()}
+    assert sorted(stmt) == list(range(20)) and all([s["m"] for s in r["succs"] or []] == ([] if n % 10 == 9 else [n + 1]) and r["is_call"] == (n % 10 == 5) and r["is_exit"] == (n % 10 == 9) for n, r in stmt.items())
+    assert {r["n"] for r in solver.values(edges).where("d = 'v'").collect()} == {n for n in range(20) if n % 10 in (1, 2, 3, 4, 6, 7)}
+    solver.drop()
+    fixpoint.dropped(edges)
+    assert on_disk(spark)[1] == tables
