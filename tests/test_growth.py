@@ -54,6 +54,18 @@ def test_methods_of_several_rows_are_grouped(spark):
     assert [tuple(r) for r in callgraph.callees_at(positions, names, twice, a).collect()] == [(1, 10, a)]
 
 
+def test_targets_of_many_calls_are_written_small(spark, tmp_path):
+    """Calls of one name follow each other, with the methods of that name in one order: a written row takes far less than a number."""
+    calls = spark.range(0, 4000, 1, 4).select(F.col("id").alias("call"), F.pmod(F.xxhash64("id"), F.lit(50)).alias("name"), F.lit(0).cast("bigint").alias("file"), F.when(F.xxhash64("id", F.lit(1)) % 3 == 0, C.lit(C.feature(0))).otherwise(C.lit(T)).alias("cond"))
+    methods = spark.range(5000).select((F.col("id") * 7919 % 5003).alias("method"), (F.col("id") % 50).alias("name"), F.lit(0).cast("bigint").alias("file"), F.when(F.col("id") % 4 == 0, C.lit(C.feature(1))).otherwise(C.lit(T)).alias("cond"))
+    callgraph.at_targets(calls, methods).write.parquet(str(tmp_path / "out"))
+    got = spark.read.parquet(str(tmp_path / "out"))
+    plain = calls.join(methods.withColumnRenamed("cond", "m"), ["name", "file"]).select("call", "method", F.col("cond").bitwiseAND(F.col("m")).alias("cond"))
+    assert got.exceptAll(plain).isEmpty() and plain.exceptAll(got).isEmpty()
+    size = sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet"))
+    assert size < got.count() // 2, (size, got.count())
+
+
 def test_pointers_move_no_definitions(spark):
     calls, methods = call_tables(spark)
     classes = spark.range(4).select(F.col("id").alias("object"), F.col("id").alias("class"), C.lit(T).alias("cond"))
