@@ -227,3 +227,15 @@ def test_a_solver_keeps_what_it_reads(spark):
     solver.drop()
     fixpoint.dropped(edges)
     assert on_disk(spark)[1] == tables
+
+
+def test_links_of_one_row_each_move_less_and_leave_what_is_read(spark):
+    links = fixpoint.saved(spark.range(0, 6000, 1, 4).select((2 * (F.col("id") % 60)).alias("a"), (2 * F.col("id") + 1).alias("b"), C.lit(T).alias("cond")))
+    shuffles, tables = on_disk(spark)
+    rows, made = moved(spark, lambda: fixpoint.classes(None, links, T, once=True))
+    assert made.groupBy("class").count().where("count = 101").count() == 60
+    assert len(on_disk(spark)[1] - tables) == 2 and {f.rsplit("/", 1)[1] for f in made.written} == on_disk(spark)[1] - tables
+    # Links move to be dealt, in the first round, and nodes; grouped, they would move once more before.
+    more, _ = moved(spark, lambda: fixpoint.dropped(fixpoint.classes(None, links, T)))
+    assert more >= rows + 5000
+    fixpoint.dropped(links, made)
